@@ -28,13 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; ``release`` deletes what is written there."""
+    return f"{shared_dir(spark)}/veldt-{_RUN}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     The copy survives lost executors, unlike cached blocks.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veldt-{_RUN}/{name}-{uuid.uuid4().hex[:12]}"
+    path = shared_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm import simhash
-from veldt.llm.common import sha256, table
+from veldt.llm import pieces, simhash, tokenstore
+from veldt.llm.common import sha256, shared_path, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,21 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-ids")
+    tokenstore.write(table(spark, sf_dir, "documents"), path)
+    return tokenstore.checksums(spark, path)
+
+
+def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), sha256(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), sha256(F.col("decoded")).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_token_id_output": op2_token_id_output,
+    "op5_sentencepiece_codec": op5_sentencepiece_codec,
 }
 
 ORACLE_SQL: dict[str, str] = {}
