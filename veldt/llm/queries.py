@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm import pieces, simhash, tokenstore
+from veldt.llm import decontamination, pieces, quality, simhash, tokenstore
 from veldt.llm.common import sha256, shared_path, table
 
 
@@ -22,6 +22,18 @@ def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.checksums(spark, path)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features, model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = quality.score(features, model)
+    return found.select(F.col("id").alias("doc_id"), quality.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    mark = F.col("contamination")
+    return found.select("doc_id", mark["n_words"].alias("n_words"), decontamination.n_hit().alias("n_hit"), F.size(mark["items"]).cast("bigint").alias("n_items"), sha256(F.array_join(mark["items"], ",")).alias("items_sha256"), decontamination.is_contaminated().alias("contaminated"))
+
+
 def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), sha256(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), sha256(F.col("decoded")).alias("decoded_sha256"))
@@ -30,6 +42,8 @@ def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_id_output": op2_token_id_output,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_sentencepiece_codec": op5_sentencepiece_codec,
 }
 
