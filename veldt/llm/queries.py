@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm import decontamination, pieces, quality, simhash, tokenstore
+from veldt.llm import decontamination, pieces, quality, simhash, substrings, tokenstore
 from veldt.llm.common import sha256, shared_path, table
 
 
@@ -39,12 +39,18 @@ def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), sha256(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", sha256(F.col("kept")).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_id_output": op2_token_id_output,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_sentencepiece_codec": op5_sentencepiece_codec,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
