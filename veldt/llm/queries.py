@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm import decontamination, pieces, quality, simhash, substrings, tokenstore
+from veldt.llm import decontamination, fingerprints, pieces, quality, sharding, simhash, substrings, tokenstore
 from veldt.llm.common import sha256, shared_path, table
 
 
@@ -44,6 +44,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", sha256(F.col("kept")).alias("kept_sha256"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprints.as_text(F.col("v")).alias("fingerprint"), fingerprints.as_text(F.col("edited_v")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"), 8)
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_id_output": op2_token_id_output,
@@ -51,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_sentencepiece_codec": op5_sentencepiece_codec,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
