@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm import decontamination, fingerprints, pieces, quality, sharding, simhash, substrings, tokenstore
+from veldt.llm import decontamination, fingerprints, pieces, pseudonyms, quality, sharding, simhash, substrings, tokencounts, tokenstore
 from veldt.llm.common import sha256, shared_path, table
 
 
@@ -39,6 +39,19 @@ def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), sha256(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.size("pii").alias("n_found"), "pii")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every paragraph of every document; a token that crosses a line end counts where it begins."""
+    text = F.col("text")
+    found = tokencounts.count(table(spark, sf_dir, "documents"), text, tokencounts.line_sections(text))
+    tokens = F.transform("sections", lambda s: s["tokens"].cast("bigint"))
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", F.size("sections").cast("bigint").alias("n_sections"), tokens.alias("section_tokens"), F.col("n_outside").cast("bigint").alias("n_outside"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.deduplicate(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", sha256(F.col("kept")).alias("kept_sha256"))
@@ -60,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_sentencepiece_codec": op5_sentencepiece_codec,
+    "op6_pii_pseudonyms": op6_pii_pseudonyms,
+    "op7_token_counts": op7_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_sharding": op10_sharding,
