@@ -15,7 +15,8 @@ from functools import lru_cache
 import numpy as np
 
 DEFAULT = "byte_bpe_50k.json"
-MEMO = 800_000  # parts a worker remembers
+MEMO = 1_200_000  # parts a worker remembers; half as many with their spans
+_TOGETHER = 256  # parts that go to the library in one text
 _RUNS = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<!^)(?= \S)")
 _END = 198  # the id of a line end
@@ -40,6 +41,7 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([r"\s", *map(re.escape, self.special)]))
         self.simple = self._encode("\n").ids == [_END]  # else every text goes to the library whole
         self.with_spans = with_spans
         self.memo: dict[str, bytes] = {}
@@ -65,38 +67,38 @@ class ByteBpe:
         out.pop()
         return out
 
-    def _keep(self, key: str, ids: np.ndarray, place: np.ndarray | None) -> None:
-        self.memo[key] = ids.tobytes()
-        if place is not None:
-            self.starts[key] = (np.ascontiguousarray(place[:, 0]).tobytes(), np.ascontiguousarray(place[:, 1]).tobytes())
-
     def _learn(self, new: list[str]) -> None:
-        alone, plain = [], []
-        for key in new:
-            part = _part(key)
-            odd = not self.simple or re.search(r"\s", key[1:] if key[0] == "\n" else key) or any(x in part for x in self.special)
-            (alone if odd else plain).append((key, part))
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            got = self._encode("\n".join([x for _, x in some]))
+        odd = self.odd.search
+        alone = [k for k in new if odd(k, k[0] == "\n")] if self.simple else new
+        plain = [k for k in new if not odd(k, k[0] == "\n")] if self.simple else []
+        for at in range(0, len(plain), _TOGETHER):
+            keys = plain[at : at + _TOGETHER]
+            parts = [k[1:] if k[0] == "\n" else " " + k for k in keys]
+            got = self._encode("\n".join(parts))
             ids = np.array(got.ids, np.uint32)
-            bounds = np.concatenate([[-1], np.flatnonzero(ids == _END), [len(ids)]])
-            if len(bounds) != len(some) + 1:
+            ends = np.flatnonzero(ids == _END)
+            if len(ends) != len(keys) - 1:
                 raise RuntimeError("a part was not encoded on its own")
-            place = np.array(got.offsets, np.int32).reshape(-1, 2) if self.with_spans else None
-            char = 0
-            for (key, part), s, e in zip(some, (bounds[:-1] + 1).tolist(), bounds[1:].tolist()):
-                self._keep(key, ids[s:e], None if place is None else place[s:e] - char)
-                char += len(part) + 1
-        for key, part in alone:
-            got = self._encode(part)
-            self._keep(key, np.array(got.ids, np.uint32), np.array(got.offsets, np.int32).reshape(-1, 2) if self.with_spans else None)
+            first, last = [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)]
+            raw = ids.tobytes()
+            self.memo.update(zip(keys, [raw[4 * s : 4 * e] for s, e in zip(first, last)]))
+            if self.with_spans:
+                char = np.cumsum([0] + [len(x) + 1 for x in parts])[:-1]
+                place = np.array(got.offsets, np.int32) - np.repeat(char, np.diff([*first, len(ids) + 1]))[: len(ids), None].astype(np.int32)
+                raws = [np.ascontiguousarray(place[:, i]).tobytes() for i in (0, 1)]
+                self.starts.update(zip(keys, [(raws[0][4 * s : 4 * e], raws[1][4 * s : 4 * e]) for s, e in zip(first, last)]))
+        for key in alone:
+            got = self._encode(_part(key))
+            self.memo[key] = np.array(got.ids, np.uint32).tobytes()
+            if self.with_spans:
+                place = np.array(got.offsets, np.int32).reshape(-1, 2)
+                self.starts[key] = (np.ascontiguousarray(place[:, 0]).tobytes(), np.ascontiguousarray(place[:, 1]).tobytes())
 
     def _lookup(self, texts: list[str]) -> list[list[str]]:
         cut = [self.keys(x) for x in texts]
         new = set().union(*cut).difference(self.memo)
         if new:
-            if len(self.memo) + len(new) > MEMO:
+            if len(self.memo) + len(new) > MEMO >> self.with_spans:
                 self.memo.clear(), self.starts.clear()
                 new = set().union(*cut)
             self._learn(list(new))
