@@ -116,12 +116,13 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 def blocks(spark: SparkSession, path: str) -> DataFrame:
     """The store's blocks with ``start``: all ids of the store before the block.
 
-    Only the parts' totals, a row for each task of the writer, are added up over the whole store.
+    Only the parts' totals, a row for each task of the writer, are added up over the whole store
+    and broadcast.
     """
     read = spark.read.schema(BLOCKS).parquet(path)
     sums = read.groupBy("part").agg(F.sum("n_ids").alias("total"))
     base = sums.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    return read.join(base, "part").withColumn("start", F.col("base") + F.col("first_id"))
+    return read.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.col("first_id"))
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
