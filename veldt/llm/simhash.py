@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veldt.llm.common import fresh, materialize
 from veldt.llm.components import connected_components
@@ -212,10 +213,13 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int = 3, id_col
 def keep_one(docs: DataFrame, max_bits: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without all but one of each group: the row of the smallest id stays.
 
-    Rows with a null id stay only if their whole group has null ids. Several rows with the
-    smallest id of a group all stay when their columns differ; exact repeats of a row fall to one.
+    A group without any id keeps one row. Of several rows with the smallest id, repeats among them,
+    the first by a hash of the row stays. No column is changed.
     """
     found = near_duplicates(docs, max_bits, shingle, id_col, text_col)
-    (mark,) = fresh(docs, "component")
+    mark, place = fresh(docs, "component", "place")
     kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(mark)).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[mark]), "left_semi").distinct()
+    left = docs.join(kept, docs[id_col].eqNullSafe(kept[mark]), "left_semi")
+    plain = [f"`{f.name}`" for f in docs.schema if "map" not in f.dataType.simpleString()]
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*plain))
+    return left.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
