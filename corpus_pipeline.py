@@ -19,10 +19,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest id.
 
-    Fingerprints are made of five-word shingles and link at three differing bits of 64 or fewer.
+    Documents link at a similarity of 0.8 or more of their five-word shingles, or if their 64-bit
+    fingerprints of three-word shingles differ in two bits or fewer.
     """
     ship(spark)
-    return simhash.keep_one(docs, max_bits=3, shingle=5)
+    return simhash.keep_one(docs, similarity=0.8, shingle=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

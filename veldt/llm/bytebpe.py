@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 DEFAULT = "byte_bpe_50k.json"
-MEMO = 1_200_000  # parts a worker remembers; half as many with their spans
+MEMO = 1_200_000  # parts a worker remembers
 _TOGETHER = 256  # parts that go to the library in one text
 _RUNS = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<!^)(?= \S)")
@@ -34,7 +34,7 @@ class ByteBpe:
     A part is held by a key: its text after one leading space, or a line end and its text.
     """
 
-    def __init__(self, path: str, with_spans: bool = False):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,9 +43,13 @@ class ByteBpe:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([r"\s", *map(re.escape, self.special)]))
         self.simple = self._encode("\n").ids == [_END]  # else every text goes to the library whole
-        self.with_spans = with_spans
         self.memo: dict[str, bytes] = {}
-        self.starts: dict[str, tuple[bytes, bytes]] = {}
+        # A token of the byte alphabet has a character for each of its bytes.
+        self.bytes = np.zeros(self.size, np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.bytes[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.bytes[i] = len(token.content.encode())
 
     def _encode(self, text: str):
         return self.tokenizer.encode(text, add_special_tokens=False)
@@ -82,24 +86,15 @@ class ByteBpe:
             first, last = [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)]
             raw = ids.tobytes()
             self.memo.update(zip(keys, [raw[4 * s : 4 * e] for s, e in zip(first, last)]))
-            if self.with_spans:
-                char = np.cumsum([0] + [len(x) + 1 for x in parts])[:-1]
-                place = np.array(got.offsets, np.int32) - np.repeat(char, np.diff([*first, len(ids) + 1]))[: len(ids), None].astype(np.int32)
-                raws = [np.ascontiguousarray(place[:, i]).tobytes() for i in (0, 1)]
-                self.starts.update(zip(keys, [(raws[0][4 * s : 4 * e], raws[1][4 * s : 4 * e]) for s, e in zip(first, last)]))
         for key in alone:
-            got = self._encode(_part(key))
-            self.memo[key] = np.array(got.ids, np.uint32).tobytes()
-            if self.with_spans:
-                place = np.array(got.offsets, np.int32).reshape(-1, 2)
-                self.starts[key] = (np.ascontiguousarray(place[:, 0]).tobytes(), np.ascontiguousarray(place[:, 1]).tobytes())
+            self.memo[key] = np.array(self._encode(_part(key)).ids, np.uint32).tobytes()
 
     def _lookup(self, texts: list[str]) -> list[list[str]]:
         cut = [self.keys(x) for x in texts]
         new = set().union(*cut).difference(self.memo)
         if new:
-            if len(self.memo) + len(new) > MEMO >> self.with_spans:
-                self.memo.clear(), self.starts.clear()
+            if len(self.memo) + len(new) > MEMO:
+                self.memo.clear()
                 new = set().union(*cut)
             self._learn(list(new))
         return cut
@@ -112,16 +107,17 @@ class ByteBpe:
     def spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(ids, first character, end character) of each text's tokens.
 
-        A character of several tokens lies in the span of each of them.
+        The tokens' bytes are the text's bytes in order. A character of several tokens lies in the
+        span of each of them.
         """
-        cut, out = self._lookup(texts), []
-        for keys in cut:
-            own = [self.memo[k] for k in keys]
-            place = [self.starts[k] for k in keys]
-            ids = np.frombuffer(b"".join(own), np.uint32)
-            shift = np.cumsum([0] + [len(k) - 1 if k[0] == "\n" else len(k) + 1 for k in keys])[:-1]
-            shift = np.repeat(shift, [len(x) // 4 for x in own])
-            start, end = (np.frombuffer(b"".join([x[i] for x in place]), np.int32) + shift for i in (0, 1))
+        out = []
+        for text, ids in zip(texts, self.ids(texts)):
+            end = np.cumsum(self.bytes[ids])
+            start = end - self.bytes[ids]
+            raw = text.encode()
+            if len(raw) != len(text):
+                char = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1
+                start, end = char[start], char[end - 1] + 1
             out.append((ids, start, end))
         return out
 
@@ -130,10 +126,10 @@ def _part(key: str) -> str:
     return key[1:] if key[0] == "\n" else " " + key
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, with_spans: bool = False) -> ByteBpe:
+@lru_cache(maxsize=1)
+def encoder(path: str) -> ByteBpe:
     """The worker's encoder of a vocabulary file."""
-    return ByteBpe(path, with_spans)
+    return ByteBpe(path)
 
 
 def batches_of(texts: list[str], chars: int = 4_000_000):

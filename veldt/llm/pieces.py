@@ -24,7 +24,7 @@ from veldt.llm.bytebpe import batches_of
 
 DEFAULT = "piece_bpe_32k.model"
 MARK = "▁"
-MEMO = 600_000  # words a worker remembers
+MEMO = 400_000  # words a worker remembers
 ROUND_SYMBOLS = 2_000_000  # symbols that merge together
 _NO_RANK = np.iinfo(np.int64).max
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")

@@ -46,8 +46,7 @@ def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every paragraph of every document; a token that crosses a line end counts where it begins."""
-    text = F.col("text")
-    found = tokencounts.count(table(spark, sf_dir, "documents"), text, tokencounts.line_sections(text))
+    found = tokencounts.count(table(spark, sf_dir, "documents"), F.col("text"), "lines")
     tokens = F.transform("sections", lambda s: s["tokens"].cast("bigint"))
     return found.select(F.col("id").alias("doc_id"), "n_tokens", F.size("sections").cast("bigint").alias("n_sections"), tokens.alias("section_tokens"), F.col("n_outside").cast("bigint").alias("n_outside"))
 

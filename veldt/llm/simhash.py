@@ -7,10 +7,14 @@ into a tree: an upper node holds the bits that all codes below it share. A searc
 from the top, adds up the differences on the bits that each node fixes anew, and leaves a whole
 group once the sum passes the limit. A group emits a star of links for each of its components,
 never all pairs.
+
+A few differing bits of 64 mean almost equal texts. For a similarity of word shingles wider
+fingerprints are compared, which meet by samples of their bits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +28,16 @@ from veldt.llm.common import fresh, materialize
 from veldt.llm.components import connected_components
 
 BITS = 64
+WIDE = 4  # words of a wide fingerprint
+TABLES, KEY_BITS = 40, 16  # bit samples by which wide fingerprints meet, and their width
 FAN = 8  # children of a node of the index
 QUERIES = 512  # searches that walk the tree together
 #: A byte's bits, spread over eight byte-wide counters.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.uint8).view(np.uint64).ravel()
 
 
-def _majority(digests: bytes) -> int:
-    """The bits set in over half of the big-endian 64-bit hashes in ``digests``."""
-    rows = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+def _majority(rows: np.ndarray) -> int:
+    """The bits set in over half of the big-endian 64-bit hashes, a row of eight bytes each."""
     n, counts = len(rows), np.zeros((8, 8), np.int64)
     for at in range(0, n, 255 * 256):
         part = _SPREAD[rows[at : at + 255 * 256]]
@@ -57,7 +62,25 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     if len(words) <= shingle:
         return int.from_bytes(h(b" ".join(words), seed), "big")
     runs = zip(*(words[i:] for i in range(shingle)))
-    return _majority(b"".join([h(x, seed) for x in map(b" ".join, runs)]))
+    return _majority(np.frombuffer(b"".join([h(x, seed) for x in map(b" ".join, runs)]), np.uint8).reshape(-1, 8))
+
+
+def wide_simhash(text: str | None, shingle: int = 5, seed: int = 42) -> bytes:
+    """A fingerprint of ``WIDE`` 64-bit words, each from hashes that are mixed anew; zeros without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return bytes(8 * WIDE)
+    h = xxhash.xxh64_digest
+    runs = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    hashed = np.frombuffer(b"".join([h(x, seed) for x in runs]), np.uint64)
+    out = []
+    for k in range(WIDE):
+        x = hashed + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        out.append(_majority(x.view(np.uint8).reshape(-1, 8)).to_bytes(8, "big"))
+    return b"".join(out)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,13 +233,127 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int = 3, id_col
     return prints.join(named, "fp").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, max_bits: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without all but one of each group: the row of the smallest id stays.
+def similar_bits(similarity: float) -> int:
+    """Differing bits of wide fingerprints at a Jaccard similarity: their expected number and a margin.
+
+    Sets of equal size with similarity j have a cosine of 2 j / (1 + j), and a bit differs with the
+    probability of their angle over pi.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = BITS * WIDE
+    return round(n * p + math.sqrt(n * p * (1 - p)))
+
+
+def _table_places() -> np.ndarray:
+    rng = np.random.default_rng(64)
+    rounds = -(-TABLES * KEY_BITS // (BITS * WIDE))
+    return np.concatenate([rng.permutation(BITS * WIDE) for _ in range(rounds)])[: TABLES * KEY_BITS].reshape(TABLES, KEY_BITS)
+
+
+def _near_in_group(wide: np.ndarray, most: int) -> np.ndarray:
+    """The smallest place in each fingerprint's component; codes of one component are not compared again."""
+    roots = np.arange(len(wide))
+    for i in range(len(wide) - 1):
+        other = i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i])
+        if len(other):
+            near = other[np.bitwise_count(wide[other] ^ wide[i]).sum(axis=1, dtype=np.int64) <= most]
+            if len(near):
+                roots = _settle(roots, np.full(len(near), i), near)
+    return roots
+
+
+def similar_links(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) of wide fingerprints whose shingle sets are similar, as stars inside each meeting group.
+
+    ``wide`` has distinct rows (node: bigint, bits: binary). Two fingerprints meet if a sample of
+    ``KEY_BITS`` bits agrees in one of ``TABLES`` samples: pairs of a similarity of 0.8 do so with a
+    probability of 0.95, of 0.9 with more than 0.999. The similarity is judged by the number of
+    differing bits.
+    """
+    most, places = similar_bits(similarity), _table_places()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
+                bits = np.unpackbits(raw, axis=1)
+                keys = np.concatenate([bits[:, p].astype(np.int32) @ (1 << np.arange(KEY_BITS, dtype=np.int32)) | t << KEY_BITS for t, p in enumerate(places)])
+                order = np.tile(np.arange(part.num_rows), TABLES)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(c.take(pa.array(order)) for c in part.columns)], ["key", "node", "bits"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE)]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            open_at = np.flatnonzero(held[0] != held[0][-1])
+            cut = open_at[-1] + 1 if len(open_at) else 0
+            if cut:
+                yield stars(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held is not None and len(held[0]):
+            yield stars(*held)
+
+    def stars(key: np.ndarray, node: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        a, b = [], []
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(starts, len(key)))
+        few = np.repeat(np.where(size <= 16, starts + size, 0), size)  # small groups: all pairs at once, by their distance
+        at = np.arange(len(key))
+        for step in range(1, 16):
+            i = at[at + step < few]
+            if not len(i):
+                break
+            near = i[np.bitwise_count(codes[i] ^ codes[i + step]).sum(axis=1, dtype=np.int64) <= most]
+            a.append(node[near]), b.append(node[near + step])
+        for s, n in zip(starts[size > 16], size[size > 16]):
+            roots = _near_in_group(codes[s : s + n], most)
+            leaf = np.flatnonzero(roots != np.arange(n))
+            a.append(node[s + roots[leaf]]), b.append(node[s + leaf])
+        empty = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *a])), pa.array(np.concatenate([empty, *b]))], ["a", "b"])
+
+    dealt = wide.mapInArrow(deal, "key int, node bigint, bits binary").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(link, "a bigint, b bigint").distinct()
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bits: int = 2, bits_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) for every row: groups by similar shingle sets or near 64-bit fingerprints.
+
+    Documents link if the wide fingerprints of their ``shingle``-word runs show the similarity, or
+    as in ``near_duplicates``. Nulls, ties and repeats are treated as there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_py() for x in batch.column(1)]
+            fp = np.fromiter((simhash(x, bits_shingle) for x in texts), np.uint64, len(texts)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array([wide_simhash(x, shingle) for x in texts], pa.binary())], ["id", "fp", "bits"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    prints = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint, bits binary")
+    prints = materialize(prints.withColumn("node", F.xxhash64("bits")), "fingerprints")
+    nodes = prints.groupBy("node").agg(F.min("id").alias("low"), F.min("bits").alias("bits"))
+    known = prints.groupBy("fp").agg(F.min("node").alias("first"))
+    same = prints.select("fp", "node").distinct().join(known, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    by_bits = hamming_links(known.select("fp"), max_bits)
+    by_bits = by_bits.join(known.select(F.col("fp").alias("a"), F.col("first").alias("na")), "a").join(known.select(F.col("fp").alias("b"), F.col("first").alias("nb")), "b")
+    links = similar_links(nodes.select("node", "bits"), similarity).union(by_bits.select("na", "nb")).union(same.where("a <> b"))
+    classes = nodes.select("node", "low").join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
+    return prints.select("id", "node").join(classes.join(lowest, "root").select("node", "component_id"), "node").select("id", "component_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one of each of ``similar_groups``: the row of the smallest id stays.
 
     A group without any id keeps one row. Of several rows with the smallest id, repeats among them,
     the first by a hash of the row stays. No column is changed.
     """
-    found = near_duplicates(docs, max_bits, shingle, id_col, text_col)
+    found = similar_groups(docs, similarity, shingle, id_col=id_col, text_col=text_col)
     mark, place = fresh(docs, "component", "place")
     kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(mark)).distinct()
     left = docs.join(kept, docs[id_col].eqNullSafe(kept[mark]), "left_semi")

@@ -125,7 +125,7 @@ def _window_rows(window: int):
         for batch in batches:
             for name, tag, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 parsed = Parsed(text.as_py().encode().split(), window)
-                places = np.array(asked.as_py(), np.int64) >> _TAG_BITS
+                places = np.sort(np.array(asked.as_py(), np.int64)) >> _TAG_BITS  # in the order of the text
                 first, n = places >> _N_BITS, places & ((1 << _N_BITS) - 1)
                 at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
                 anchor, content = parsed.grams[parsed.anchor_at[at]], parsed.hash(at, window)
@@ -161,7 +161,8 @@ def deduplicate(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
     blocks = materialize(texts.mapInArrow(_block_rows(window), _ROW), "blocks")
 
     anchors = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.min("content").alias("c0"), F.max("content").alias("c1"))
-    shared = anchors.where("n > 1").select("anchor", "low", (F.col("c0") != F.col("c1")).alias("mixed"))
+    # Written first, so that the join below has plain shuffles on both sides and a hot anchor's can be split.
+    shared = materialize(anchors.where("n > 1").select("anchor", "low", (F.col("c0") != F.col("c1")).alias("mixed")), "shared-anchors")
     found = materialize(blocks.join(shared, "anchor").where("mixed or again or id > low"), "shared-blocks")
     plain = found.where("not mixed").select("id", "place")
     mixed = found.where("mixed")
@@ -172,9 +173,7 @@ def deduplicate(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
     whole = materialize(plain.union(copies), "copied-blocks")
     asked = materialize(_grouped(asked, "asked"), "asked-blocks")
 
-    # Both joins below read one shuffle of the texts.
-    dealt = texts.repartition("id", "tag")
-    windows = dealt.join(asked.hint("shuffle_hash"), ["id", "tag"]).select("id", "tag", "text", "asked").mapInArrow(_window_rows(window), _ROW)
+    windows = texts.join(asked, ["id", "tag"]).select("id", "tag", "text", "asked").mapInArrow(_window_rows(window), _ROW)
     windows = materialize(windows, "windows")
     starts = windows.where("not again").groupBy("anchor", "content").agg(F.min("id").alias("first"))
     repeats = windows.join(starts, ["anchor", "content"]).where("again or id > first").select("id", "place")
@@ -198,5 +197,5 @@ def deduplicate(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
             n_words, removed, kept, spans_ = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans_, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["id", "n_words", "n_removed", "kept", "spans"])
 
-    out = dealt.join(spans, ["id", "tag"], "left").select("id", "text", "places").mapInArrow(cut, "id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start: int, end: int>>")
+    out = texts.join(spans, ["id", "tag"], "left").select("id", "text", "places").mapInArrow(cut, "id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start: int, end: int>>")
     return out.withColumn("id", F.when(F.col("id") != -(1 << 63), F.col("id")))

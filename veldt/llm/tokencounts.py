@@ -78,34 +78,57 @@ def attribute(start: np.ndarray, end: np.ndarray, s_start: np.ndarray, s_end: np
     return out
 
 
-def count(docs: DataFrame, text: Column, sections: Column, rule: str = "first", tokenizer: str | None = None, id_col: str = "doc_id") -> DataFrame:
+def _line_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    end = np.cumsum([len(x) + 1 for x in text.split("\n")])
+    return np.append(0, end[:-1]), np.minimum(end, len(text))
+
+
+def _given_spans(own: list[dict]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    own = sorted(own, key=lambda x: (x["start"], x["end"]))
+    a, b = (np.array([x[k] for x in own], np.int64) for k in ("start", "end"))
+    if (a[1:] < b[:-1]).any():
+        raise ValueError("sections overlap")
+    return [x["name"] for x in own], a, b
+
+
+def count(docs: DataFrame, text: Column, sections: Column | str, rule: str = "first", tokenizer: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens, n_outside, sections: array of (name, start, end, tokens)) for every row.
 
     ``sections`` are disjoint spans of characters, in any order; overlapping ones are an error.
-    Null texts are empty: no tokens, and 0 in every section. Characters of several tokens count
-    each token whole. Null ids and repeated rows stay as they are; extra columns are not read.
+    ``"lines"`` stands for the text's ``line_sections``, which are then found in the tasks. Null
+    texts are empty: no tokens, and 0 in every section. Characters of several tokens count each
+    token whole. Null ids and repeated rows stay as they are; extra columns are not read.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     path = tokenizer or bytebpe.default_path()
+    lines = isinstance(sections, str)
+    if lines and sections != "lines":
+        raise ValueError("sections are a column, or lines")
     kind = docs.schema[id_col].dataType.simpleString()
-    found = pa.list_(pa.struct([("name", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("tokens", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bytebpe.encoder(path, True)
+        enc = bytebpe.encoder(path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+            given = batch.column(1).to_pylist()
+            texts = [x or "" for x in given]
             for s, e in bytebpe.batches_of(texts):
-                n, outside, out = [], [], []
-                for (ids, start, end), own in zip(enc.spans(texts[s:e]), batch.column(2).slice(s, e - s).to_pylist()):
-                    own = sorted(own or [], key=lambda x: (x["start"], x["end"]))
-                    a, b = (np.array([x[k] for x in own], np.int64) for k in ("start", "end"))
-                    if (a[1:] < b[:-1]).any():
-                        raise ValueError("sections overlap")
-                    got = attribute(start, end, a, b, rule)
-                    n.append(len(ids)), outside.append(len(ids) - got.sum())
-                    out.append([{**x, "tokens": t} for x, t in zip(own, got.tolist())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(n, pa.int64()), pa.array(outside, pa.float64()), pa.array(out, found)], ["id", "n_tokens", "n_outside", "sections"])
-
-    given = docs.select(F.col(id_col).alias("id"), text.alias("text"), sections.alias("sections"))
+                n, names, starts, ends, tokens = [], [], [], [], []
+                spans = [None] * (e - s) if lines else batch.column(2).slice(s, e - s).to_pylist()
+                for k, (ids, start, end) in enumerate(enc.spans(texts[s:e])):
+                    if not lines:
+                        own, a, b = _given_spans(spans[k] or [])
+                    elif given[s + k] is None:
+                        own, a, b = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    else:
+                        a, b = _line_spans(texts[s + k])
+                        own = [f"paragraph {i}" for i in range(len(a))]
+                    n.append(len(ids)), names.extend(own), starts.append(a), ends.append(b)
+                    tokens.append(attribute(start, end, a, b, rule))
+                outside = np.array(n) - np.array([x.sum() for x in tokens])
+                cuts = pa.array(np.cumsum([0, *map(len, starts)]), pa.int32())
+                struct = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(tokens))], ["name", "start", "end", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(n, pa.int64()), pa.array(outside, pa.float64()), pa.ListArray.from_arrays(cuts, struct)], ["id", "n_tokens", "n_outside", "sections"])
+
+    given = docs.select(F.col(id_col).alias("id"), text.alias("text"), *([] if lines else [sections.alias("sections")]))
     return given.mapInArrow(run, f"id {kind}, n_tokens bigint, n_outside double, sections array<struct<name: string, start: int, end: int, tokens: double>>")

@@ -41,7 +41,7 @@ class Linear:
 
     def margin(self) -> Column:
         out = F.lit(self.intercept)
-        for name, weight in self.weights.items():
+        for name, weight in sorted(self.weights.items()):
             if weight:
                 out = out + F.lit(weight) * self.features[name]
         return out
