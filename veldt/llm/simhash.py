@@ -320,43 +320,55 @@ def similar_links(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
     return dealt.mapInArrow(link, "a bigint, b bigint").distinct()
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bits: int = 2, bits_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) for every row: groups by similar shingle sets or near 64-bit fingerprints.
+def _similar(docs: DataFrame, similarity: float, shingle: int, max_bits: int, bits_shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(prints, lowest): every row's id and node, and every node's component with its first row.
 
-    Documents link if the wide fingerprints of their ``shingle``-word runs show the similarity, or
-    as in ``near_duplicates``. Nulls, ties and repeats are treated as there.
+    ``first`` is the row's (none, id, tag) that is least: null ids come last, and of rows with equal
+    ids the one with the smallest hash of its text is first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.as_py() for x in batch.column(1)]
             fp = np.fromiter((simhash(x, bits_shingle) for x in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array([wide_simhash(x, shingle) for x in texts], pa.binary())], ["id", "fp", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp), pa.array([wide_simhash(x, shingle) for x in texts], pa.binary())], ["id", "tag", "fp", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    prints = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint, bits binary")
+    prints = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag")).mapInArrow(run, f"id {kind}, tag bigint, fp bigint, bits binary")
     prints = materialize(prints.withColumn("node", F.xxhash64("bits")), "fingerprints")
-    nodes = prints.groupBy("node").agg(F.min("id").alias("low"), F.min("bits").alias("bits"))
+    nodes = prints.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("low"), F.min("bits").alias("bits"))
     known = prints.groupBy("fp").agg(F.min("node").alias("first"))
     same = prints.select("fp", "node").distinct().join(known, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
     by_bits = hamming_links(known.select("fp"), max_bits)
     by_bits = by_bits.join(known.select(F.col("fp").alias("a"), F.col("first").alias("na")), "a").join(known.select(F.col("fp").alias("b"), F.col("first").alias("nb")), "b")
     links = similar_links(nodes.select("node", "bits"), similarity).union(by_bits.select("na", "nb")).union(same.where("a <> b"))
     classes = nodes.select("node", "low").join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.select("id", "node").join(classes.join(lowest, "root").select("node", "component_id"), "node").select("id", "component_id")
+    lowest = classes.groupBy("root").agg(F.min("low").alias("first"))
+    return prints.select("id", "node"), classes.join(lowest, "root").select("node", "first")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bits: int = 2, bits_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) for every row: groups by similar shingle sets or near 64-bit fingerprints.
+
+    Documents link if the wide fingerprints of their ``shingle``-word runs show the similarity, or
+    as in ``near_duplicates``. Nulls, ties and repeats are treated as there.
+    """
+    prints, lowest = _similar(docs, similarity, shingle, max_bits, bits_shingle, id_col, text_col)
+    return prints.join(lowest, "node").select("id", F.col("first.id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bits: int = 2, bits_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without all but one of each of ``similar_groups``: the row of the smallest id stays.
 
-    A group without any id keeps one row. Of several rows with the smallest id, repeats among them,
-    the first by a hash of the row stays. No column is changed.
+    A group without any id keeps one row of its own. Of several rows with the smallest id the one
+    with the smallest hash of its text stays, and of repeats of it the first by a hash of the row.
+    Rows with equal ids in different groups are judged each in its group. No column is changed.
     """
-    found = similar_groups(docs, similarity, shingle, id_col=id_col, text_col=text_col)
-    mark, place = fresh(docs, "component", "place")
-    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(mark)).distinct()
-    left = docs.join(kept, docs[id_col].eqNullSafe(kept[mark]), "left_semi")
+    _, lowest = _similar(docs, similarity, shingle, max_bits, bits_shingle, id_col, text_col)
+    name, tag, place = fresh(docs, "name", "tag", "place")
+    kept = lowest.select(F.xxhash64("first.id").alias(name), F.col("first.tag").alias(tag)).distinct()
+    # The hashes are never null and are also the keys of the window, so whole rows are shuffled once.
+    left = docs.withColumn(name, F.xxhash64(id_col)).withColumn(tag, F.xxhash64(text_col)).join(kept, [name, tag], "left_semi")
     plain = [f"`{f.name}`" for f in docs.schema if "map" not in f.dataType.simpleString()]
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*plain))
-    return left.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    order = Window.partitionBy(name, tag).orderBy(F.xxhash64(*plain))
+    return left.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*(f"`{c}`" for c in docs.columns))
