@@ -166,7 +166,8 @@ def deduplicate(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
     found = materialize(blocks.join(shared, "anchor").where("mixed or again or id > low"), "shared-blocks")
     plain = found.where("not mixed").select("id", "place")
     mixed = found.where("mixed")
-    firsts = mixed.where("not again").groupBy("anchor", "content").agg(F.min("id").alias("first"))
+    # Written first, for the same reason: one content may be in very many documents.
+    firsts = materialize(mixed.where("not again").groupBy("anchor", "content").agg(F.min("id").alias("first")), "first-blocks")
     judged = mixed.join(firsts, ["anchor", "content"])
     copies = judged.where("again or id > first").select("id", "place")
     asked = judged.where("not again and id = first").select("id", "place")
@@ -175,7 +176,7 @@ def deduplicate(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
 
     windows = texts.join(asked, ["id", "tag"]).select("id", "tag", "text", "asked").mapInArrow(_window_rows(window), _ROW)
     windows = materialize(windows, "windows")
-    starts = windows.where("not again").groupBy("anchor", "content").agg(F.min("id").alias("first"))
+    starts = materialize(windows.where("not again").groupBy("anchor", "content").agg(F.min("id").alias("first")), "first-windows")
     repeats = windows.join(starts, ["anchor", "content"]).where("again or id > first").select("id", "place")
     spans = _grouped(whole.union(repeats), "places")
 
