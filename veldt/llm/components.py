@@ -15,13 +15,14 @@ from veldt.llm.common import materialize
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+    # Written first, so that the join has plain shuffles on both sides and the edges of a hub can be split.
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("low"))
+    least = materialize(down.groupBy("a").agg(F.min("b").alias("low")), "least")
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
     return moved.union(least.select("a", F.col("low").alias("b"))).distinct()
 
@@ -36,7 +37,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)), "edges")
+        now = materialize(_small_star(materialize(_large_star(now), "edges")), "edges")
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("bigint"))).first())
         if state == seen:
             break
