@@ -131,6 +131,16 @@ def test_similar_groups_find_edited_copies(spark):
     assert simhash.keep_one(docs).count() == len(set(got.values()))
 
 
+def test_repeated_lines_do_not_decide_similarity(spark):
+    line = " ".join(f"line{i}" for i in range(20))
+    a, b = (" ".join(f"{c}{i}" for i in range(300)) for c in "ab")
+    rows = [(1, f"{a} {' '.join([line] * 40)}"), (2, f"{b} {' '.join([line] * 40)}"), (3, f"{a} {line}")]
+    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    bits = [np.unpackbits(np.frombuffer(simhash.wide_simhash(t), np.uint8)) for _, t in rows]
+    assert (bits[0] != bits[1]).sum() > 90 and (bits[0] != bits[2]).sum() < 45
+
+
 def brute_dedup(rows, window):
     seen, out = set(), {}
     for name, text in sorted(rows):

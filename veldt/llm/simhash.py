@@ -65,14 +65,19 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return _majority(np.frombuffer(b"".join([h(x, seed) for x in map(b" ".join, runs)]), np.uint8).reshape(-1, 8))
 
 
-def wide_simhash(text: str | None, shingle: int = 5, seed: int = 42) -> bytes:
-    """A fingerprint of ``WIDE`` 64-bit words, each from hashes that are mixed anew; zeros without words."""
+def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, sorted; empty without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(8 * WIDE)
+        return np.zeros(0, np.uint64)
     h = xxhash.xxh64_digest
     runs = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    hashed = np.frombuffer(b"".join([h(x, seed) for x in runs]), np.uint64)
+    return np.unique(np.frombuffer(b"".join([h(x, seed) for x in runs]), np.uint64))
+
+
+def _wide(hashed: np.ndarray) -> bytes:
+    if not len(hashed):
+        return bytes(8 * WIDE)
     out = []
     for k in range(WIDE):
         x = hashed + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
@@ -83,6 +88,14 @@ def wide_simhash(text: str | None, shingle: int = 5, seed: int = 42) -> bytes:
     return b"".join(out)
 
 
+def wide_simhash(text: str | None, shingle: int = 5, seed: int = 42) -> bytes:
+    """A fingerprint of ``WIDE`` 64-bit words, each from hashes that are mixed anew; zeros without words.
+
+    Repeated shingles count once, as in the sets whose similarity it shows.
+    """
+    return _wide(shingle_set(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp bigint: the fingerprint's bits as a signed number) for every row; rows stay as they are."""
 
