@@ -131,6 +131,31 @@ def test_similar_groups_find_edited_copies(spark):
     assert simhash.keep_one(docs).count() == len(set(got.values()))
 
 
+def test_similarity_is_confirmed_exactly(spark):
+    rng = random.Random(18)
+    rows, near = [], []
+    for k in range(120):  # copies with the last words changed: half just over 0.8, half just under
+        n = rng.randrange(120, 260)
+        words = [f"w{k}x{rng.randrange(10**6)}" for _ in range(n + 4)]
+        cut = n // 9 - 1 if k % 2 else n // 7 + 1
+        copy = words[:-cut] + [f"n{k}x{i}" for i in range(cut)]
+        near.append((n - cut) / (n + cut) >= 0.8)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    assert near == [k % 2 == 1 for k in range(120)]
+    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    found = [got[2 * k + 1] == 2 * k for k in range(120)]
+    assert not any(f for f, n in zip(found, near) if not n)
+    assert sum(f for f, n in zip(found, near) if n) >= 59
+
+
+def test_dense_groups_keep_their_chains(spark):
+    # A chain whose ends are unlike, in a group far larger than one that is compared pair by pair.
+    words = [f"w{i}" for i in range(800)]
+    rows = [(i, " ".join(words[2 * i : 2 * i + 200])) for i in range(300)]
+    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert set(got.values()) == {0} and len(got) == 300
+
+
 def test_repeated_lines_do_not_decide_similarity(spark):
     line = " ".join(f"line{i}" for i in range(20))
     a, b = (" ".join(f"{c}{i}" for i in range(300)) for c in "ab")

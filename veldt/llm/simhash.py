@@ -9,7 +9,8 @@ group once the sum passes the limit. A group emits a star of links for each of i
 never all pairs.
 
 A few differing bits of 64 mean almost equal texts. For a similarity of word shingles wider
-fingerprints are compared, which meet by samples of their bits.
+fingerprints propose candidates, which meet by samples of their bits, and the exact similarity of
+the candidates' shingle sets decides.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from veldt.llm.components import connected_components
 
 BITS = 64
 WIDE = 4  # words of a wide fingerprint
-TABLES, KEY_BITS = 40, 16  # bit samples by which wide fingerprints meet, and their width
+TABLES, KEY_BITS = 64, 12  # bit samples by which wide fingerprints meet, and their width
+DENSE = 64  # candidates of larger groups go by a star first, then by the pairs that it left apart
 FAN = 8  # children of a node of the index
 QUERIES = 512  # searches that walk the tree together
 #: A byte's bits, spread over eight byte-wide counters.
@@ -247,14 +249,15 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int = 3, id_col
 
 
 def similar_bits(similarity: float) -> int:
-    """Differing bits of wide fingerprints at a Jaccard similarity: their expected number and a margin.
+    """The most differing bits of wide fingerprints that are worth an exact look at a Jaccard similarity.
 
-    Sets of equal size with similarity j have a cosine of 2 j / (1 + j), and a bit differs with the
-    probability of their angle over pi.
+    Sets of equal size with similarity j have a cosine of 2 j / (1 + j), of other sizes a larger
+    one, and a bit differs with the probability of their angle over pi. The margin is five standard
+    deviations.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = BITS * WIDE
-    return round(n * p + math.sqrt(n * p * (1 - p)))
+    return round(n * p + 5 * math.sqrt(n * p * (1 - p)))
 
 
 def _table_places() -> np.ndarray:
@@ -275,25 +278,74 @@ def _near_in_group(wide: np.ndarray, most: int) -> np.ndarray:
     return roots
 
 
-def similar_links(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) of wide fingerprints whose shingle sets are similar, as stars inside each meeting group.
+def _sample_keys(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The key of each wide fingerprint in each sample, a row of ``TABLES`` keys a fingerprint."""
+    bits = np.unpackbits(np.ascontiguousarray(codes).view(np.uint8).reshape(-1, 8 * WIDE), axis=1)
+    return np.stack([bits[:, p].astype(np.int32) @ (1 << np.arange(KEY_BITS, dtype=np.int32)) for p in places], axis=1)
 
-    ``wide`` has distinct rows (node: bigint, bits: binary). Two fingerprints meet if a sample of
-    ``KEY_BITS`` bits agrees in one of ``TABLES`` samples: pairs of a similarity of 0.8 do so with a
-    probability of 0.95, of 0.9 with more than 0.999. The similarity is judged by the number of
-    differing bits.
+
+def _near(codes: np.ndarray, rows: np.ndarray, others: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places (in ``rows``, in ``others``) within ``most`` bits of each other."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, (1 << 18) // max(1, len(others)))
+    for at in range(0, len(rows), step):
+        i, j = np.nonzero(np.bitwise_count(codes[rows[at : at + step], None] ^ codes[others]).sum(axis=2, dtype=np.int64) <= most)
+        a.append(rows[at + i]), b.append(others[j])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _candidates_in_group(codes: np.ndarray, most: int, roots: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Places (a, b) of near fingerprints of one meeting group, and whether they are a star.
+
+    Without ``roots`` dense components give a star around the code next to their majority of bits
+    in place of their pairs. With ``roots`` the pairs of different roots come out.
+    """
+    n = len(codes)
+    if roots is not None:
+        names, own, size = np.unique(roots, return_inverse=True, return_counts=True)
+        rest, every = np.flatnonzero(own != size.argmax()), np.arange(n)
+        for at in range(0, len(rest), 1024):
+            a, b = _near(codes, rest[at : at + 1024], every, most)
+            keep = (own[a] != own[b]) & ((a < b) | (own[b] == size.argmax()))
+            yield a[keep], b[keep], False
+        return
+    if n <= DENSE:
+        parts = [np.arange(n)]
+    else:
+        found = _near_in_group(codes, most)
+        order = np.argsort(found, kind="stable")
+        parts = [x for x in np.split(order, np.flatnonzero(np.diff(found[order])) + 1) if len(x) > 1]
+    for part in parts:
+        if len(part) <= DENSE:
+            a, b = _near(codes, part, part, most)
+            yield a[a < b], b[a < b], False
+        else:
+            bits = np.unpackbits(np.ascontiguousarray(codes[part]).view(np.uint8).reshape(len(part), -1), axis=1)
+            middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(part)).view(np.uint64)
+            hub = part[np.bitwise_count(codes[part] ^ middle).sum(axis=1, dtype=np.int64).argmin()]
+            leaf = part[part != hub]
+            yield np.full(len(leaf), hub), leaf, True
+
+
+def similar_candidates(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Candidate links (a, b, star) of wide fingerprints; every pair that is no star comes out once.
+
+    ``wide`` has distinct rows (node: bigint, bits: binary) and may have roots (root: bigint). Two
+    fingerprints meet if a sample of ``KEY_BITS`` bits agrees in one of ``TABLES`` samples, and are
+    candidates if they differ in ``similar_bits`` or fewer. A pair belongs to the first sample in
+    which it meets. Dense components of a meeting group give a star only; with roots, the pairs of
+    different roots come out, however dense.
     """
-    most, places = similar_bits(similarity), _table_places()
+    most, places, rooted = similar_bits(similarity), _table_places(), "root" in wide.columns
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
-                bits = np.unpackbits(raw, axis=1)
-                keys = np.concatenate([bits[:, p].astype(np.int32) @ (1 << np.arange(KEY_BITS, dtype=np.int32)) | t << KEY_BITS for t, p in enumerate(places)])
-                order = np.tile(np.arange(part.num_rows), TABLES)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(c.take(pa.array(order)) for c in part.columns)], ["key", "node", "bits"])
+                codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(-1, WIDE)
+                keys = (_sample_keys(codes, places) | np.arange(TABLES, dtype=np.int32) << KEY_BITS).T.ravel()
+                order = pa.array(np.tile(np.arange(part.num_rows), TABLES))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(c.take(order) for c in part.columns)], ["key", *part.schema.names])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -301,17 +353,17 @@ def similar_links(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
             if not batch.num_rows:
                 continue
             now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE)]
+            now += [batch.column(3).to_numpy()] if rooted else []
             held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             open_at = np.flatnonzero(held[0] != held[0][-1])
             cut = open_at[-1] + 1 if len(open_at) else 0
             if cut:
-                yield stars(*(x[:cut] for x in held))
+                yield from pairs(*(x[:cut] for x in held))
                 held = [x[cut:] for x in held]
         if held is not None and len(held[0]):
-            yield stars(*held)
+            yield from pairs(*held)
 
-    def stars(key: np.ndarray, node: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-        a, b = [], []
+    def pairs(key: np.ndarray, node: np.ndarray, codes: np.ndarray, roots: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(starts, len(key)))
         few = np.repeat(np.where(size <= 16, starts + size, 0), size)  # small groups: all pairs at once, by their distance
@@ -320,22 +372,70 @@ def similar_links(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
             i = at[at + step < few]
             if not len(i):
                 break
-            near = i[np.bitwise_count(codes[i] ^ codes[i + step]).sum(axis=1, dtype=np.int64) <= most]
-            a.append(node[near]), b.append(node[near + step])
+            i = i[np.bitwise_count(codes[i] ^ codes[i + step]).sum(axis=1, dtype=np.int64) <= most]
+            yield rows(key, node, codes, i if roots is None else i[roots[i] != roots[i + step]], step, False)
         for s, n in zip(starts[size > 16], size[size > 16]):
-            roots = _near_in_group(codes[s : s + n], most)
-            leaf = np.flatnonzero(roots != np.arange(n))
-            a.append(node[s + roots[leaf]]), b.append(node[s + leaf])
-        empty = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *a])), pa.array(np.concatenate([empty, *b]))], ["a", "b"])
+            for a, b, star in _candidates_in_group(codes[s : s + n], most, None if roots is None else roots[s : s + n]):
+                if len(a):
+                    yield rows(key, node, codes, s + a, b - a, star)
+
+    def rows(key: np.ndarray, node: np.ndarray, codes: np.ndarray, i: np.ndarray, step: np.ndarray | int, star: bool) -> pa.RecordBatch:
+        j = i + step
+        if not star and len(i):
+            known, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+            keys, table = _sample_keys(codes[known], places), key[i] >> KEY_BITS
+            first = np.concatenate([(keys[x] == keys[y]).argmax(axis=1) for x, y in zip(*(np.array_split(back[k * len(i) : (k + 1) * len(i)], len(i) // 100_000 + 1) for k in (0, 1)))])
+            i, j = i[first == table], j[first == table]
+        return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(np.full(len(i), star))], ["a", "b", "star"])
+
+    more = ", root bigint" if rooted else ""
+    dealt = wide.select("node", "bits", *(["root"] if rooted else [])).mapInArrow(deal, f"key int, node bigint, bits binary{more}")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a bigint, b bigint, star boolean")
 
-    dealt = wide.mapInArrow(deal, "key int, node bigint, bits binary").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(link, "a bigint, b bigint").distinct()
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose ``sets`` (node, held: sorted hashes) have the Jaccard similarity, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                low, high = sorted((len(x), len(y)))
+                if low and low / high >= similarity:
+                    common = low + high - len(np.union1d(x, y))
+                    good[k] = common / (low + high - common) >= similarity
+            mask = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    left, right = sets.toDF("a", "held_a"), sets.toDF("b", "held_b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "held_a", "held_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_links(wide: DataFrame, sets_of, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) of nodes whose shingle sets have the similarity; they connect all candidates that do.
+
+    ``sets_of`` turns nodes (node: bigint) to their sets, as ``confirmed`` reads them. Stars of dense
+    groups are confirmed first; the candidates that these leave in different components follow pair
+    by pair, so a chain of similar sets is found whole.
+    """
+    found = materialize(similar_candidates(wide, similarity), "candidates")
+    pairs = found.select("a", "b").distinct()
+    sets = materialize(sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "sets")
+    sure = materialize(confirmed(pairs, sets, similarity), "links")
+    dense = found.where("star")
+    if dense.isEmpty():
+        return sure
+    dense = dense.select(F.col("a").alias("node")).union(dense.select("b")).distinct()
+    apart = wide.join(dense, "node").join(connected_components(sure), "node", "left").select("node", "bits", F.coalesce("root", "node").alias("root"))
+    rest = materialize(similar_candidates(apart, similarity), "candidates")
+    return sure.union(materialize(confirmed(rest.select("a", "b"), sets, similarity), "links"))
 
 
 def _similar(docs: DataFrame, similarity: float, shingle: int, max_bits: int, bits_shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(prints, lowest): every row's id and node, and every node's component with its first row.
 
+    A node is a distinct set of shingles, named by the hash of its sorted hashes.
     ``first`` is the row's (none, id, tag) that is least: null ids come last, and of rows with equal
     ids the one with the smallest hash of its text is first.
     """
@@ -344,17 +444,28 @@ def _similar(docs: DataFrame, similarity: float, shingle: int, max_bits: int, bi
         for batch in batches:
             texts = [x.as_py() for x in batch.column(1)]
             fp = np.fromiter((simhash(x, bits_shingle) for x in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp), pa.array([wide_simhash(x, shingle) for x in texts], pa.binary())], ["id", "tag", "fp", "bits"])
+            sets = [shingle_set(x, shingle) for x in texts]
+            node = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(texts)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp), pa.array([_wide(x) for x in sets], pa.binary()), pa.array(node)], ["id", "tag", "fp", "bits", "node"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), shingle).tobytes() for x in batch.column(1)], pa.binary())], ["node", "held"])
+
+    def sets_of(few: DataFrame) -> DataFrame:
+        one = nodes.join(few, "node").select("node", "text_tag")
+        texts = docs.select(F.xxhash64(text_col).alias("text_tag"), F.col(text_col).alias("text")).join(one, "text_tag")
+        return texts.select("node", "text").mapInArrow(read, "node bigint, held binary").groupBy("node").agg(F.min("held").alias("held"))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    prints = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag")).mapInArrow(run, f"id {kind}, tag bigint, fp bigint, bits binary")
-    prints = materialize(prints.withColumn("node", F.xxhash64("bits")), "fingerprints")
-    nodes = prints.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("low"), F.min("bits").alias("bits"))
+    prints = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag")).mapInArrow(run, f"id {kind}, tag bigint, fp bigint, bits binary, node bigint")
+    prints = materialize(prints, "fingerprints")
+    nodes = prints.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("low"), F.min("bits").alias("bits"), F.min("tag").alias("text_tag"))
     known = prints.groupBy("fp").agg(F.min("node").alias("first"))
     same = prints.select("fp", "node").distinct().join(known, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
     by_bits = hamming_links(known.select("fp"), max_bits)
     by_bits = by_bits.join(known.select(F.col("fp").alias("a"), F.col("first").alias("na")), "a").join(known.select(F.col("fp").alias("b"), F.col("first").alias("nb")), "b")
-    links = similar_links(nodes.select("node", "bits"), similarity).union(by_bits.select("na", "nb")).union(same.where("a <> b"))
+    links = similar_links(nodes.select("node", "bits"), sets_of, similarity).union(by_bits.select("na", "nb")).union(same.where("a <> b"))
     classes = nodes.select("node", "low").join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = classes.groupBy("root").agg(F.min("low").alias("first"))
     return prints.select("id", "node"), classes.join(lowest, "root").select("node", "first")
@@ -363,8 +474,8 @@ def _similar(docs: DataFrame, similarity: float, shingle: int, max_bits: int, bi
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bits: int = 2, bits_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) for every row: groups by similar shingle sets or near 64-bit fingerprints.
 
-    Documents link if the wide fingerprints of their ``shingle``-word runs show the similarity, or
-    as in ``near_duplicates``. Nulls, ties and repeats are treated as there.
+    Documents link if the sets of their ``shingle``-word runs have the similarity, exactly, among
+    the candidates that wide fingerprints propose, or as in ``near_duplicates``. Nulls, ties and repeats are treated as there.
     """
     prints, lowest = _similar(docs, similarity, shingle, max_bits, bits_shingle, id_col, text_col)
     return prints.join(lowest, "node").select("id", F.col("first.id").alias("component_id"))
