@@ -237,6 +237,23 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert other != got[0]
 
 
+def test_values_inside_longer_digit_runs(spark):
+    card, phones = "4111111111111111", ("555-123-4567", "555-987-6543")
+    texts = ["4111 1111 1111 1111 12/27", f"{card} 123", f"12 {card}", f"call {phones[0]} {phones[1]}", f"{phones[0]} 2025"]
+    texts += [f"1234 {card} 987 5500005555555559 7", f"{phones[0]} 555.987.6543", f"{card} {phones[0]}", "12 2024-01-05 1234567", "1 2 3 4 5 6 7 8 9 10 11 12 99999", f"id {phones[0]} 99 {card}, 10.20.30.40"]
+    rows = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "secret").orderBy("i").collect()
+    new = pseudonyms.pseudonymise(spark.createDataFrame([(card,)], "text string"), "secret").first()["text"]
+    got, kinds = [r["text"] for r in rows], [r["pii"] for r in rows]
+    assert kinds[:5] == [["card"], ["card"], ["card"], ["phone", "phone"], ["phone"]]
+    assert kinds[5:] == [["card", "card"], ["phone", "phone"], ["card", "phone"], ["date"], [], ["phone", "card", "ip"]]
+    assert got[0].replace(" ", "") == f"{new}12/27" and got[1] == f"{new} 123" and got[2] == f"12 {new}"
+    assert re.match(rf"1234 {new} 987 \d{{16}} 7$", got[5]) and got[9] == texts[9]
+    for old, text in zip(texts, got):
+        assert re.sub(r"\d", "0", old.split(",")[0]) == re.sub(r"\d", "0", text.split(",")[0])  # an address may change its length
+        assert not any(p in text for p in (*phones, "555.987.6543", card, "2024-01-05", "10.20.30.40"))
+    assert got[4].endswith(" 2025")
+
+
 def test_permutations_are_one_to_one(spark):
     all3 = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
     assert all3.select(pseudonyms.permute(F.col("v"), pseudonyms.DIGITS, "k", "t").alias("p")).distinct().count() == 1000

@@ -37,9 +37,15 @@ IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/.-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: A whole run of digit groups; cards are looked for at the borders of its groups.
+RUN = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+"
+#: Beginnings and lengths of the common cards; they go before other numbers with a right check digit.
+COMMON_CARD = r"^(?:4(?:[0-9]{15}|[0-9]{18})|(?:5[1-5]|2[2-7])[0-9]{14}|3[47][0-9]{13}|3[068][0-9]{12}|35[0-9]{14}|6[0-9]{15,18})$"
 PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{8,15}(?![0-9])"
 #: Earlier kinds win where several could begin at a place.
-PATTERN = "|".join((EMAIL, SECRET, CLOUD_KEY, IP, DATE, SSN, CARD, PHONE))
+PATTERN = "|".join((EMAIL, SECRET, CLOUD_KEY, IP, DATE, SSN, RUN, PHONE))
+#: What may stand in a run of digits that is no card, and around it.
+REST = "|".join((EMAIL, SECRET, CLOUD_KEY, IP, DATE, SSN, PHONE))
 KINDS = ("email", "secret", "ip", "date", "ssn", "card", "phone")
 
 
@@ -193,7 +199,7 @@ def pseudonym(match: Column, key: str) -> Column:
     def case(kind: str, new: Column) -> Column:
         return F.struct(F.when(new.isNotNull(), F.lit(kind)).alias("kind"), F.coalesce(new, match).alias("new"))
 
-    # A digit run that is no card may still be a phone number, but only with separators.
+    # A digit run that is no card is looked through by ``_look_again``.
     return (
         F.when(match.rlike(_whole(EMAIL)), case("email", _email(match, key)))
         .when(match.rlike(_whole(f"{SECRET}|{CLOUD_KEY}")), case("secret", _secret(match, key)))
@@ -206,6 +212,108 @@ def pseudonym(match: Column, key: str) -> Column:
     )
 
 
+def _plain(text: Column) -> Column:
+    return F.struct(F.lit(None).cast("string").alias("kind"), text.alias("new"))
+
+
+def _cards(run: Column, key: str, common: bool) -> Column:
+    """Pieces struct(kind, new) of a run of digit groups, in order: valid cards from border to border, and what is between.
+
+    From the left, the shortest common card at a border wins, and of others the longest.
+    """
+
+    def pieces(tokens: Column) -> Column:
+        n = F.size(tokens)
+
+        def span(first: Column, last: Column) -> Column:
+            return F.array_join(F.slice(tokens, first, last - first + 1), "")
+
+        def card(digits: Column) -> Column:
+            right = F.char_length(digits).between(13, 19) & luhn_valid(digits)
+            return digits.rlike(COMMON_CARD) & right if common else right
+
+        def last_of(first: Column) -> Column:
+            ends = F.sequence(first, F.least(first + 18, n))
+            right = F.filter(ends, lambda e: card(_only(span(first, e), "0-9")))
+            return F.array_min(right) if common else F.array_max(right)
+
+        found = F.filter(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("a"), last_of(i).alias("z"))), lambda x: x["z"].isNotNull())
+        empty = F.array().cast("array<struct<a: int, z: int>>")
+        apart = F.aggregate(found, empty, lambda held, x: F.when(F.coalesce(F.try_element_at(held, F.lit(-1))["z"], F.lit(0)) < x["a"], F.concat(held, F.array(x))).otherwise(held))
+
+        def cut(cards: Column) -> Column:
+            def at(k: Column) -> Column:
+                before = F.coalesce(F.get(cards, k - 1)["z"], F.lit(0)) + 1
+                here = F.get(cards, k)
+                between = _plain(F.when(before <= F.coalesce(here["a"] - 1, n), span(before, F.coalesce(here["a"] - 1, n))).otherwise(F.lit("")))
+                raw = span(here["a"], here["z"])
+                value = F.regexp_replace(raw, "[ -]$", "")
+                new = F.struct(F.lit("card").alias("kind"), _card(value, key).alias("new"))
+                return F.when(here.isNull(), F.array(between)).otherwise(F.array(between, new, _plain(F.substring(raw, F.char_length(value) + 1, F.lit(1)))))
+
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cards)), at))
+
+        return _bind(apart, cut)
+
+    return _bind(F.regexp_extract_all(run, F.lit("[0-9]+[ -]?"), F.lit(0)), pieces)
+
+
+def _each_plain(pieces: Column, use) -> Column:
+    return F.flatten(F.transform(pieces, lambda p: F.when(p["kind"].isNull() & (F.char_length(p["new"]) > 0), use(p["new"])).otherwise(F.array(p))))
+
+
+def _is_run(v: Column) -> Column:
+    return v["kind"].isNull() & v["new"].rlike(_whole(RUN))
+
+
+def _joined(pieces: Column, ends: Column) -> Column:
+    """``pieces`` with neighbours without a kind as one text; ``ends`` are the places of those with one."""
+
+    def at(k: Column) -> Column:
+        first = F.coalesce(F.get(ends, k - 1), F.lit(0)) + 1
+        last = F.coalesce(F.get(ends, k) - 1, F.size(pieces))
+        text = _plain(F.array_join(F.transform(F.slice(pieces, first, last - first + 1), lambda p: p["new"]), ""))
+        return F.when(F.get(ends, k).isNull(), F.array(text)).otherwise(F.array(text, F.get(pieces, F.get(ends, k) - 1)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(ends)), at))
+
+
+def _rest(text: Column, key: str) -> Column:
+    found = F.transform(F.regexp_extract_all(text, F.lit(REST), F.lit(0)), lambda m: pseudonym(m, key))
+    return F.flatten(F.zip_with(F.split(text, REST, -1), found, _with_before))
+
+
+def _with_before(before: Column, value: Column) -> Column:
+    return F.filter(F.array(_plain(before), value), lambda p: p["new"].isNotNull())
+
+
+def _with_pieces(before: Column, pieces: Column) -> Column:
+    return F.concat(F.array(_plain(before)), F.coalesce(pieces, F.array().cast("array<struct<kind: string, new: string>>")))
+
+
+def _other_cards(text: Column, key: str) -> Column:
+    found = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda r: _cards(r, key, False))
+    return F.flatten(F.zip_with(F.split(text, RUN, -1), found, _with_pieces))
+
+
+def _look_again(docs: DataFrame, held: str, between: Column, key: str) -> tuple[DataFrame, str]:
+    """A column of pieces struct(kind, new) that make up a text whose runs of digits are no cards as a whole; else null.
+
+    Common cards in the runs go first. What is left joins the text around it, and the other kinds
+    are looked for there, so that a run that ends within a value does not hide it; other numbers
+    with a right check digit come last, as parts of two phone numbers may have one. The steps are columns of their own, as nested functions are slow to resolve.
+    """
+    (name, ends) = fresh(docs, "pieces", "ends")
+    again = F.exists(held, _is_run)
+    looked = F.transform(held, lambda v: F.when(_is_run(v), _cards(v["new"], key, True)).otherwise(F.array(v)))
+    docs = docs.withColumn(name, F.when(again, looked))
+    docs = docs.withColumn(name, F.when(F.col(name).isNotNull(), F.flatten(F.zip_with(between, F.col(name), _with_pieces))))
+    docs = docs.withColumn(ends, F.filter(F.sequence(F.lit(1), F.size(name)), lambda i: F.element_at(name, i)["kind"].isNotNull()))
+    docs = docs.withColumn(name, F.when(F.col(name).isNotNull(), _joined(F.col(name), F.col(ends)))).drop(ends)
+    docs = docs.withColumn(name, _each_plain(F.col(name), lambda t: _rest(t, key)))
+    return docs.withColumn(name, _each_plain(F.col(name), lambda t: _other_cards(t, key))), name
+
+
 def pseudonymise(docs: DataFrame, key: str = "change-me", text_col: str = "text", found: str = "pii") -> DataFrame:
     """``docs`` with the values in its texts replaced, and a column of the kinds found, in order.
 
@@ -221,6 +329,10 @@ def pseudonymise(docs: DataFrame, key: str = "change-me", text_col: str = "text"
     (held,) = fresh(docs, "pseudonyms")
     out = docs.withColumn(held, new)
     between = F.split(text, PATTERN, -1)
-    whole = F.array_join(F.zip_with(between, F.concat(F.col(f"{held}.new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    kinds = F.filter(F.coalesce(F.col(f"{held}.kind"), F.array().cast("array<string>")), lambda k: k.isNotNull())
-    return out.withColumn(text_col, F.when(F.size(held) > 0, whole).otherwise(text)).withColumn(found, kinds).drop(held)
+    # Only texts with a run of digits that is no card are looked through again.
+    out, again = _look_again(out, held, between, key)
+    (pieces,) = fresh(out, "text")
+    out = out.withColumn(pieces, F.coalesce(again, F.when(F.size(held) > 0, F.flatten(F.zip_with(between, F.col(held), _with_before)))))
+    whole = F.array_join(F.col(f"{pieces}.new"), "")
+    kinds = F.filter(F.coalesce(F.col(f"{pieces}.kind"), F.array().cast("array<string>")), lambda k: k.isNotNull())
+    return out.withColumn(text_col, F.when(F.size(held) > 0, whole).otherwise(text)).withColumn(found, kinds).drop(held, again, pieces)
