@@ -254,6 +254,17 @@ def test_values_inside_longer_digit_runs(spark):
     assert got[4].endswith(" 2025")
 
 
+def test_long_and_dotted_secrets(spark):
+    rng = random.Random(4)
+    long, token = "".join(rng.choice("abcXYZ0189") for _ in range(2000)), "eyJhbGci.eyJzdWIi.c2lnbmF0"
+    rows = [(0, f"token={long} end"), (1, f"token={token}. Next"), (2, "token=aaa.bbb.ccc"), (3, f"token={long[:600]}")]
+    got = [r["text"] for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "i int, text string"), "secret").orderBy("i").collect()]
+    for (_, old), new in zip(rows, got):
+        assert len(old) == len(new) and re.sub(r"[A-Za-z0-9]", "", old) == re.sub(r"[A-Za-z0-9]", "", new)
+    assert got[0].endswith(" end") and got[1].endswith(". Next") and not any(p in got[1] for p in token.split("."))
+    assert not any(long[k : k + 12] in got[0] for k in range(0, 1989)) and got[2][6:9] != "aaa" and got[2][14:] != "ccc"
+
+
 def test_permutations_are_one_to_one(spark):
     all3 = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
     assert all3.select(pseudonyms.permute(F.col("v"), pseudonyms.DIGITS, "k", "t").alias("p")).distinct().count() == 1000

@@ -31,7 +31,7 @@ FIRST_DAY = "1800-01-01"
 DAYS = (189, 773)  # their product is the days of 400 years
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-SECRET = r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)[A-Za-z0-9+/_=-]{8,512}"
+SECRET = r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)[A-Za-z0-9+/_=-](?:\.?[A-Za-z0-9+/_=-]){7,}+"
 CLOUD_KEY = r"\bAKIA[0-9A-Z]{16}\b"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/.-][0-9])"
@@ -187,10 +187,17 @@ def _secret(match: Column, key: str) -> Column:
     """Letters keep their case; the value alone is changed, the word before it stays."""
     head = F.regexp_extract(match, r"^(?:AKIA|(?i:[a-z_-]+[ \t]{0,3}[=:][ \t]{0,3}[\"']?))", 0)
     value = F.substring(match, F.char_length(head) + 1, F.char_length(match))
-    upper = _refill(value, "0-9A-Z", permute(_only(value, "0-9A-Z"), UPPER, key, "secret"))
-    lower = _refill(value, "0-9a-z", permute(_only(value, "0-9a-z"), LOWER, key, "secret"))
-    mixed = _bind(lower, lambda v: _refill(v, "A-Z", permute(_only(v, "A-Z"), UPPER[10:], key, "secret-case")))
-    return F.concat(head, F.when(value.rlike("[a-z]"), mixed).otherwise(upper))
+
+    def upper(v: Column) -> Column:
+        return _refill(v, "0-9A-Z", permute(_only(v, "0-9A-Z"), UPPER, key, "secret"))
+
+    def mixed(v: Column) -> Column:
+        lower = _refill(v, "0-9a-z", permute(_only(v, "0-9a-z"), LOWER, key, "secret"))
+        return _bind(lower, lambda w: _refill(w, "A-Z", permute(_only(w, "A-Z"), UPPER[10:], key, "secret-case")))
+
+    # Longer values go part by part, as a permutation's cost is the square of the length.
+    parts = F.regexp_extract_all(value, F.lit(".{1,512}"), F.lit(0))
+    return F.concat(head, F.array_join(F.when(value.rlike("[a-z]"), F.transform(parts, mixed)).otherwise(F.transform(parts, upper)), ""))
 
 
 def pseudonym(match: Column, key: str) -> Column:
