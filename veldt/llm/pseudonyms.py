@@ -8,9 +8,12 @@ across documents, and different values of a kind never share one.
     phone   international or national numbers: the digits are permuted, a country code stays
     ssn     3-2-4 digits
     ip      IPv4 addresses with bytes up to 255: permuted among all addresses
-    date    real dates of the years 1800 to 2199, in three notations: permuted among the days of these 400 years
+    date    real dates of the years 1800 to 2199: permuted among the days of these 400 years. Between
+            slashes the month comes first where that gives a date, and else the day; the latter dates
+            are permuted among themselves, so that no two texts of a date become one
     email   letters and digits before the last dot
-    secret  what follows a word such as password or token, and cloud access keys
+    secret  what follows a word such as password or token, and cloud access keys: digits among digits,
+            small letters among small ones, capitals among capitals
 
 A network splits a value into two parts and adds to each, in turn and place by place, a keyed hash
 of the other, modulo the size of the alphabet: any such round can be undone, whatever the hash.
@@ -29,6 +32,7 @@ LOWER = "0123456789abcdefghijklmnopqrstuvwxyz"
 UPPER = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FIRST_DAY = "1800-01-01"
 DAYS = (189, 773)  # their product is the days of 400 years
+LATE_DAYS = (9, 9833)  # their product is those days of the 400 years that are beyond the 12th of a month
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 SECRET = r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)[A-Za-z0-9+/_=-](?:\.?[A-Za-z0-9+/_=-]){7,}+"
@@ -68,27 +72,31 @@ def _stream(key: str, label: str, turn: Column, text: Column, size: Column) -> C
     return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.sha2(F.concat(seed, k.cast("string")), 512)), "")
 
 
-def _shift(text: Column, stream: Column, alphabet: str) -> Column:
+def _as_column(x: Column | str) -> Column:
+    return F.lit(x) if isinstance(x, str) else x
+
+
+def _shift(text: Column, stream: Column, alphabet: Column) -> Column:
     """Add the stream to the text, place by place, in the alphabet."""
 
     def one(s: Column, i: Column) -> Column:
         # Beyond the stream's 256 bytes it repeats; a round stays reversible.
         add = F.conv(F.substring(s, F.pmod(i - 1, F.lit(256)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        place = F.position(_pick(text, i), F.lit(alphabet)) - 1
-        return _pick(F.lit(alphabet), F.pmod(place + add, F.lit(len(alphabet))) + 1)
+        place = F.position(_pick(text, i), alphabet) - 1
+        return _pick(alphabet, F.pmod(place + add, F.char_length(alphabet)) + 1)
 
     places = F.sequence(F.lit(1), F.char_length(text))
     shifted = _bind(stream, lambda s: F.array_join(F.transform(places, lambda i: one(s, i)), ""))
     return F.when(F.char_length(text) > 0, shifted).otherwise(F.lit(""))
 
 
-def permute(value: Column, alphabet: str, key: str, label: str) -> Column:
+def permute(value: Column, alphabet: Column | str, key: str, label: str) -> Column:
     """A keyed permutation of the strings of each length over ``alphabet``.
 
     A round turns the parts (a, b) to (b, a shifted by a hash of b); after an even number of rounds
     the parts have their first lengths again.
     """
-    size = F.char_length(value)
+    size, alphabet = F.char_length(value), _as_column(alphabet)
     half = F.floor(size / 2).cast("int")
     pair = F.struct(F.substring(value, F.lit(1), half).alias("a"), F.substring(value, half + 1, size).alias("b"), size.alias("n"))
 
@@ -98,20 +106,21 @@ def permute(value: Column, alphabet: str, key: str, label: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), pair, turn, lambda p: F.concat(p["a"], p["b"]))
 
 
-def _refill(template: Column, characters: str, filling: Column) -> Column:
+def _refill(template: Column, characters: Column | str, filling: Column) -> Column:
     """``template`` with its characters of the class replaced, in order, by those of ``filling``."""
+    inside, outside = (F.concat(F.lit(x), _as_column(characters), F.lit("]")) for x in ("[", "[^"))
 
     def one(filling: Column, i: Column) -> Column:
         char = _pick(template, i)
-        rank = F.char_length(F.regexp_replace(F.substring(template, F.lit(1), i), F.lit(f"[^{characters}]"), F.lit("")))
-        return F.when(char.rlike(f"[{characters}]"), _pick(filling, rank)).otherwise(char)
+        rank = F.char_length(F.regexp_replace(F.substring(template, F.lit(1), i), outside, F.lit("")))
+        return F.when(F.rlike(char, inside), _pick(filling, rank)).otherwise(char)
 
     places = F.sequence(F.lit(1), F.char_length(template))
     return _bind(filling, lambda f: F.array_join(F.transform(places, lambda i: one(f, i)), ""))
 
 
-def _only(text: Column, characters: str) -> Column:
-    return F.regexp_replace(text, F.lit(f"[^{characters}]"), F.lit(""))
+def _only(text: Column, characters: Column | str) -> Column:
+    return F.regexp_replace(text, F.concat(F.lit("[^"), _as_column(characters), F.lit("]")), F.lit(""))
 
 
 def _luhn_sum(digits: Column, skip: int) -> Column:
@@ -147,9 +156,9 @@ def _phone(match: Column, key: str) -> Column:
     return F.concat(code, _digits(rest, key, "phone"))
 
 
-def _number(value: Column, sizes: tuple[int, int], key: str, label: str, last) -> Column:
+def _number(value: Column, sizes: tuple[int | Column, int | Column], key: str, label: str, last) -> Column:
     """A keyed permutation of 0 to the product of ``sizes``, and ``last`` of its result."""
-    m, n = (F.lit(x).cast("bigint") for x in sizes)
+    m, n = ((F.lit(x) if isinstance(x, int) else x).cast("bigint") for x in sizes)
     pair = F.struct(F.floor(value / n).cast("bigint").alias("a"), F.pmod(value, n).alias("b"), m.alias("m"), n.alias("n"))
 
     def turn(p: Column, t: Column) -> Column:
@@ -167,14 +176,41 @@ def _ip(match: Column, key: str) -> Column:
     return F.when(~F.exists(bytes_, lambda x: x > 255), _number(value, (1 << 16, 1 << 16), key, "ip", written))
 
 
+def _day(days: Column) -> Column:
+    return F.date_add(F.lit(FIRST_DAY).cast("date"), days.cast("int"))
+
+
+def _late_rank(day: Column, days: Column) -> Column:
+    """The place of a date beyond the 12th among all such dates: each month before it has twelve others."""
+    return days - 12 * ((F.year(day) - int(FIRST_DAY[:4])) * 12 + F.month(day))
+
+
+def _late_day(rank: Column) -> Column:
+    """The date of a place. A month has 18.4 such days on average, and no month's first place is far from that."""
+    first = F.lit(FIRST_DAY).cast("date")
+
+    def start(month: Column) -> Column:
+        return F.datediff(F.add_months(first, month), first) - 12 * month
+
+    near = F.floor(rank * (12 * 400) / (LATE_DAYS[0] * LATE_DAYS[1])).cast("int")
+    month = F.array_max(F.filter(F.sequence(F.greatest(near - 1, F.lit(0)), near + 1), lambda m: start(m) <= rank))
+    return _bind(month, lambda m: F.date_add(F.add_months(first, m), (rank - start(m) + 12).cast("int")))
+
+
 def _date(match: Column, key: str) -> Column:
-    notations = (("-", "yyyy-MM-dd"), ("/", "MM/dd/yyyy"), ("/", "dd/MM/yyyy"), (".", "dd.MM.yyyy"))
-    out = F.lit(None).cast("string")
-    for mark, notation in reversed(notations):
-        days = F.datediff(F.try_to_timestamp(match, F.lit(notation)).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("bigint")
-        permuted = _number(days, DAYS, key, "date", lambda v, n=notation: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), v.cast("int")), n))
-        out = F.when(F.contains(match, F.lit(mark)) & days.between(0, DAYS[0] * DAYS[1] - 1), permuted).otherwise(out)
-    return out
+    """ISO dates, dates with dots and those with slashes and the month first are permuted alike, so equal days stay linked."""
+
+    month_first = F.try_to_timestamp(match, F.lit("MM/dd/yyyy")).isNotNull()
+    notation = F.when(F.contains(match, F.lit("-")), "yyyy-MM-dd").when(F.contains(match, F.lit(".")), "dd.MM.yyyy").when(month_first, "MM/dd/yyyy").otherwise("dd/MM/yyyy")
+
+    def new(v: Column) -> Column:
+        late, days = v["notation"] == "dd/MM/yyyy", F.datediff(v["day"], F.lit(FIRST_DAY).cast("date")).cast("bigint")
+        sizes = tuple(F.when(late, a).otherwise(b) for a, b in zip(LATE_DAYS, DAYS))
+        seed = F.struct(days.alias("days"), F.when(late, _late_rank(v["day"], days)).otherwise(days).alias("value"), *(x.alias(k) for x, k in zip(sizes, "mn")))
+        written = lambda r: F.call_function("date_format", F.when(late, _late_day(r)).otherwise(_day(r)), v["notation"])
+        return _bind(seed, lambda x: F.when(x["days"].between(0, DAYS[0] * DAYS[1] - 1), _number(x["value"], (x["m"], x["n"]), key, "date", written)))
+
+    return _bind(notation, lambda n: _bind(F.struct(n.alias("notation"), F.try_to_timestamp(match, n).cast("date").alias("day")), new))
 
 
 def _email(match: Column, key: str) -> Column:
@@ -184,20 +220,21 @@ def _email(match: Column, key: str) -> Column:
 
 
 def _secret(match: Column, key: str) -> Column:
-    """Letters keep their case; the value alone is changed, the word before it stays."""
+    """The value alone is changed, the word before it stays. Letters keep their case and digits stay digits."""
     head = F.regexp_extract(match, r"^(?:AKIA|(?i:[a-z_-]+[ \t]{0,3}[=:][ \t]{0,3}[\"']?))", 0)
     value = F.substring(match, F.char_length(head) + 1, F.char_length(match))
 
-    def upper(v: Column) -> Column:
-        return _refill(v, "0-9A-Z", permute(_only(v, "0-9A-Z"), UPPER, key, "secret"))
+    classes = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(x).alias("alphabet")) for c, x in (("0-9", DIGITS), ("a-z", LOWER[10:]), ("A-Z", UPPER[10:]))))
+
+    def one(v: Column, k: Column) -> Column:
+        own = _bind(_only(v, k["c"]), lambda w: permute(w, k["alphabet"], key, "secret"))
+        return F.when(F.rlike(v, F.concat(F.lit("["), k["c"], F.lit("]"))), _refill(v, k["c"], own)).otherwise(v)
 
-    def mixed(v: Column) -> Column:
-        lower = _refill(v, "0-9a-z", permute(_only(v, "0-9a-z"), LOWER, key, "secret"))
-        return _bind(lower, lambda w: _refill(w, "A-Z", permute(_only(w, "A-Z"), UPPER[10:], key, "secret-case")))
+    def part(v: Column) -> Column:
+        return F.aggregate(classes, v, one)
 
     # Longer values go part by part, as a permutation's cost is the square of the length.
-    parts = F.regexp_extract_all(value, F.lit(".{1,512}"), F.lit(0))
-    return F.concat(head, F.array_join(F.when(value.rlike("[a-z]"), F.transform(parts, mixed)).otherwise(F.transform(parts, upper)), ""))
+    return F.concat(head, F.array_join(F.transform(F.regexp_extract_all(value, F.lit(".{1,512}"), F.lit(0)), part), ""))
 
 
 def pseudonym(match: Column, key: str) -> Column:
@@ -321,13 +358,16 @@ def _look_again(docs: DataFrame, held: str, between: Column, key: str) -> tuple[
     return docs.withColumn(name, _each_plain(F.col(name), lambda t: _other_cards(t, key))), name
 
 
-def pseudonymise(docs: DataFrame, key: str = "change-me", text_col: str = "text", found: str = "pii") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found: str = "pii") -> DataFrame:
     """``docs`` with the values in its texts replaced, and a column of the kinds found, in order.
 
-    Null texts stay null, with no kinds. Everything between the values stays byte for byte. Other
-    columns and repeated rows stay as they are; a column named ``found`` is replaced. The key is a
-    secret: without it pseudonyms cannot be turned back.
+    Null texts stay null, with no kinds; an empty table gives an empty one. Everything between the
+    values stays byte for byte, in texts and values of any length. Other columns and repeated rows
+    stay as they are; a column named ``found`` is replaced. The key is a secret: who knows it can
+    turn pseudonyms back.
     """
+    if not key:
+        raise ValueError("a key is needed")
     text = F.col(text_col)
     # Texts without a digit, @, = or : have no value of any kind.
     maybe = text.rlike("[0-9@=:]")

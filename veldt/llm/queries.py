@@ -40,7 +40,7 @@ def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
+    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), "key of the test tables")
     return found.select("doc_id", "text", F.size("pii").alias("n_found"), "pii")
 
 
