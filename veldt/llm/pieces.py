@@ -7,10 +7,16 @@ a round finds each word's best adjacent pair, merges it at once wherever it occu
 from the left, and compacts the array; words without a pair drop out. A merge whose result could
 take part in a better pair than itself is done one place at a time, so the outcome is that of one
 best merge after another.
+
+In long words a round merges every pair that is best among all pairs within a piece's length of it:
+whatever could take one of its symbols away first lies inside one piece, and so within that reach.
+Ranks are kept between rounds and looked up anew beside merges only. Texts in which such rounds make
+little headway, as long runs of one character do, are finished pair by pair from a heap.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +30,10 @@ from veldt.llm.bytebpe import batches_of
 
 DEFAULT = "piece_bpe_32k.model"
 MARK = "▁"
-MEMO = 400_000  # words a worker remembers
+MEMO_BYTES = 96 << 20  # what a worker remembers, beside the words of one batch
+ENTRY = 200  # bytes of a remembered word, beside its characters and ids
+LONG = 96  # characters from which a word's pairs merge by reach
+PASSES = 80  # times that the rounds by reach may go over a long word
 ROUND_SYMBOLS = 2_000_000  # symbols that merge together
 _NO_RANK = np.iinfo(np.int64).max
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -36,6 +45,17 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT)
 
 
+def _window_min(x: np.ndarray, reach: int) -> np.ndarray:
+    """The least of each value and those up to ``reach`` places before and after it."""
+    size, have = 2 * reach + 1, 1
+    out = np.concatenate([np.full(reach, _NO_RANK), x, np.full(reach, _NO_RANK)])
+    while have < size:  # ``out`` holds the least of ``have`` values from each place on
+        step = min(have, size - have)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        have += step
+    return out
+
+
 class PieceBpe:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -72,9 +92,14 @@ class PieceBpe:
         own = np.full(len(self.pieces), _NO_RANK)
         own[self.made] = self.rank
         self.eager = best <= own  # as a part, it can make something that merges no later than itself
+        if len(order) != len(plain):
+            self.eager[:] = True
+        self.reach = max(map(len, self.ids)) - 1
+        self.pairs = pairs
         #: Ids of words, and the decoded text of those that don't decode to themselves. A word's key is what follows its mark, or the word if that would be empty or begin with a mark.
         self.memo: dict[str, bytes] = {}
         self.odd: dict[str, str] = {}
+        self.held = 0
 
     def _plain_normaliser(self, model) -> bool:
         odd = "  a  éé　ｆ\t\n "
@@ -90,7 +115,82 @@ class PieceBpe:
         chars, back = np.unique(points, return_inverse=True)
         single = np.array([self.ids.get(chr(c), -1 - int(c)) for c in chars.tolist()], np.int64)
         flat, word = single[back], np.repeat(np.arange(len(words)), sizes)
-        done_flat, done_word = [], []
+        long = sizes[word] >= LONG
+        parts = [self._rounds(flat[~long], word[~long]), self._rounds_by_reach(flat[long], word[long])]
+        flat, word = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(word, kind="stable")
+        return np.split(flat[order], np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
+
+    def _looked_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, made piece) of each pair of neighbours."""
+        key = np.where((a >= 0) & (b >= 0), a << 32 | np.maximum(b, 0), -1)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], _NO_RANK), self.made[at]
+
+    def _rounds_by_reach(self, flat: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, words) after all merges of long words.
+
+        A pair merges if no other within reach is better, an equal one to the left included. Where
+        what it makes can only merge later than itself, equal pairs do not wait for each other: of
+        those that overlap every second one merges, counted from the left.
+        """
+        if len(flat) < 2:
+            return flat, word
+        rank, made = self._looked_up(flat[:-1], flat[1:])
+        rank = np.where(word[1:] == word[:-1], rank, _NO_RANK)
+        budget = PASSES * len(flat)
+        while (able := rank < _NO_RANK).any():
+            budget -= len(rank)
+            if budget < 0:
+                return self._one_by_one(flat, word, rank, made)
+            place = np.arange(len(rank))
+            key = np.where(able, np.minimum(rank, 1 << 30) << 32 | place, _NO_RANK)
+            least = _window_min(key, self.reach)
+            tied = able & (rank == least >> 32)
+            start = np.maximum.accumulate(np.where(np.append(True, rank[1:] != rank[:-1]), place, 0))
+            waiting = np.maximum.accumulate(np.where(tied, -1, place))
+            take = able & (key == least) | tied & ((place - start) % 2 == 0) & (waiting < start) & ~self.eager[made]
+            here = np.flatnonzero(take)
+            flat[here] = made[here]
+            keep = np.ones(len(flat), bool)
+            keep[here + 1] = False
+            flat, word = flat[keep], word[keep]
+            keep = ~take
+            rank, made = rank[keep], made[keep]
+            at = here - np.arange(len(here))  # where the merged symbols are now
+            for pair in (at[at > 0] - 1, at[at < len(rank)]):
+                pair = pair[word[pair] == word[pair + 1]]
+                rank[pair], made[pair] = self._looked_up(flat[pair], flat[pair + 1])
+        return flat, word
+
+    def _one_by_one(self, flat: np.ndarray, word: np.ndarray, rank: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, pair by pair: of the best pairs of a word the leftmost first."""
+        symbols, n = flat.tolist(), len(flat)
+        able = np.flatnonzero(rank < _NO_RANK)
+        heap = list(zip(rank[able].tolist(), able.tolist(), flat[able].tolist(), flat[able + 1].tolist()))
+        heapq.heapify(heap)
+        after = np.append(np.where(word[1:] == word[:-1], np.arange(1, n), n), n).tolist()
+        before = np.append(-1, np.where(word[1:] == word[:-1], np.arange(n - 1), -1)).tolist()
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j == n or symbols[j] != b:
+                continue
+            symbols[i], symbols[j] = self.pairs[a << 32 | b][1], None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for left, right in ((before[i], i), (i, k)):
+                if left >= 0 and right < n and symbols[left] >= 0 and symbols[right] >= 0:
+                    found = self.pairs.get(symbols[left] << 32 | symbols[right])
+                    if found:
+                        heapq.heappush(heap, (found[0], left, symbols[left], symbols[right]))
+        keep = np.array([x is not None for x in symbols])
+        return np.array([x for x in symbols if x is not None], np.int64), word[keep]
+
+    def _rounds(self, flat: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, words) after all merges of short words, in any order of words."""
+        done_flat, done_word = [flat[:0]], [word[:0]]
         while len(flat):
             same = word[1:] == word[:-1]
             usable = same & (flat[1:] >= 0) & (flat[:-1] >= 0)
@@ -120,9 +220,7 @@ class PieceBpe:
             keep = open_
             keep[here + 1] = False
             flat, word = flat[keep], word[keep]
-        flat, word = np.concatenate(done_flat), np.concatenate(done_word)
-        order = np.argsort(word, kind="stable")
-        return np.split(flat[order], np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
+        return np.concatenate(done_flat), np.concatenate(done_word)
 
     def _learn(self, keys: list[str]) -> None:
         new = [k if k.startswith(MARK) else MARK + k for k in keys]
@@ -137,6 +235,7 @@ class PieceBpe:
                 if min(ids) < 0:
                     ids = [x for s in ids for x in ([s] if s >= 0 else [self.byte_ids[b] for b in chr(-1 - s).encode()])]
                 self.memo[key] = np.array(ids, np.int32).tobytes()
+                self.held += ENTRY + 4 * (len(key) + len(ids))
                 if (decoded := self._joined(ids)) != word:
                     self.odd[key] = decoded
             at = stop
@@ -169,8 +268,9 @@ class PieceBpe:
         cut = [self.words(x) for x in texts]
         new = set().union(*cut).difference(self.memo)
         if new:
-            if len(self.memo) + len(new) > MEMO:
+            if self.held > MEMO_BYTES:
                 self.memo.clear(), self.odd.clear()
+                self.held = 0
                 new = set().union(*cut)
             self._learn(list(new))
         get, odd, end, out = self.memo.__getitem__, self.odd, np.array([self.end], np.int32).tobytes(), []
@@ -195,8 +295,10 @@ def codec(path: str) -> PieceBpe:
 def encode_decode(docs: DataFrame, model: str | None = None, text_col: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with the ids of each whole text, an end id last, and the text decoded from them.
 
-    Null and empty texts have the end id alone and decode to an empty text. Other columns, and
-    repeated rows, stay as they are; columns named like the two new ones are replaced.
+    Null and empty texts have the end id alone and decode to an empty text; an empty table gives an
+    empty one. Texts of any length go whole, words of any length too: their time grows about in
+    proportion. Other columns, and repeated rows, stay as they are; columns named like the two new
+    ones are replaced.
     """
     path = model or default_path()
     rest = [c for c in docs.columns if c not in (ids, decoded)]
