@@ -143,7 +143,7 @@ def test_pseudonyms(docs, empty):
     assert ids(rows, "doc_id") == EXPECTED
     before = Counter((r["doc_id"], r["text"]) for r in docs.collect())
     assert Counter((r["doc_id"], r["text"]) for r in rows) == before
-    assert pseudonyms.pseudonymise(empty).count() == 0
+    assert pseudonyms.pseudonymise(empty, "k").count() == 0
 
 
 def test_token_counts(docs, empty):

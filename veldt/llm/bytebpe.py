@@ -2,7 +2,7 @@
 
 The vocabulary's splitting rule always cuts before a space that a non-space follows, and around a
 single line end between non-spaces, so the parts between such cuts encode independently. A worker
-keeps the ids of the parts that it has seen, up to a bound, and passes the others to the library
+keeps the ids of the parts that it has seen, up to a bound in bytes, and passes the others to the library
 together. Texts with other runs of white space are cut before spaces only.
 """
 
@@ -15,7 +15,8 @@ from functools import lru_cache
 import numpy as np
 
 DEFAULT = "byte_bpe_50k.json"
-MEMO = 1_200_000  # parts a worker remembers
+MEMO_BYTES = 256 << 20  # what a worker remembers, beside the parts of one batch
+ENTRY = 200  # bytes of a remembered part, beside its characters and ids
 _TOGETHER = 256  # parts that go to the library in one text
 _RUNS = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<!^)(?= \S)")
@@ -44,6 +45,7 @@ class ByteBpe:
         self.odd = re.compile("|".join([r"\s", *map(re.escape, self.special)]))
         self.simple = self._encode("\n").ids == [_END]  # else every text goes to the library whole
         self.memo: dict[str, bytes] = {}
+        self.held = 0
         # A token of the byte alphabet has a character for each of its bytes.
         self.bytes = np.zeros(self.size, np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
@@ -60,16 +62,9 @@ class ByteBpe:
             return []
         if not self.simple or any(x in text for x in self.special):
             return ["\n" + text]
-        if _RUNS.search(text):
+        if _has_runs(text):
             return [x[1:] if x[0] == " " and len(x) > 1 and x[1] != "\n" else "\n" + x for x in _CUT.split(text)]
-        out: list[str] = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            words[0] = "\n" + words[0]
-            out += words
-            out.append("\n\n")
-        out.pop()
-        return out
+        return ("\n" + text.replace("\n", " \n\n \n")).split(" ")
 
     def _learn(self, new: list[str]) -> None:
         odd = self.odd.search
@@ -86,15 +81,18 @@ class ByteBpe:
             first, last = [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)]
             raw = ids.tobytes()
             self.memo.update(zip(keys, [raw[4 * s : 4 * e] for s, e in zip(first, last)]))
+            self.held += ENTRY * len(keys) + sum(map(len, keys)) + len(raw)
         for key in alone:
             self.memo[key] = np.array(self._encode(_part(key)).ids, np.uint32).tobytes()
+            self.held += ENTRY + 4 * len(key) + len(self.memo[key])
 
     def _lookup(self, texts: list[str]) -> list[list[str]]:
         cut = [self.keys(x) for x in texts]
         new = set().union(*cut).difference(self.memo)
         if new:
-            if len(self.memo) + len(new) > MEMO:
+            if self.held > MEMO_BYTES:
                 self.memo.clear()
+                self.held = 0
                 new = set().union(*cut)
             self._learn(list(new))
         return cut
@@ -122,6 +120,13 @@ class ByteBpe:
         return out
 
 
+def _has_runs(text: str) -> bool:
+    """White space at an end, or next to other white space."""
+    if text.replace("\n", "").isprintable():  # then spaces and line ends are its only white space
+        return text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+    return _RUNS.search(text) is not None
+
+
 def _part(key: str) -> str:
     return key[1:] if key[0] == "\n" else " " + key
 
