@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from veldt.session import ship
 
 #: Random part of the folder names of one driver process.
 _RUN = uuid.uuid4().hex[:12]
+#: Paths that this process has handed out and not deleted.
+_HELD: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,18 +25,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder is used.
+    Only where a session on one machine has none (as in tests) a temporary folder is used.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="veldt-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; ``release`` deletes what is written there."""
-    return f"{shared_dir(spark)}/veldt-{_RUN}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder; ``discard`` or ``release`` deletes what is written there."""
+    path = f"{shared_dir(spark)}/veldt-{_RUN}/{name}-{uuid.uuid4().hex[:12]}"
+    _HELD.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -44,13 +52,38 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def in_tasks(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInArrow`` of a function of this package, which is sent to the workers first; for ``DataFrame.transform``."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _HELD.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once all that reads them is written itself."""
+    for df in tables:
+        _delete(df.sparkSession, [df.written_to])
+
+
+def held() -> list[str]:
+    """The paths that are in use now."""
+    return list(_HELD)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that ``materialize`` wrote in this process."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/veldt-{_RUN}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession, but: list[str] = ()) -> None:
+    """Delete what this process wrote to the shared folder, except the paths ``but``; for when the results are stored."""
+    _delete(spark, [p for p in _HELD if p not in but])
 
 
 def fresh(df: DataFrame, *stems: str) -> list[str]:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldt.llm.common import in_tasks
+
 from veldt.llm.bytebpe import batches_of
 
 DEFAULT = "piece_bpe_32k.model"
@@ -316,4 +318,4 @@ def encode_decode(docs: DataFrame, model: str | None = None, text_col: str = "te
                 part = batch.slice(s, e - s)
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array([x[1] for x in got], pa.string())], [*rest, ids, decoded])
 
-    return docs.select(*(f"`{c}`" for c in rest)).mapInArrow(run, f"{kinds}, `{ids}` array<int>, `{decoded}` string")
+    return docs.select(*(f"`{c}`" for c in rest)).transform(in_tasks, run, f"{kinds}, `{ids}` array<int>, `{decoded}` string")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldt.llm.common import materialize
+from veldt.llm.common import in_tasks, materialize
 
 STATISTICS = ("words", "word_chars", "upper", "digits", "stops", "shouts", "bars", "symbols", "accents", "line_ends", "distinct", "repeats", "line_repeats")
 _CLASS = np.zeros(256, np.uint8)
@@ -62,7 +62,7 @@ def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield pa.RecordBatch.from_arrays([batch.column(0), x], ["id", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, x array<double>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(in_tasks, run, f"id {kind}, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -106,7 +106,7 @@ def fit(features: DataFrame, labels: DataFrame, shrink: float = 0.1, ridge: floa
         at = np.arange(sums.size)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums.ravel())], ["at", "v"])
 
-    moments = features.join(known, "id").select("y", "x").mapInArrow(run, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v"))
+    moments = features.join(known, "id").select("y", "x").transform(in_tasks, run, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v"))
     sums = np.zeros(2 * (1 + d + d * d))
     for row in moments.collect():  # a number for each place of two matrices
         sums[row["at"]] = row["v"]
@@ -140,7 +140,7 @@ def score(features: DataFrame, model: Discriminant) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["id", "score"])
 
     kind = features.schema["id"].dataType.simpleString()
-    return features.select("id", "x").mapInArrow(run, f"id {kind}, score double")
+    return features.select("id", "x").transform(in_tasks, run, f"id {kind}, score double")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Discriminant]:
@@ -159,4 +159,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col
             x = np.array([statistics(t.as_py()) for t in batch.column(at)]).reshape(-1, len(STATISTICS))
             yield batch.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_tasks, run, docs.schema)

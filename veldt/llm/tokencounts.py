@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veldt.llm.common import in_tasks
+
 from veldt.llm import bytebpe
 
 RULES = ("first", "most", "split")
@@ -131,4 +133,4 @@ def count(docs: DataFrame, text: Column, sections: Column | str, rule: str = "fi
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(n, pa.int64()), pa.array(outside, pa.float64()), pa.ListArray.from_arrays(cuts, struct)], ["id", "n_tokens", "n_outside", "sections"])
 
     given = docs.select(F.col(id_col).alias("id"), text.alias("text"), *([] if lines else [sections.alias("sections")]))
-    return given.mapInArrow(run, f"id {kind}, n_tokens bigint, n_outside double, sections array<struct<name: string, start: int, end: int, tokens: double>>")
+    return given.transform(in_tasks, run, f"id {kind}, n_tokens bigint, n_outside double, sections array<struct<name: string, start: int, end: int, tokens: double>>")

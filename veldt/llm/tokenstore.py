@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veldt.llm.common import in_tasks
+
 from veldt.llm import bytebpe
 
 BLOCK_IDS = 1 << 18
@@ -105,7 +107,7 @@ def encode_blocks(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2
             yield flush()
 
     ordered = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return ordered.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text").mapInArrow(run, BLOCKS)
+    return ordered.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text").transform(in_tasks, run, BLOCKS)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -136,7 +138,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(cuts[:-1] + row["start"]), lists], ["doc_id", "start", "ids"])
 
-    return blocks(spark, path).select("doc_ids", "offsets", "bits", "n_ids", "payload", "start").mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
+    return blocks(spark, path).select("doc_ids", "offsets", "bits", "n_ids", "payload", "start").transform(in_tasks, run, "doc_id bigint, start bigint, ids array<int>")
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
@@ -150,7 +152,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
                 sums = [zlib.crc32(ids[4 * s : 4 * e]) for s, e in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(cuts[:-1] + row["start"]), pa.array(np.diff(cuts)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return blocks(spark, path).select("doc_ids", "offsets", "bits", "n_ids", "payload", "start").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return blocks(spark, path).select("doc_ids", "offsets", "bits", "n_ids", "payload", "start").transform(in_tasks, run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def ids_at(spark: SparkSession, path: str, start: int, stop: int) -> list[int]:
