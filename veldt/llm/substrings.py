@@ -2,17 +2,20 @@
 
 Every text is cut into blocks: the consecutive windows of ``window`` words that have the same
 anchor, the word run with the least hash in them. Equal windows have equal anchors at the same
-place in them, so a window can only repeat inside blocks of its anchor. The blocks are the
-reference dictionary, and a document is parsed against all of it:
+place in them, so a window can only repeat inside blocks of its anchor. The blocks with an anchor
+that stands elsewhere too are the reference, and each of them is parsed:
 
 * a block whose words all equal an earlier block's is one factor, a copy in whole;
-* where blocks share an anchor but differ around it, a factor ends inside them: there the first
-  block of each content is checked window by window;
+* otherwise the earliest block of its anchor is its reference. The two are laid upon each other at
+  the anchor, and the factor is extended from there, word by word in both directions, as long as
+  the words are equal. A factor of a window or more is a copy;
+* windows across a factor's boundary may stand in another block. They alone are compared by hash
+  with the windows that other factors left over;
 * touching factors join, and every word of a factor is removed.
 
 Blocks are counted with partial sums before their shuffle, so a passage in very many documents
-arrives as one row from each task. Block and window hashes are 64 bits wide and are compared
-together with the 64-bit anchor.
+arrives as one row from each task. Whole blocks and left-over windows are equal if their 64-bit
+hashes and their 64-bit anchors are.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldt.llm.common import materialize
+from veldt.llm.common import discard, in_tasks, materialize
 
 ANCHOR_WORDS = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -118,29 +121,78 @@ def _block_rows(window: int):
     return run
 
 
-def _window_rows(window: int):
-    """Hashes of all windows of the asked blocks."""
+def _reference_rows(window: int):
+    """The words of the asked blocks, the place of the anchor in them, and which of their windows stand earlier in the same text (a bit each)."""
+    k = min(ANCHOR_WORDS, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, tag, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                parsed = Parsed(text.as_py().encode().split(), window)
-                places = np.sort(np.array(asked.as_py(), np.int64)) >> _TAG_BITS  # in the order of the text
-                first, n = places >> _N_BITS, places & ((1 << _N_BITS) - 1)
-                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-                anchor, content = parsed.grams[parsed.anchor_at[at]], parsed.hash(at, window)
-                place = (at << (_N_BITS + _TAG_BITS)) | (1 << _TAG_BITS) | tag
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name)), pa.array(place), _signed(anchor), _signed(content), pa.array(_again(anchor, content))], ["id", "place", "anchor", "content", "again"])
+                words = text.as_py().encode().split()
+                parsed = Parsed(words, window)
+                places = np.sort(np.array(asked.as_py(), np.int64))  # in the order of the text
+                first, n = places >> (_N_BITS + _TAG_BITS), (places >> _TAG_BITS) & ((1 << _N_BITS) - 1)
+                starts = np.cumsum(n) - n
+                at = np.repeat(first - starts, n) + np.arange(n.sum())
+                twice = _again(parsed.grams[parsed.anchor_at[at]], parsed.hash(at, window))
+                bits = np.bitwise_or.reduceat(twice.astype(np.int64) << np.repeat(-starts, n) + np.arange(len(at)), starts)
+                anchor = parsed.anchor_at[first]
+                held = [b" ".join(words[s:e]) for s, e in zip(first.tolist(), (first + n + window - 1).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), name)), pa.array(places), _signed(parsed.grams[anchor]), pa.array(held, pa.binary()), pa.array((anchor - first).astype(np.int32)), pa.array(bits)], _REFERENCE.names)
+
+    _REFERENCE = pa.schema([("id", pa.int64()), ("place", pa.int64()), ("anchor", pa.int64()), ("words", pa.binary()), ("at", pa.int32()), ("twice", pa.int64())])
+    return run
+
+
+def extended(a: list[bytes], at: int, b: list[bytes], bt: int) -> tuple[int, int]:
+    """The longest run of ``a`` around its place ``at`` whose words equal those of ``b`` around ``bt``: (start, end)."""
+    low, high, shift = at, at, bt - at
+    least, most = max(0, -shift), min(len(a), len(b) - shift)
+    while low > least and a[low - 1] == b[low - 1 + shift]:
+        low -= 1
+    while high < most and a[high] == b[high + shift]:
+        high += 1
+    return low, high
+
+
+def _factor_rows(window: int):
+    """Of each block, its copied windows as places without an anchor, and its left-over windows with anchor and content."""
+    mask = (1 << _TAG_BITS) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for name, place, anchor, words, at, twice, ref_id, ref_place, ref_words, ref_at in zip(*(c.to_pylist() for c in batch.columns)):
+                tag, n, first = place & mask, place >> _TAG_BITS & (1 << _N_BITS) - 1, place >> _N_BITS + _TAG_BITS
+                own, gone = words.split(b" "), twice
+                if ref_id < name or (ref_id == name and ref_place & mask == tag and ref_place < place):
+                    start, end = extended(own, at, ref_words.split(b" "), ref_at)
+                    if end - start >= window:
+                        gone |= (1 << end - window + 1) - (1 << start)
+                w = 0
+                while w < n:
+                    run_n = 1
+                    if gone >> w & 1:
+                        while gone >> w + run_n & 1:
+                            run_n += 1
+                        key = None, None
+                    else:
+                        key = anchor, xxhash.xxh64_intdigest(b" ".join(own[w : w + window])) - (1 << 63)
+                    out.append((name, (first + w) << _N_BITS + _TAG_BITS | run_n << _TAG_BITS | tag, *key))
+                    w += run_n
+            names, places, anchors, contents = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(places, pa.int64()), pa.array(anchors, pa.int64()), pa.array(contents, pa.int64())], ["id", "place", "anchor", "content"])
 
     return run
 
 
 _ROW = "id bigint, place bigint, anchor bigint, content bigint, again boolean"
+_REFERENCE_ROW = "id bigint, place bigint, anchor bigint, words binary, at int, twice bigint"
 
 
 def _grouped(places: DataFrame, name: str) -> DataFrame:
-    """One row for each text: its places in an array, no longer than the text."""
-    return places.select("id", F.col("place").bitwiseAND(F.lit((1 << _TAG_BITS) - 1)).cast("int").alias("tag"), "place").groupBy("id", "tag").agg(F.collect_list("place").alias(name))
+    """One row for each text: its places in an array, no longer than the text. Repeated rows have the same places once."""
+    return places.select("id", F.col("place").bitwiseAND(F.lit((1 << _TAG_BITS) - 1)).cast("int").alias("tag"), "place").groupBy("id", "tag").agg(F.collect_set("place").alias(name))
 
 
 def deduplicate(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,13 +204,14 @@ def deduplicate(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
 
     Null texts have no words, texts shorter than a window lose none. Rows with a null id count as
     smaller than all others; of rows with equal ids none is earlier than another. Repeated rows
-    come out repeatedly. Extra columns are not read.
+    come out repeatedly, in time that grows with their number; an empty table gives an empty result.
+    Texts of any length are parsed whole. Extra columns are not read. A window has 5 to 63 words.
     """
     if not ANCHOR_WORDS <= window < 1 << _N_BITS:
         raise ValueError(f"a window has {ANCHOR_WORDS} to {(1 << _N_BITS) - 1} words")
     tag = F.xxhash64(text_col).bitwiseAND(F.lit((1 << _TAG_BITS) - 1)).cast("int")
     texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), tag.alias("tag"), F.col(text_col).alias("text"))
-    blocks = materialize(texts.mapInArrow(_block_rows(window), _ROW), "blocks")
+    blocks = materialize(texts.transform(in_tasks, _block_rows(window), _ROW), "blocks")
 
     anchors = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.min("content").alias("c0"), F.max("content").alias("c1"))
     # Written first, so that the join below has plain shuffles on both sides and a hot anchor's can be split.
@@ -166,6 +219,7 @@ def deduplicate(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
     found = materialize(blocks.join(shared, "anchor").where("mixed or again or id > low"), "shared-blocks")
     plain = found.where("not mixed").select("id", "place")
     mixed = found.where("mixed")
+    discard(blocks, shared)
     # Written first, for the same reason: one content may be in very many documents.
     firsts = materialize(mixed.where("not again").groupBy("anchor", "content").agg(F.min("id").alias("first")), "first-blocks")
     judged = mixed.join(firsts, ["anchor", "content"])
@@ -173,12 +227,18 @@ def deduplicate(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
     asked = judged.where("not again and id = first").select("id", "place")
     whole = materialize(plain.union(copies), "copied-blocks")
     asked = materialize(_grouped(asked, "asked"), "asked-blocks")
-
-    windows = texts.join(asked, ["id", "tag"]).select("id", "tag", "text", "asked").mapInArrow(_window_rows(window), _ROW)
-    windows = materialize(windows, "windows")
-    starts = materialize(windows.where("not again").groupBy("anchor", "content").agg(F.min("id").alias("first")), "first-windows")
-    repeats = windows.join(starts, ["anchor", "content"]).where("again or id > first").select("id", "place")
-    spans = _grouped(whole.union(repeats), "places")
+    discard(found, firsts)
+
+    own = materialize(texts.join(asked, ["id", "tag"]).select("id", "tag", "text", "asked").transform(in_tasks, _reference_rows(window), _REFERENCE_ROW), "reference-blocks")
+    earliest = own.groupBy("anchor").agg(F.min_by(F.struct("id", "place", "words", "at"), F.struct("id", "place")).alias("r"))
+    earliest = materialize(earliest.select("anchor", *(F.col(f"r.{c}").alias(f"ref_{c}") for c in ("id", "place", "words", "at"))), "earliest-blocks")
+    laid = own.join(earliest, "anchor").select("id", "place", "anchor", "words", "at", "twice", "ref_id", "ref_place", "ref_words", "ref_at")
+    factors = materialize(laid.transform(in_tasks, _factor_rows(window), "id bigint, place bigint, anchor bigint, content bigint"), "factors")
+    discard(asked, own, earliest)
+    left = factors.where("anchor is not null")
+    starts = materialize(left.groupBy("anchor", "content").agg(F.min("id").alias("first")), "first-windows")
+    repeats = left.join(starts, ["anchor", "content"]).where("id > first").select("id", "place")
+    spans = _grouped(whole.union(factors.where("anchor is null").select("id", "place")).union(repeats), "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,5 +258,5 @@ def deduplicate(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
             n_words, removed, kept, spans_ = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans_, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["id", "n_words", "n_removed", "kept", "spans"])
 
-    out = texts.join(spans, ["id", "tag"], "left").select("id", "text", "places").mapInArrow(cut, "id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start: int, end: int>>")
+    out = texts.join(spans, ["id", "tag"], "left").select("id", "text", "places").transform(in_tasks, cut, "id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start: int, end: int>>")
     return out.withColumn("id", F.when(F.col("id") != -(1 << 63), F.col("id")))
