@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veldt.llm.common import fresh, materialize
+from veldt.llm.common import fresh, in_tasks, materialize
 from veldt.llm.components import connected_components
 
 BITS = 64
 WIDE = 4  # words of a wide fingerprint
-TABLES, KEY_BITS = 64, 12  # bit samples by which wide fingerprints meet, and their width
+KEY_BITS = 12  # least width of the bit samples by which wide fingerprints meet
+MEETING = 256  # fingerprints that meet by chance in a sample, on average; wider samples keep it below that
+MISS = 0.002  # chance that two fingerprints at the similarity meet in no sample
 DENSE = 64  # candidates of larger groups go by a star first, then by the pairs that it left apart
 FAN = 8  # children of a node of the index
 QUERIES = 512  # searches that walk the tree together
@@ -107,7 +109,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(in_tasks, run, f"id {kind}, fp bigint")
 
 
 def _gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -227,7 +229,7 @@ def hamming_links(codes: DataFrame, max_bits: int = 2) -> DataFrame:
         a, b = _stars(rows[0], rows[1], rows[2].view(np.uint64), max_bits)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.transform(in_tasks, run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +245,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int = 3, id_col
     codes = prints.groupBy("fp").agg(F.min("id").alias("low"))
     roots = connected_components(hamming_links(codes.select("fp"), max_bits))
     classes = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
+    # Written first, so that the join has plain shuffles on both sides and a large component's rows can be split.
+    lowest = materialize(classes.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
     named = classes.join(lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("id", "fp", "component_id")
 
@@ -255,15 +258,27 @@ def similar_bits(similarity: float) -> int:
     one, and a bit differs with the probability of their angle over pi. The margin is five standard
     deviations.
     """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = BITS * WIDE
+    p, n = _differ(similarity), BITS * WIDE
     return round(n * p + 5 * math.sqrt(n * p * (1 - p)))
 
 
-def _table_places() -> np.ndarray:
+def _differ(similarity: float) -> float:
+    """Chance that a bit of two fingerprints differs."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sample_places(n: int, similarity: float) -> np.ndarray:
+    """The places of the bits of each sample, for ``n`` fingerprints.
+
+    Samples widen with the table, so that chance meetings stay few, and wider samples are more, so
+    that the chance to meet stays the same.
+    """
+    width = max(KEY_BITS, math.ceil(math.log2(max(1, n) / MEETING)))
+    samples = math.ceil(math.log(MISS) / math.log1p(-((1 - _differ(similarity)) ** width))) if similarity < 1 else 1
     rng = np.random.default_rng(64)
-    rounds = -(-TABLES * KEY_BITS // (BITS * WIDE))
-    return np.concatenate([rng.permutation(BITS * WIDE) for _ in range(rounds)])[: TABLES * KEY_BITS].reshape(TABLES, KEY_BITS)
+    each = BITS * WIDE // width  # samples of one permutation share no bit
+    dealt = [rng.permutation(BITS * WIDE)[: each * width].reshape(each, width) for _ in range(-(-samples // each))]
+    return np.concatenate(dealt)[:samples]
 
 
 def _near_in_group(wide: np.ndarray, most: int) -> np.ndarray:
@@ -279,9 +294,10 @@ def _near_in_group(wide: np.ndarray, most: int) -> np.ndarray:
 
 
 def _sample_keys(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The key of each wide fingerprint in each sample, a row of ``TABLES`` keys a fingerprint."""
+    """The key of each wide fingerprint in each sample, a row of keys a fingerprint."""
     bits = np.unpackbits(np.ascontiguousarray(codes).view(np.uint8).reshape(-1, 8 * WIDE), axis=1)
-    return np.stack([bits[:, p].astype(np.int32) @ (1 << np.arange(KEY_BITS, dtype=np.int32)) for p in places], axis=1)
+    powers = 1 << np.arange(places.shape[1], dtype=np.int64)
+    return np.stack([bits[:, p] @ powers for p in places], axis=1)
 
 
 def _near(codes: np.ndarray, rows: np.ndarray, others: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -331,21 +347,22 @@ def similar_candidates(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Candidate links (a, b, star) of wide fingerprints; every pair that is no star comes out once.
 
     ``wide`` has distinct rows (node: bigint, bits: binary) and may have roots (root: bigint). Two
-    fingerprints meet if a sample of ``KEY_BITS`` bits agrees in one of ``TABLES`` samples, and are
-    candidates if they differ in ``similar_bits`` or fewer. A pair belongs to the first sample in
+    fingerprints meet if all bits of one of the samples agree, and are candidates if they differ in ``similar_bits`` or fewer. A pair belongs to the first sample in
     which it meets. Dense components of a meeting group give a star only; with roots, the pairs of
     different roots come out, however dense.
     """
-    most, places, rooted = similar_bits(similarity), _table_places(), "root" in wide.columns
+    most, rooted = similar_bits(similarity), "root" in wide.columns
+    places = sample_places(wide.count(), similarity)
+    samples, width = places.shape
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(-1, WIDE)
-                keys = (_sample_keys(codes, places) | np.arange(TABLES, dtype=np.int32) << KEY_BITS).T.ravel()
-                order = pa.array(np.tile(np.arange(part.num_rows), TABLES))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(c.take(order) for c in part.columns)], ["key", *part.schema.names])
+                keys = (_sample_keys(codes, places) | np.arange(samples) << width).T.ravel()
+                order = pa.array(np.tile(np.arange(part.num_rows), samples))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(c.take(order) for c in part.columns)], ["key", *part.schema.names])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -383,14 +400,14 @@ def similar_candidates(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
         j = i + step
         if not star and len(i):
             known, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-            keys, table = _sample_keys(codes[known], places), key[i] >> KEY_BITS
+            keys, table = _sample_keys(codes[known], places), key[i] >> width
             first = np.concatenate([(keys[x] == keys[y]).argmax(axis=1) for x, y in zip(*(np.array_split(back[k * len(i) : (k + 1) * len(i)], len(i) // 100_000 + 1) for k in (0, 1)))])
             i, j = i[first == table], j[first == table]
         return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(np.full(len(i), star))], ["a", "b", "star"])
 
     more = ", root bigint" if rooted else ""
-    dealt = wide.select("node", "bits", *(["root"] if rooted else [])).mapInArrow(deal, f"key int, node bigint, bits binary{more}")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a bigint, b bigint, star boolean")
+    dealt = wide.select("node", "bits", *(["root"] if rooted else [])).transform(in_tasks, deal, f"key bigint, node bigint, bits binary{more}")
+    return dealt.repartition("key").sortWithinPartitions("key").transform(in_tasks, link, "a bigint, b bigint, star boolean")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -409,7 +426,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     left, right = sets.toDF("a", "held_a"), sets.toDF("b", "held_b")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "held_a", "held_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "held_a", "held_b").transform(in_tasks, run, "a bigint, b bigint")
 
 
 def similar_links(wide: DataFrame, sets_of, similarity: float = 0.8) -> DataFrame:
@@ -455,10 +472,10 @@ def _similar(docs: DataFrame, similarity: float, shingle: int, max_bits: int, bi
     def sets_of(few: DataFrame) -> DataFrame:
         one = nodes.join(few, "node").select("node", "text_tag")
         texts = docs.select(F.xxhash64(text_col).alias("text_tag"), F.col(text_col).alias("text")).join(one, "text_tag")
-        return texts.select("node", "text").mapInArrow(read, "node bigint, held binary").groupBy("node").agg(F.min("held").alias("held"))
+        return texts.select("node", "text").transform(in_tasks, read, "node bigint, held binary").groupBy("node").agg(F.min("held").alias("held"))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    prints = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag")).mapInArrow(run, f"id {kind}, tag bigint, fp bigint, bits binary, node bigint")
+    prints = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag")).transform(in_tasks, run, f"id {kind}, tag bigint, fp bigint, bits binary, node bigint")
     prints = materialize(prints, "fingerprints")
     nodes = prints.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("low"), F.min("bits").alias("bits"), F.min("tag").alias("text_tag"))
     known = prints.groupBy("fp").agg(F.min("node").alias("first"))
@@ -467,7 +484,7 @@ def _similar(docs: DataFrame, similarity: float, shingle: int, max_bits: int, bi
     by_bits = by_bits.join(known.select(F.col("fp").alias("a"), F.col("first").alias("na")), "a").join(known.select(F.col("fp").alias("b"), F.col("first").alias("nb")), "b")
     links = similar_links(nodes.select("node", "bits"), sets_of, similarity).union(by_bits.select("na", "nb")).union(same.where("a <> b"))
     classes = nodes.select("node", "low").join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = classes.groupBy("root").agg(F.min("low").alias("first"))
+    lowest = materialize(classes.groupBy("root").agg(F.min("low").alias("first")), "lowest")
     return prints.select("id", "node"), classes.join(lowest, "root").select("node", "first")
 
 
