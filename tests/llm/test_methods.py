@@ -4,9 +4,12 @@ import datetime
 import random
 import re
 import time
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -183,6 +186,47 @@ def test_similarity_is_confirmed_exactly(spark):
     assert sum(f for f, n in zip(found, near) if n) >= 59
 
 
+def test_recall_at_the_similarity_itself(spark):
+    rng = random.Random(28)
+    rows, near = [], []
+    for k in range(400):  # scattered changes of words until the sets are just at 0.80 to 0.82
+        words = [f"w{rng.randrange(40_000)}" for _ in range(rng.randrange(80, 400))]
+        copy = list(words)
+        grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        own = grams(words)
+        while True:
+            other = grams(copy)
+            j = len(own & other) / len(own | other)
+            if j < 0.82:
+                break
+            copy[rng.randrange(len(copy))] = f"n{rng.randrange(40_000)}"
+        near.append(0.8 <= j)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    found = [got[2 * k + 1] == 2 * k for k in range(400)]
+    assert sum(near) > 100 and sum(f for f, n in zip(found, near) if n) >= 0.97 * sum(near)
+    apart = [(simhash.simhash(a) ^ simhash.simhash(b)).bit_count() for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
+    assert not any(f and bits > 2 for f, n, bits in zip(found, near, apart) if not n)  # two bits or fewer link by themselves
+
+
+def test_samples_widen_with_the_table():
+    for n, width in ((10, 12), (1 << 20, 12), (1 << 24, 16), (10**9, 22)):
+        places = simhash.sample_places(n, 0.8)
+        chance = (1 - simhash._differ(0.8)) ** width
+        assert places.shape[1] == width and (1 - chance) ** len(places) <= simhash.MISS
+        assert all(len(set(p.tolist())) == width for p in places)
+
+
+def test_fingerprint_equals_a_plain_one():
+    rng = random.Random(2)
+    for n in (0, 1, 2, 3, 4, 50, 700):
+        text = " ".join(rng.choice(["A", "b\tc", "É", "dd", "\n"]) for _ in range(n))
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text))
+        runs = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        h = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+        assert simhash.simhash(text) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def test_dense_groups_keep_their_chains(spark):
     # A chain whose ends are unlike, in a group far larger than one that is compared pair by pair.
     words = [f"w{i}" for i in range(800)]
@@ -226,6 +270,24 @@ def test_substrings_equal_brute_force(spark, seed):
         assert got == brute_dedup(rows, window)
 
 
+def test_factors_extend_to_their_longest():
+    a, b = b"x a b c d e y".split(), b"p q a b c d f".split()
+    assert substrings.extended(a, 3, b, 4) == (1, 5) and substrings.extended(a, 0, a, 0) == (0, 7)
+    assert substrings.extended(a, 0, b, 0) == (0, 0) and substrings.extended(b, 6, b, 6) == (0, 7)
+
+
+def test_repeated_rows_cost_in_proportion(spark):
+    text = " ".join(f"w{i % 131}x{i % 17}" for i in range(400))
+    took = []
+    for n in (500, 2000):
+        docs = spark.createDataFrame([(7, text)] * n + [(8, text), (9, None)], "doc_id bigint, text string").repartition(4)
+        began = time.time()
+        got = Counter((r["id"], r["n_removed"]) for r in substrings.deduplicate(docs).collect())
+        took.append(time.time() - began)
+        assert got == {(7, 0): n, (8, 400): 1, (9, 0): 1}
+    assert took[1] < 4 * took[0] + 5
+
+
 def test_fingerprints_are_homomorphic(spark):
     rows = [("ab", "one\ntwo\nthree"), ("ba", "three\none\ntwo"), ("a", "one\ntwo"), ("b", "three")]
     v = {r["k"]: r["v"] for r in fingerprints.vectors(spark.createDataFrame(rows, "k string, t string"), ["k"], "t").collect()}
@@ -236,14 +298,46 @@ def test_fingerprints_are_homomorphic(spark):
     assert r["s"] == v["ab"] and r["d"] == v["a"] and r["one"] == 1.0 and 0 < r["part"] < 1
 
 
-def test_sharding_is_balanced_and_splits_only_large_groups():
+def test_placing_balances_three_dimensions():
     rng = np.random.default_rng(3)
     units = np.column_stack([rng.integers(1, 1000, 3000), rng.integers(1, 300, 3000), rng.integers(1, 5, 3000)]).astype(float)
     at = sharding.place(units, 8)
-    sums = np.bincount(at, units[:, 0], 8)
-    assert sums.max() - sums.min() < 5
-    rows = np.bincount(at, units[:, 2], 8)
-    assert rows.max() / rows.min() < 1.1
+    for d, share in ((0, 1e-4), (1, 0.01), (2, 0.01)):
+        sums = np.bincount(at, units[:, d], 8)
+        assert sums.max() - sums.min() <= share * sums.mean()
+
+
+def test_placing_splits_only_a_group_without_room():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 9, (500, 3)).astype(float)
+    total = sizes.sum(axis=0)
+    hot = np.repeat(total[None] / 64 / 2, 64, axis=0)  # a third of everything, in 64 pieces
+    half = np.repeat(total[None] / 64 / 20, 64, axis=0)  # fits into one shard
+    units, groups = np.concatenate([sizes, hot, half]), np.array([*range(500), *[500] * 64, *[501] * 64])
+    at = sharding.place(units, 8, groups)
+    assert len(set(at[groups == 501].tolist())) == 1 and len(set(at[groups == 500].tolist())) in (3, 4)
+    sums = np.stack([np.bincount(at, x, 8) for x in units.T])
+    assert (sums.max(axis=1) <= 1.02 * sums.mean(axis=1)).all()
+
+
+def test_shards_of_a_table_with_large_groups(spark):
+    rows = [(i, f"text number {i} " + "x" * (i % 97)) for i in range(800)] + [(1000 + i, "one popular text") for i in range(400)] + [(None, None)] * 30 + [(5, "twice"), (5, "twice")]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), 8).collect()
+    assert Counter((r["id"], r["size"]) for r in got) == Counter((i, len(t or "") + 1) for i, t in rows)
+    sums = Counter()
+    for r in got:
+        sums[r["shard"]] += r["size"]
+        assert r["text_crc32"] == zlib.crc32(b"") or r["text_crc32"] in {zlib.crc32((t or "").encode()) for i, t in rows if i == r["id"]}
+    assert max(sums.values()) - min(sums.values()) <= 0.02 * sum(sums.values()) / 8
+    for k in range(8):
+        own = [r["slot"] for r in got if r["shard"] == k]
+        assert sorted(own) == list(range(len(own)))
+    where = defaultdict(set)
+    for r in got:
+        where[r["text_crc32"], r["size"]].add(r["shard"])
+    split = [k for k, v in where.items() if len(v) > 1]
+    assert split in ([], [(zlib.crc32(b"one popular text"), 17)])  # the popular text is over two shards
+    assert sharding.shard(spark.createDataFrame([(i, "the same") for i in range(200)] + [(i, f"{i} " * 40) for i in range(200, 9000)], "doc_id bigint, text string"), 8).where("id < 200").select("shard").distinct().count() == 1
 
 
 def luhn(x):
