@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veldt.operators import windows
+from veldt.operators.relational import small
 
 
 def conditional_counts(df: DataFrame, **conditions: Column) -> DataFrame:
@@ -48,9 +48,15 @@ def match_statistics(df: DataFrame, match: list[str], sums: list[str]) -> DataFr
     return df.groupBy(*match).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c).cast("double")).alias(c) for c in sums))
 
 
+def first_row(df: DataFrame, match: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Attributes of the first row of each match, by an explicit order (A3)."""
+    first = F.min_by(F.struct(*columns), F.struct(*order)).alias("__first")
+    return df.groupBy(*match).agg(first).select(*match, *(F.col(f"__first.{c}").alias(c) for c in columns))
+
+
 def zero_filled(df: DataFrame, match: str, category: str, sums: list[str]) -> DataFrame:
     """A row for every match and category, zeros where there are no rows."""
-    grid = df.select(match).distinct().crossJoin(F.broadcast(df.select(category).distinct()))
+    grid = df.select(match).distinct().crossJoin(small(df.select(category).distinct()))
     return grid.join(match_statistics(df, [match, category], sums), [match, category], "left").na.fill(0, ["n", *sums])
 
 
@@ -61,11 +67,11 @@ def shares(df: DataFrame, by: list[str], conditions: dict[str, Column]) -> DataF
 
 def describe(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """n, mean, median, sample deviation, quartiles, 95th percentile, extremes; exact."""
-    c = F.col(value)
-    return df.groupBy(*by).agg(
-        F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), F.stddev_samp(c).alias("sd"),
-        F.percentile(c, 0.25).alias("p25"), F.percentile(c, 0.75).alias("p75"), F.percentile(c, 0.95).alias("p95"), F.min(c).alias("min"), F.max(c).alias("max"),
-    )
+    c, none = F.col(value), F.lit(0).alias("__none")
+    sums = df.groupBy(none, *by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("min"), F.max(c).alias("max"))
+    found = windows.exact_quantiles(df, value, [0.5, 0.25, 0.75, 0.95], list(by), "__q").select(none, "*")
+    q = {k: F.col("__q")[i].alias(k) for i, k in enumerate(("median", "p25", "p75", "p95"))}
+    return sums.join(found, ["__none", *by], "left").select(*by, "n", "mean", q["median"], "sd", q["p25"], q["p75"], q["p95"], "min", "max")
 
 
 def ordered_text(value: str, order: list[str], separator: str) -> Column:
@@ -83,17 +89,17 @@ def weighted_median(df: DataFrame, value: str, weight: str, by: list[str] = ())
 
     Rows with missing values or weights, and with no positive weight, are left out.
     """
-    w = Window.partitionBy(*by)
     ok = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.col(weight) > 0))
-    run = ok.groupBy(*by, value).agg(F.sum(weight).alias("__w"))
-    run = run.select("*", F.sum("__w").over(w.orderBy(value)).alias("__run"), F.sum("__w").over(w).alias("__all"))
-    return run.where(F.col("__run") >= F.col("__all") / 2).groupBy(*by).agg(F.min(value).alias("weighted_median"))
+    cells = ok.groupBy(*by, value).agg(F.sum(weight).alias("__w"))
+    whole = cells.groupBy(*by).agg(F.sum("__w").alias("__all")).withColumn("__none", F.lit(0))
+    run = windows.running_sums(cells, list(by), value, ["__w"]).withColumn("__none", F.lit(0)).join(whole, ["__none", *by])
+    return run.where(F.col("__w__run") >= F.col("__all") / 2).groupBy(*by).agg(F.min(value).alias("weighted_median"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
     """Rank correlation; null with fewer than three rows or a constant column."""
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = ok.select(*by, x, y, windows.average_rank(x, list(by)).alias("__rx"), windows.average_rank(y, list(by)).alias("__ry"))
+    ranked = windows.ranks(windows.ranks(ok.select(*by, x, y), x, list(by), "__rx"), y, list(by), "__ry")
     out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(x).alias("__dx"), F.count_distinct(y).alias("__dy"), F.try_divide(F.covar_pop("__rx", "__ry"), F.stddev_pop("__rx") * F.stddev_pop("__ry")).alias("__r"))
     return out.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("__dx") > 1) & (F.col("__dy") > 1), F.col("__r")).alias("spearman"))
 

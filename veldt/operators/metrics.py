@@ -7,9 +7,10 @@ then one grouped aggregation for all models and replicates at once.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veldt.functions.scalars import CLIP, clip_p, logit
 from veldt.operators import windows
@@ -21,16 +22,15 @@ def auc(df: DataFrame, by: list[str], score: str = "p", y: str = "y", w: str = "
     Rows are first summed by score, so the running sum is over distinct scores.
     """
     tied = df.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, F.col(w)).otherwise(0.0)).alias("__p"), F.sum(F.when(F.col(y) == 0, F.col(w)).otherwise(0.0)).alias("__n"))
-    below = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    out = tied.withColumn("__u", F.col("__p") * (below + F.col("__n") / 2))
+    below = F.col("__n__run") - F.col("__n")
+    out = windows.running_sums(tied, by, score, ["__n"]).withColumn("__u", F.col("__p") * (below + F.col("__n") / 2))
     return out.groupBy(*by).agg(F.try_divide(F.sum("__u"), F.sum("__p") * F.sum("__n")).alias("auc"))
 
 
 def average_precision(df: DataFrame, by: list[str], p: str = "p", y: str = "y", w: str = "w") -> DataFrame:
     """Step-sum average precision of the failures, scored by 1 - p."""
     tied = df.groupBy(*by, p).agg(F.sum(F.when(F.col(y) == 0, F.col(w)).otherwise(0.0)).alias("__f"), F.sum(w).alias("__w"))
-    run = Window.partitionBy(*by).orderBy(p)
-    out = tied.withColumn("__step", F.try_divide(F.sum("__f").over(run), F.sum("__w").over(run)) * F.col("__f"))
+    out = windows.running_sums(tied, by, p, ["__f", "__w"]).withColumn("__step", F.try_divide(F.col("__f__run"), F.col("__w__run")) * F.col("__f"))
     return out.groupBy(*by).agg(F.try_divide(F.sum("__step"), F.sum("__f")).alias("average_precision"))
 
 
@@ -62,11 +62,12 @@ def calibration_line(df: DataFrame, by: list[str], p: str = "p", y: str = "y", w
     """(by, intercept, slope) of the logistic fit of y on logit(p), by Newton steps.
 
     One aggregation of five sums a step for all groups; the groups' lines, a row each, are joined
-    back. A constant predictor has slope 0 and the prevalence's logit.
+    back. A constant predictor has slope 0 and the prevalence's logit. A line that has not settled after
+    ``steps`` is an error; one whose labels the predictor separates keeps its last step.
     """
     base = df.select(*by, logit(F.col(p)).alias("__x"), F.col(y).cast("double").alias("__y"), F.col(w).cast("double").alias("__w")).where("__w > 0")
     keyed = by or ["__all"]
-    base = base if by else base.withColumn("__all", F.lit(0))
+    base = (base if by else base.withColumn("__all", F.lit(0))).persist()
     first = base.groupBy(*keyed).agg((F.min("__x") == F.max("__x")).alias("__flat"), (F.sum(F.col("__w") * F.col("__y")) / F.sum("__w")).alias("__mean"))
     line = {tuple(r[k] for k in keyed): (r["__flat"], r["__mean"]) for r in first.collect()}
     fits = {k: (0.0, 1.0) for k, (flat, _) in line.items() if not flat}
@@ -92,8 +93,9 @@ def calibration_line(df: DataFrame, by: list[str], p: str = "p", y: str = "y", w
             fits[k] = (a + da, b + db)
             if max(abs(da), abs(db)) < tolerance:
                 done[k] = fits.pop(k)
-    done |= fits
-    import math
+    base.unpersist()
+    if fits:
+        raise ArithmeticError(f"no convergence in {steps} steps for {sorted(map(str, fits))}")
 
     for k, (flat, mean) in line.items():
         if flat:
@@ -147,7 +149,7 @@ def deltas(table: DataFrame, column: str, reference: str, by: list[str], values:
     """Differences of every other row to the reference row of the same group."""
     ref = table.where(F.col(column) == reference).select(*by, *(F.col(v).alias(f"__{v}") for v in values))
     other = table.where(F.col(column) != reference)
-    joined = other.join(F.broadcast(ref), by) if by else other.crossJoin(F.broadcast(ref))
+    joined = other.join(ref, by) if by else other.crossJoin(ref)  # a row for each group; Spark broadcasts it while it is small
     return joined.select(*by, column, *((F.col(v) - F.col(f"__{v}")).alias(f"{v}_delta") for v in values))
 
 
@@ -156,7 +158,7 @@ def tail_calibration(df: DataFrame, score: str, models: dict[str, str], fraction
 
     The tail is defined once, by ``score``, and all models share its rows.
     """
-    edges = df.agg(F.percentile(score, F.array(*(F.lit(1 - f) for f in fractions))).alias("__edges"))
+    edges = windows.exact_quantiles(df, score, [1 - f for f in fractions], name="__edges")
     per = df.crossJoin(F.broadcast(edges)).withColumn("__t", F.explode(F.arrays_zip(F.array(*(F.lit(f) for f in fractions)).alias("f"), F.col("__edges").alias("e"))))
     rows = per.where(F.col(score) >= F.col("__t.e")).select(F.col("__t.f").alias("fraction"), y, *(F.col(c).alias(m) for m, c in models.items()))
     long = rows.unpivot(["fraction", y], list(models), "model", "p")

@@ -14,9 +14,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldt.functions.scalars import labelled_category, logit, sigmoid
-from veldt.operators import metrics, windows
-from veldt.operators.relational import union_all
+from veldt.functions.scalars import evaluation_points, labelled_category, logit, sigmoid, stable_hash, state_features
+from veldt.operators import metrics, resample, windows
+from veldt.operators.relational import finite, small, union_all
 
 
 def freeze_categories(train: DataFrame, columns: list[str]) -> dict[str, list[str]]:
@@ -88,8 +88,6 @@ def tune(train: DataFrame, held: DataFrame, label: str, features: Mapping[str, C
 
 def fold_roles(matches: DataFrame, match: str, stratum: list[str], k: int, calibration: float = 0.125, seed: int = 20260723) -> DataFrame:
     """(outer_fold, match, role): one role of every match in every fold."""
-    from veldt.functions.scalars import stable_hash
-
     own = matches.select(match, *stratum).distinct()
     dealt = own.withColumn("__h", stable_hash(seed, F.col(match))).withColumn("__fold", windows.round_robin(stratum, "__h", k))
     folds = dealt.crossJoin(F.broadcast(matches.sparkSession.range(k).select(F.col("id").cast("int").alias("outer_fold"))))
@@ -98,22 +96,92 @@ def fold_roles(matches: DataFrame, match: str, stratum: list[str], k: int, calib
     return rest.select("outer_fold", match, "role").unionByName(folds.where("outer_fold = __fold").select("outer_fold", match, F.lit("holdout").alias("role")))
 
 
-def cross_fit(rows: DataFrame, roles: DataFrame, match: str, label: str, features: Callable[[DataFrame], Mapping[str, Column]], keep: list[str], k: int, alpha: float = 3e-5, l1: float = 0.3) -> DataFrame:
+def cross_fit(rows: DataFrame, roles: DataFrame, match: str, label: str, features: Callable[[DataFrame], Mapping[str, Column]], keep: list[str], k: int, alpha: float = 3e-5, l1: float = 0.3, iterations: int = 100) -> DataFrame:
     """Out-of-fold calibrated probabilities ``p``: one row for every row, scored by a model that never saw its match (M7).
 
     ``features`` makes the feature Columns of a fold from its training rows alone.
     """
     out = []
     for fold in range(k):
-        own = rows.join(F.broadcast(roles.where(F.col("outer_fold") == fold).select(match, "role")), match).persist()
+        own = rows.join(small(roles.where(F.col("outer_fold") == fold).select(match, "role")), match).persist()
         train = own.where("role = 'training'")
-        model = fit(train, label, features(train), alpha, l1).calibrated(own.where("role = 'calibration'"), label)
+        model = fit(train, label, features(train), alpha, l1, iterations).calibrated(own.where("role = 'calibration'"), label)
         own.unpersist()
         out.append(own.where("role = 'holdout'").select(*keep, F.lit(fold).alias("outer_fold"), F.col(label).alias("y"), model.probability().alias("p")))
     return union_all(*out)
 
 
+def fit_models(train: DataFrame, label: str, models: Mapping[str, Mapping[str, Column]], alpha: float = 3e-5, l1: float = 0.3) -> dict[str, Linear]:
+    """Several models on one prepared scan: the rows are read once and hold every model's features (M5)."""
+    features = {n: c for own in models.values() for n, c in own.items()}
+    place = {n: f"__f{i}" for i, n in enumerate(features)}
+    scan = train.select(F.col(label).cast("double").alias("__y"), *(c.cast("double").alias(place[n]) for n, c in features.items())).persist()
+    fits = {m: fit(scan, "__y", {n: F.col(place[n]) for n in own}, alpha, l1) for m, own in models.items()}
+    scan.unpersist()
+    return {m: Linear(f.intercept, f.weights, f.platt, dict(models[m])) for m, f in fits.items()}
+
+
+def scaler(train: DataFrame, features: Mapping[str, Column]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation of each feature in the training rows; a deviation of 0 counts as 1."""
+    stats = train.agg(*(f(c).alias(f"{n}__{k}") for n, c in features.items() for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    return {n: (float(stats[f"{n}__m"]), float(stats[f"{n}__s"] or 1.0)) for n in features}
+
+
+def scaled(features: Mapping[str, Column], scale: Mapping[str, tuple[float, float]]) -> dict[str, Column]:
+    return {n: (c - scale[n][0]) / scale[n][1] for n, c in features.items()}
+
+
+POINTS = ("start", "end", "opponent")
+
+
+def state_points(columns: Mapping[str, Column]) -> dict[str, dict[str, Column]]:
+    """State features at the start, at the end a stage later, and mirrored for the opponent at stage 1.
+
+    ``columns`` are x, y, end_x, end_y (0 to 1), time, period and stage.
+    """
+    at = evaluation_points(columns["x"], columns["y"], columns["end_x"], columns["end_y"], columns["stage"])
+    return {k: state_features(x, y, columns["time"], columns["period"], stage) for k, (x, y, stage) in at.items()}
+
+
+def threats(model: Linear, scale: Mapping[str, tuple[float, float]], columns: Mapping[str, Column]) -> dict[str, Column]:
+    """One model's calibrated probability at the three points."""
+    return {k: Linear(model.intercept, model.weights, model.platt, scaled(f, scale)).probability() for k, f in state_points(columns).items()}
+
+
+def threat_roles(rows: DataFrame, match: str, fold: str, k: int, calibration: float, seed: int) -> DataFrame:
+    """(outer_fold, match, role): each fold's matches are held out once; a hashed share of the others calibrates."""
+    own = rows.select(F.col(match), F.col(fold).alias("__own")).distinct()
+    dealt = own.crossJoin(rows.sparkSession.range(k).select(F.col("id").cast("int").alias("outer_fold")))
+    share = resample.hashed_share(F.lit(seed) + F.col("outer_fold"), F.col(match))
+    role = F.when(F.col("__own") == F.col("outer_fold"), "holdout").when(share < calibration, "calibration").otherwise("training")
+    return dealt.select("outer_fold", match, role.alias("role"))
+
+
+def cross_fitted_threat(rows: DataFrame, match: str, fold: str, label: str, columns: Mapping[str, Column], keep: list[str], k: int, calibration: float = 0.15, alpha: float = 1e-5, seed: int = 20260723, iterations: int = 100) -> DataFrame:
+    """(keep, outer_fold, y, threat_start, threat_end, threat_opponent): scored by models that never saw the row's match (M8).
+
+    For each fold whole matches outside it are split into training and calibration. Features at the
+    start are standardised on the training rows, a ridge logistic model is fitted on them, and a
+    Platt line on the calibration rows. Rows without a start take no part, those without an end are
+    not scored.
+    """
+    given, out = (F.col(c) for c in ("__x", "__y2", "__ex", "__ey")), []
+    named = rows.select("*", *(columns[c].alias(n) for c, n in zip(("x", "y", "end_x", "end_y"), ("__x", "__y2", "__ex", "__ey"))))
+    own = dict(columns) | dict(zip(("x", "y", "end_x", "end_y"), given))
+    start, end = finite("__x", "__y2"), finite("__ex", "__ey")
+    roles = threat_roles(rows, match, fold, k, calibration, seed)
+    for f in range(k):
+        part = named.where(start).join(roles.where(F.col("outer_fold") == f), match).persist()
+        train = part.where("role = 'training'")
+        features = state_points(own)["start"]
+        scale = scaler(train, features)
+        model = fit(train, label, scaled(features, scale), alpha, 0.0, iterations).calibrated(part.where("role = 'calibration'"), label)
+        got = threats(model, scale, own)
+        out.append(part.where("role = 'holdout'").where(end).select(*keep, "outer_fold", F.col(label).alias("y"), *(got[p].alias(f"threat_{p}") for p in POINTS)))
+        part.unpersist()
+    return union_all(*out)
+
+
 def standardised(train: DataFrame, features: Mapping[str, Column]) -> dict[str, Column]:
     """Features less their training mean, over their population deviation (M8)."""
-    stats = train.agg(*(f(c).alias(f"{n}__{k}") for n, c in features.items() for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
-    return {n: (c - float(stats[f"{n}__m"])) / float(stats[f"{n}__s"] or 1.0) for n, c in features.items()}
+    return scaled(features, scaler(train, features))

@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veldt.operators import checks
+from veldt.operators import checks, windows
 
-SMALL_ROWS = 1_000_000  # a side is broadcast only if it is counted and has no more rows
+SMALL_BYTES = 64 << 20  # a side is broadcast only if it is measured to be smaller
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """A broadcast hint for ``df`` if it has few rows, else ``df`` as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """A broadcast hint for ``df`` if its rows, as JSON, are few bytes; else ``df`` as it is."""
+    bytes_ = F.octet_length(F.to_json(F.struct("*"))) if df.columns else F.lit(1)
+    sizes = df.select(F.coalesce(bytes_, F.lit(1)).alias("b"))
+    return F.broadcast(df) if (sizes.agg(F.sum("b")).first()[0] or 0) <= most else df
 
 
 def exclude(df: DataFrame, *conditions: Column | None) -> tuple[DataFrame, DataFrame]:
@@ -38,8 +40,8 @@ def tail(df: DataFrame, column: str, fraction: float) -> DataFrame:
 
     The exact quantile is one aggregate row, crossed back.
     """
-    edge = df.agg(F.percentile(column, 1.0 - fraction).alias("__edge"))
-    return df.crossJoin(F.broadcast(edge)).where(F.col(column) >= F.col("__edge")).drop("__edge")
+    edge = windows.exact_quantiles(df, column, [1.0 - fraction], name="__edge")
+    return df.crossJoin(F.broadcast(edge)).where(F.col(column) >= F.col("__edge")[0]).drop("__edge")
 
 
 def eligible(df: DataFrame, n: str, matches: str, name: str, min_n: int, min_matches: int) -> Column:
@@ -64,6 +66,17 @@ def full_match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys, "full_outer").withColumn("_side", side).drop("__l", "__r")
 
 
+def own_team(rows: DataFrame, aliases: DataFrame, cohort: str, team: str) -> DataFrame:
+    """Rows whose team is an alias that their own cohort lists; letters and digits are compared alone.
+
+    ``aliases`` has rows (cohort, alias).
+    """
+    from veldt.functions.scalars import bare_key
+
+    wanted = aliases.select(F.col("cohort").alias("__cohort"), bare_key(F.col("alias")).alias("__alias")).distinct()
+    return rows.join(wanted, (rows[cohort] == wanted["__cohort"]) & (bare_key(rows[team]) == wanted["__alias"]), "left_semi")
+
+
 def compare_slices(df: DataFrame, tag: str, reference: object, keys: list[str], values: list[str]) -> DataFrame:
     """Rows of every other slice beside the reference slice's rows of the same keys."""
     ref = df.where(F.col(tag) == reference).select(*keys, *(F.col(v).alias(f"{v}_reference") for v in values))
@@ -141,10 +154,10 @@ def best_row(df: DataFrame, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(1)
 
 
-def by_rank(df: DataFrame, column: str, values: list[str]) -> DataFrame:
-    """Rows in the order of a list of values; others last (K3)."""
+def by_rank(df: DataFrame, column: str, values: list[str], *then: Column) -> DataFrame:
+    """Rows in the order of a list of values, others last, and then in another order (K3)."""
     place = F.array_position(F.array(*map(F.lit, values)), F.col(column))
-    return df.orderBy(F.when(place > 0, place).asc_nulls_last(), column)
+    return df.orderBy(F.when(place > 0, place).asc_nulls_last(), column, *then)
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veldt.operators import metrics, windows
 
@@ -23,19 +22,20 @@ def draw(seed: int, replicate: Column, j: Column, clusters: Column) -> Column:
 def numbered(clusters: DataFrame, key: str) -> DataFrame:
     """Keys with their places from 0, in the keys' order, and how many there are.
 
-    The places are global: clusters (matches) are few against rows.
+    The places come from running sums over ranges of keys, so no task orders them all.
     """
-    out = clusters.select(key).distinct()
-    return out.select(key, (F.row_number().over(Window.orderBy(key)) - 1).cast("bigint").alias("__at"), F.count(F.lit(1)).over(Window.partitionBy()).alias("__m"))
+    out = clusters.select(key).distinct().where(F.col(key).isNotNull()).withColumn("__one", F.lit(1).cast("bigint"))
+    n = out.agg(F.count(F.lit(1)).alias("__m"))
+    return windows.running_sums(out, [], key, ["__one"]).select(key, (F.col("__one__run") - 1).alias("__at")).crossJoin(n)
 
 
 def bootstrap_weights(clusters: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
     """(replicate, key, weight): how often each replicate draws a cluster."""
     places = numbered(clusters, key)
-    m = places.select("__m").limit(1)
-    r = clusters.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
-    draws = r.crossJoin(F.broadcast(m)).select("replicate", "__m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__m") - 1)).alias("j"))
-    drawn = draws.select("replicate", draw(seed, F.col("replicate"), F.col("j"), F.col("__m")).alias("__at"))
+    m = clusters.select(key).distinct().where(F.col(key).isNotNull()).count()
+    # One row a draw from the start, so that no row holds all draws of a replicate.
+    draws = clusters.sparkSession.range(replicates * m).select(F.floor(F.col("id") / max(1, m)).alias("replicate"), (F.col("id") % max(1, m)).alias("j"))
+    drawn = draws.select("replicate", draw(seed, F.col("replicate"), F.col("j"), F.lit(m)).alias("__at"))
     return drawn.groupBy("replicate", "__at").agg(F.count(F.lit(1)).alias("weight")).join(places.select(key, "__at"), "__at").select("replicate", key, "weight")
 
 
@@ -104,17 +104,22 @@ def permutation_importance(df: DataFrame, score, key: str, id_col: str, groups:
     """
     base = metrics.all_metrics(df.select(F.col(y).alias("y"), score().alias("p"), F.lit(1.0).alias("w")), [])
     out = None
-    for name, columns in groups.items():
-        for r in range(repeats):
-            moved = windows.permuted(df, [key], id_col, columns, seed + r)
-            rows = moved.select(F.lit(name).alias("feature_group"), F.lit(r).alias("repeat"), F.col(y).alias("y"), score().alias("p"), F.lit(1.0).alias("w"))
-            out = rows if out is None else out.unionByName(rows)
+    every = df.crossJoin(df.sparkSession.range(repeats).select(F.col("id").cast("int").alias("repeat")))
+    for name, columns in groups.items():  # one join for all repeats of a group
+        moved = windows.permuted(every, [key, "repeat"], id_col, columns, F.lit(seed) + F.col("repeat"))
+        rows = moved.select(F.lit(name).alias("feature_group"), "repeat", F.col(y).alias("y"), score().alias("p"), F.lit(1.0).alias("w"))
+        out = rows if out is None else out.unionByName(rows)
     got = metrics.all_metrics(out, ["feature_group", "repeat"])
     names = ("log_loss", "brier", "auc", "average_precision")
     base = base.select(*(F.col(n).alias(f"__{n}") for n in names))
     return got.crossJoin(F.broadcast(base)).select("feature_group", "repeat", *((F.col(n) - F.col(f"__{n}")).alias(f"{n}_delta") for n in names))
 
 
+def hashed_share(seed: Column, key: Column) -> Column:
+    """A number from 0 to 1 that a seed and a key decide."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", seed.cast("string"), key.cast("string")), 256), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
+
+
 def grouped_split(df: DataFrame, key: str, fraction: float, seed: int) -> Column:
     """Whether a row's whole cluster falls in a hashed fraction of clusters."""
     head = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256), 1, 8), 16, 10).cast("bigint")

@@ -54,7 +54,7 @@ def oriented_pairs(pairs: DataFrame, table: DataFrame, tag: str, reference: str,
     a = pairs.join(ref.withColumnsRenamed({"player": "left_player", "__v": "__a"}), "left_player").join(ref.withColumnsRenamed({"player": "right_player", "__v": "__b"}), "right_player")
     first = F.col("__a") >= F.col("__b")
     turned = a.select(F.when(first, F.col("left_player")).otherwise(F.col("right_player")).alias("high_player"), F.when(first, F.col("right_player")).otherwise(F.col("left_player")).alias("low_player"))
-    grid = turned.crossJoin(F.broadcast(table.select(tag).distinct()))
+    grid = turned.crossJoin(relational.small(table.select(tag).distinct()))
     for side in ("high", "low"):
         own = table.select(tag, F.col("player").alias(f"{side}_player"), F.col(value).alias(f"{side}_value"), F.col(eligible).alias(f"{side}_eligible"))
         grid = grid.join(own, [tag, f"{side}_player"], "left")
@@ -62,15 +62,18 @@ def oriented_pairs(pairs: DataFrame, table: DataFrame, tag: str, reference: str,
     return grid.select(tag, "high_player", "low_player", able.alias("estimable"), F.when(able, F.col("high_value") - F.col("low_value")).alias("difference"), F.when(able, F.col("high_value") > F.col("low_value")).alias("same_direction"))
 
 
-def core_profile(rows: DataFrame, cohort: str, match: str, metrics: dict[str, tuple[Column, Column]], replicates: int, seed: int) -> DataFrame:
-    """(cohort, metric, estimate, low, high): ratios of sums with match-cluster intervals."""
-    out = None
-    for name, (top, bottom) in metrics.items():
-        stats = rows.groupBy(cohort, match).agg(F.sum(top.cast("double")).alias("a"), F.sum(bottom.cast("double")).alias("b"))
-        got = resample.ratio_intervals(stats, match, {"v": ("a", "b", 1.0)}, replicates, seed, [cohort])
-        got = got.select(cohort, F.lit(name).alias("metric"), F.col("v").alias("estimate"), F.col("v_low").alias("low"), F.col("v_high").alias("high"))
-        out = got if out is None else out.unionByName(got)
-    return out
+def core_profile(rows: DataFrame, cohort: str, match: str, metrics: dict[str, tuple[Column, Column, float]], replicates: int, seed: int) -> DataFrame:
+    """(cohort, metric, estimate, low, high): scaled ratios of sums with match-cluster intervals.
+
+    A share has a condition over 1, a mean its value over 1. All metrics share one pass over the
+    rows, one table of match sums and the same draws.
+    """
+    sums = [f(c.cast("double")).alias(f"{k}{i}") for i, (a, b, _) in enumerate(metrics.values()) for k, c, f in (("a", a, F.sum), ("b", b, F.sum))]
+    stats = rows.groupBy(cohort, match).agg(*sums)
+    names = {f"v{i}": (f"a{i}", f"b{i}", float(k)) for i, (_, _, k) in enumerate(metrics.values())}
+    got = resample.ratio_intervals(stats, match, names, replicates, seed, [cohort])
+    cells = F.array(*(F.struct(F.lit(m).alias("metric"), *(F.col(f"v{i}{s}").alias(n) for s, n in (("", "estimate"), ("_low", "low"), ("_high", "high")))) for i, m in enumerate(metrics)))
+    return got.select(cohort, F.inline(cells))
 
 
 def correlations(table: DataFrame, group: str, variables: list[str], target: str, overall: str = "All roles") -> DataFrame:

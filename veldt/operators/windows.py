@@ -19,6 +19,51 @@ def stage(group: list[str], order: list[str]) -> Column:
     return F.row_number().over(Window.partitionBy(*group).orderBy(*order))
 
 
+RANGES = 64  # ranges of values that running sums are cut into
+
+
+def running_sums(df: DataFrame, by: list[str], order: str, sums: list[str]) -> DataFrame:
+    """``df`` with the sums of each column over the rows up to each row's value of ``order``, as ``<column>__run``.
+
+    Values are distinct in a group. A group is cut at approximate quantiles into ranges, each range
+    is summed by itself, and what lies before it, a row for each range, is added: no task orders a
+    whole group. The cuts only decide where the work is done, so the sums are exact.
+    """
+    keys = [f"`{c}`" for c in by]
+    steps = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, steps, 1000)).alias("__edges"))
+    cut = df.withColumn("__none", F.lit(0)).join(edges.withColumn("__none", F.lit(0)), ["__none", *by]).drop("__none")
+    cut = cut.withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col(order)))).drop("__edges")
+    totals = cut.groupBy(*keys, "__range").agg(*(F.sum(c).alias(f"__{c}") for c in sums))
+    ahead = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "__range", *(F.coalesce(F.sum(f"__{c}").over(ahead), F.lit(0)).alias(f"__{c}") for c in sums))
+    inside = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = cut.select("*", *(F.sum(c).over(inside).alias(f"{c}__run") for c in sums)).join(totals, [*by, "__range"])
+    return own.select(*df.columns, *((F.col(f"{c}__run") + F.col(f"__{c}")).alias(f"{c}__run") for c in sums))
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] = (), name: str = "quantiles") -> DataFrame:
+    """(by, array of quantiles): interpolated between the two values around each rank, from counts of distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    whole = counts.groupBy(*by).agg(F.sum("__n").alias("__all")).withColumn("__none", F.lit(0))
+    run = running_sums(counts, list(by), value, ["__n"]).withColumn("__none", F.lit(0)).join(whole, ["__none", *by])
+    at = [(F.col("__all") - 1) * F.lit(float(q)) for q in shares]
+
+    def held(rank: Column) -> Column:
+        return F.max(F.when((F.col("__n__run") - F.col("__n") <= rank) & (rank < F.col("__n__run")), F.col(value)))
+
+    out = run.groupBy(*by, "__all").agg(*(held(f(a)).alias(f"__{k}{i}") for i, a in enumerate(at) for k, f in (("low", F.floor), ("high", F.ceil))))
+    low, high = ([F.col(f"__{k}{i}") for i in range(len(at))] for k in ("low", "high"))
+    return out.select(*by, F.array(*(a + (b - a) * (p - F.floor(p)) for a, b, p in zip(low, high, at))).alias(name))
+
+
+def ranks(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """``df`` with the average rank of ``value`` in its group, from counts of distinct values; null has none."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    place = running_sums(counts, by, value, ["__n"]).select(*by, value, (F.col("__n__run") - (F.col("__n") - 1) / 2).alias(name))
+    return df.join(place, [*by, value], "left")
+
+
 def min_rank(value: str, group: list[str]) -> Column:
     """Rank from the highest, equal values share the best rank; null has none."""
     w = Window.partitionBy(*group).orderBy(F.col(value).desc_nulls_last())
@@ -97,8 +142,7 @@ def quantile_bins(df: DataFrame, value: str, q: int, name: str = "bin") -> DataF
 
     The edges are one exact aggregate, crossed back; repeated edges fall to one.
     """
-    steps = F.array(*(F.lit(i / q) for i in range(q + 1)))
-    edges = df.agg(F.array_distinct(F.percentile(value, steps)).alias("__edges"))
+    edges = exact_quantiles(df, value, [i / q for i in range(q + 1)], name="__edges").withColumn("__edges", F.array_distinct("__edges"))
     at = F.size(F.filter("__edges", lambda e: e < F.col(value))) - 1
     return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), F.greatest(F.lit(0), at))).drop("__edges")
 
@@ -113,10 +157,10 @@ def left_closed_bin(p: Column, n: int) -> Column:
     return F.least(F.floor(F.round(p * n, 9)), F.lit(n - 1)).cast("int")
 
 
-def permuted(df: DataFrame, group: list[str], id_col: str, columns: list[str], seed: int) -> DataFrame:
+def permuted(df: DataFrame, group: list[str], id_col: str, columns: list[str], seed: int | Column) -> DataFrame:
     """The columns' values are dealt anew together inside each group, by a salted hash."""
     w = Window.partitionBy(*group)
-    salt = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")), 256)
+    salt = F.sha2(F.concat_ws("|", F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string"), F.col(id_col).cast("string")), 256)
     left = df.drop(*columns).withColumn("__rn", F.row_number().over(w.orderBy(id_col)))
     right = df.select(*group, *columns, F.row_number().over(w.orderBy(salt, id_col)).alias("__rn"))
     return left.join(right, [*group, "__rn"]).drop("__rn").select(*df.columns)

@@ -11,18 +11,19 @@ from veldt.operators import relational as R
 from veldt.operators import resample
 from veldt.operators import robustness as B
 
-from veldt.plans.frames import VALUES, events, passes, rounded, table, values
+from veldt.plans.frames import PASSES, VALUES, events, passes, rounded, table, values
 from veldt.plans.measuring import _long
 from veldt.plans.registry import query
 
-REPLICATES, SEED = 200, 20260723
+REPLICATES, SEED = 1000, 20260723
+PAIRED, REPEATS = 200, 30  # replicates of the model metrics, repeats of a permutation
 _SUMS = "expected_success_value", "expected_failure_cost", "expected_net_value", "execution_residual"
 _RATIOS = {f"{c}_per_100": (c, "n", 100.0) for c in _SUMS}
 
 
-def _weights(source: str) -> str:
+def _weights(source: str, replicates: int = REPLICATES) -> str:
     """CTEs of the hash-driven draws over the matches of ``source``."""
-    return f"m AS (SELECT match_id, row_number() OVER (ORDER BY match_id) - 1 AS pos FROM (SELECT DISTINCT match_id FROM {source})), c AS (SELECT count(*) AS m FROM m), w AS (SELECT r AS replicate, match_id, count(*) AS weight FROM (SELECT r.r, CAST(('0x' || substr(sha256('{SEED}|' || r.r || '|' || j.j), 1, 8)) AS BIGINT) % c.m AS pos FROM range({REPLICATES}) r(r), c, (SELECT unnest(range((SELECT m FROM c))) AS j) j) d JOIN m USING (pos) GROUP BY 1, 2)"
+    return f"m AS (SELECT match_id, row_number() OVER (ORDER BY match_id) - 1 AS pos FROM (SELECT DISTINCT match_id FROM {source})), c AS (SELECT count(*) AS m FROM m), w AS (SELECT r AS replicate, match_id, count(*) AS weight FROM (SELECT r.r, CAST(('0x' || substr(sha256('{SEED}|' || r.r || '|' || j.j), 1, 8)) AS BIGINT) % c.m AS pos FROM range({replicates}) r(r), c, (SELECT unnest(range((SELECT m FROM c))) AS j) j) d JOIN m USING (pos) GROUP BY 1, 2)"
 
 
 def _flagship_sql() -> str:
@@ -63,21 +64,49 @@ def _(spark, d):
     return rounded(resample.contrast_intervals(stats, "match_id", "pressure", "Under pressure", "Not under pressure", "expected_net_value", "n", REPLICATES, SEED))
 
 
-@query("m24_paired_model_bootstrap")
+_METRICS = ("auc", "average_precision", "log_loss", "brier")
+
+
+def _metrics_sql(rows: str, by: str) -> str:
+    """CTE ``me`` of the four metrics of rows (by, y, p, w)."""
+    return f"""ce AS (SELECT {by}, p, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS a, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS b FROM {rows} GROUP BY {by}, p),
+ru AS (SELECT *, sum(b) OVER k - b AS below, sum(b) OVER k / sum(a + b) OVER k AS prec FROM ce WINDOW k AS (PARTITION BY {by} ORDER BY p)),
+me AS (SELECT {by}, sum(a * (below + b / 2)) / nullif(sum(a) * sum(b), 0) AS auc, sum(prec * b) / nullif(sum(b), 0) AS average_precision, sum(-(a * ln(p) + b * ln(1 - p))) / sum(a + b) AS log_loss, sum(a * (1 - p) * (1 - p) + b * p * p) / sum(a + b) AS brier FROM ru GROUP BY {by})"""
+
+
+_M24 = f"""WITH {PASSES}, l AS (SELECT 'main' AS model, match_id, won AS y, p FROM pv UNION ALL SELECT 'other', match_id, won, p_other FROM pv), {_weights('l', PAIRED)},
+ro AS (SELECT replicate, model, y, p, CAST(weight AS DOUBLE) AS w FROM l JOIN w USING (match_id)), {_metrics_sql('ro', 'replicate, model')},
+d AS (SELECT o.model AS comparator, unnest(['auc', 'average_precision', 'log_loss', 'brier']) AS metric, unnest([m.auc - o.auc, m.average_precision - o.average_precision, o.log_loss - m.log_loss, o.brier - m.brier]) AS v FROM me o JOIN me m USING (replicate) WHERE m.model = 'main' AND o.model <> 'main' AND m.auc IS NOT NULL AND o.auc IS NOT NULL)
+SELECT comparator, metric, count(*) AS replicates, round(avg(v), 9) AS mean, round(median(v), 9) AS median, round(stddev_samp(v), 9) AS sd, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, round(avg(CASE WHEN v > 0 THEN 1 ELSE 0 END), 9) AS share_positive FROM d GROUP BY 1, 2"""
+
+
+@query("m24_paired_model_bootstrap", _M24)
 def _(spark, d):
-    reps = resample.metric_replicates(_long(spark, d), "match_id", "model", 40, SEED)
-    long = R.long_form(resample.paired_differences(reps, "main"), ["replicate", "comparator"], ["auc", "average_precision", "log_loss", "brier"])
+    reps = resample.metric_replicates(_long(spark, d), "match_id", "model", PAIRED, SEED)
+    long = R.long_form(resample.paired_differences(reps, "main"), ["replicate", "comparator"], list(_METRICS))
     return rounded(A.replicate_summary(long, "value", ["comparator", "metric"]))
 
 
-@query("m25_permutation_importance")
+def _moved(group: str, columns: tuple[str, ...]) -> str:
+    """Rows whose ``columns`` are dealt anew, for all repeats."""
+    out = ", ".join(f"b.{c}" if c in columns else f"a.{c}" for c in ("p", "t_start", "t_end"))
+    return f"SELECT '{group}' AS feature_group, a.repeat, a.won AS y, {out} FROM (SELECT *, row_number() OVER (PARTITION BY match_id, repeat ORDER BY event_id) AS rn FROM e) a JOIN (SELECT *, row_number() OVER (PARTITION BY match_id, repeat ORDER BY sha256(CAST({SEED} + repeat AS VARCHAR) || '|' || event_id), event_id) AS rn FROM e) b ON a.match_id = b.match_id AND a.repeat = b.repeat AND a.rn = b.rn"
+
+
+_SCORE = "round(1 / (1 + exp(-(ln(p / (1 - p)) + 3 * (t_end - t_start)))), 9)"
+_M25 = f"""WITH {PASSES}, e AS (SELECT pv.*, CAST(r AS INT) AS repeat FROM pv, range({REPEATS}) t(r)), mv AS ({_moved('probability', ('p',))} UNION ALL {_moved('threats', ('t_start', 't_end'))} UNION ALL SELECT 'none', 0, won, p, t_start, t_end FROM pv),
+ro AS (SELECT feature_group, repeat, y, {_SCORE} AS p, 1.0::DOUBLE AS w FROM mv), {_metrics_sql('ro', 'feature_group, repeat')}
+SELECT m.feature_group, m.repeat, round(m.log_loss - n.log_loss, 6) AS log_loss_delta, round(m.brier - n.brier, 6) AS brier_delta, round(m.auc - n.auc, 6) AS auc_delta, round(m.average_precision - n.average_precision, 6) AS average_precision_delta FROM me m, me n WHERE n.feature_group = 'none' AND m.feature_group <> 'none'"""
+
+
+@query("m25_permutation_importance", _M25)
 def _(spark, d):
     v = passes(spark, d)
 
     def score():
-        return S.sigmoid(S.logit(F.col("p")) + 3 * (F.col("t_end") - F.col("t_start")))
+        return F.round(S.sigmoid(S.logit(F.col("p")) + 3 * (F.col("t_end") - F.col("t_start"))), 9)
 
-    return rounded(resample.permutation_importance(v, score, "match_id", "event_id", {"probability": ["p"], "threats": ["t_start", "t_end"]}, 2, SEED, "won"))
+    return rounded(resample.permutation_importance(v, score, "match_id", "event_id", {"probability": ["p"], "threats": ["t_start", "t_end"]}, REPEATS, SEED, "won"), 6)
 
 
 _WEIGHTS = {"x": 1.5, "y": -0.7, "cat=Ground Pass": 0.4, "cat=High Pass": -0.9}
@@ -97,8 +126,8 @@ def _features(train):
 @query("m2_m7_cross_fitted_probability")
 def _(spark, d):
     v = passes(spark, d)
-    roles = models.fold_roles(v.select("match_id", "team"), "match_id", ["team"], 3)
-    return rounded(models.cross_fit(v, roles, "match_id", "won", _features, ["event_id", "match_id"], 3), 6)
+    roles = models.fold_roles(v.select("match_id", "team"), "match_id", ["team"], 5)
+    return rounded(models.cross_fit(v, roles, "match_id", "won", _features, ["event_id", "match_id"], 5, iterations=20), 6)
 
 
 @query("m3_k6_tuning")
@@ -145,18 +174,33 @@ def _(spark, d):
 _ABLE = "COALESCE(h.n_passes >= 60 AND w.n_passes >= 60, FALSE)"
 
 
-@query("m29_oriented_pairs", f"WITH {_PLAYERS}, o AS (SELECT CASE WHEN l.net >= r.net THEN l.player ELSE r.player END AS high_player, CASE WHEN l.net >= r.net THEN r.player ELSE l.player END AS low_player FROM pl l JOIN pl r ON l.specification = 'main' AND r.specification = 'main' AND r.player = l.player + 1 WHERE l.player % 2 = 0) SELECT s.specification, o.high_player, o.low_player, {_ABLE} AS estimable, CASE WHEN {_ABLE} THEN round(h.net - w.net, 9) END AS difference, CASE WHEN {_ABLE} THEN h.net > w.net END AS same_direction FROM o CROSS JOIN (SELECT DISTINCT specification FROM pl) s LEFT JOIN pl h ON h.specification = s.specification AND h.player = o.high_player LEFT JOIN pl w ON w.specification = s.specification AND w.player = o.low_player")
+@query("m29_oriented_pairs", f"WITH {_PLAYERS}, o AS (SELECT CASE WHEN l.net >= r.net THEN l.player ELSE r.player END AS high_player, CASE WHEN l.net >= r.net THEN r.player ELSE l.player END AS low_player FROM pl l JOIN pl r ON l.specification = 'main' AND r.specification = 'main' AND r.player = l.player + 1) SELECT s.specification, o.high_player, o.low_player, {_ABLE} AS estimable, CASE WHEN {_ABLE} THEN round(h.net - w.net, 9) END AS difference, CASE WHEN {_ABLE} THEN h.net > w.net END AS same_direction FROM o CROSS JOIN (SELECT DISTINCT specification FROM pl) s LEFT JOIN pl h ON h.specification = s.specification AND h.player = o.high_player LEFT JOIN pl w ON w.specification = s.specification AND w.player = o.low_player")
 def _(spark, d):
     p = _players(spark, d).withColumn("eligible", F.col("n_passes") >= 60)
-    pairs = p.where("specification = 'main' AND player % 2 = 0").select(F.col("player").alias("left_player"), (F.col("player") + 1).alias("right_player"))
+    pairs = p.where("specification = 'main'").select(F.col("player").alias("left_player"), (F.col("player") + 1).alias("right_player"))
     return rounded(B.oriented_pairs(pairs, p, "specification", "main", "net", "eligible"))
 
 
-@query("m30_core_profile", f"WITH {VALUES}, g AS (SELECT height AS cohort, match_id, CAST(sum(won) AS DOUBLE) AS a1, CAST(count(*) FILTER (pressure = 'Under pressure') AS DOUBLE) AS a2, CAST(count(*) AS DOUBLE) AS b FROM va GROUP BY 1, 2), l AS (SELECT cohort, match_id, 'completion' AS metric, a1 AS a, b FROM g UNION ALL SELECT cohort, match_id, 'pressed', a2, b FROM g), {_weights('g')}, r AS (SELECT cohort, metric, replicate, sum(weight * a) / sum(weight * b) AS x FROM l JOIN w USING (match_id) GROUP BY 1, 2, 3), p AS (SELECT cohort, metric, sum(a) / sum(b) AS e FROM l GROUP BY 1, 2) SELECT cohort, metric, round(any_value(e), 9) AS estimate, round(quantile_cont(x, 0.025), 9) AS low, round(quantile_cont(x, 0.975), 9) AS high FROM r JOIN p USING (cohort, metric) GROUP BY 1, 2")
+#: The metrics of a cohort's profile: what is summed, over what, and the scale.
+_PROFILE = {
+    "under_pressure_share": ("CASE WHEN pressure = 'Under pressure' THEN 1 ELSE 0 END", 1), "ground_pass_share": ("CASE WHEN height = 'Ground Pass' THEN 1 ELSE 0 END", 1), "high_pass_share": ("CASE WHEN height = 'High Pass' THEN 1 ELSE 0 END", 1),
+    "mean_xpass": ("p", 1), "execution_residual": ("execution_residual", 1), "expected_success_value_per100": ("expected_success_value", 100), "expected_failure_cost_per100": ("expected_failure_cost", 100), "centered_expected_net_value_per100": ("expected_net_value - centre", 100),
+}
+
+
+def _profile_sql() -> str:
+    sums = ", ".join(f"CAST(sum({c}) AS DOUBLE) AS a{i}" for i, (c, _) in enumerate(_PROFILE.values()))
+    each = [f"SELECT cohort, '{m}' AS metric, {k} * {{0}}sum({{1}}a{i}) / sum({{1}}n) AS v" for i, (m, (_, k)) in enumerate(_PROFILE.items())]
+    point = " UNION ALL ".join(x.format("", "") + " FROM g GROUP BY cohort" for x in each)
+    reps = " UNION ALL ".join(x.format("", "weight * ") + " FROM g JOIN w USING (match_id) GROUP BY cohort, replicate" for x in each)
+    return f"WITH {VALUES}, ce AS (SELECT avg(expected_net_value) AS centre FROM va), g AS (SELECT team AS cohort, match_id, {sums}, count(*) AS n FROM va, ce GROUP BY 1, 2), {_weights('g')}, po AS ({point}), re AS ({reps}), b AS (SELECT cohort, metric, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM re GROUP BY 1, 2) SELECT cohort, metric, round(v, 9) AS estimate, round(lo, 9) AS low, round(hi, 9) AS high FROM po JOIN b USING (cohort, metric)"
+
+
+@query("m30_core_profile", _profile_sql())
 def _(spark, d):
-    v = values(spark, d).withColumnRenamed("height", "cohort")
-    one = F.lit(1)
-    return rounded(B.core_profile(v, "cohort", "match_id", {"completion": (F.col("won"), one), "pressed": ((F.col("pressure") == "Under pressure").cast("int"), one)}, REPLICATES, SEED))
+    v = values(spark, d).withColumnRenamed("team", "cohort")
+    v = v.crossJoin(F.broadcast(v.agg(F.avg("expected_net_value").alias("centre"))))
+    return rounded(B.core_profile(v, "cohort", "match_id", {m: (F.expr(c), F.lit(1), k) for m, (c, k) in _PROFILE.items()}, REPLICATES, SEED))
 
 
 @query("m31_correlations", f"WITH {_PLAYERS}, t AS (SELECT specification AS role, net, 'ex' AS variable, ex AS value FROM pl UNION ALL SELECT specification, net, 'n_passes', n_passes FROM pl), u AS (SELECT * FROM t UNION ALL SELECT 'All roles', net, variable, value FROM t), r AS (SELECT role, variable, value, net, rank() OVER (PARTITION BY role, variable ORDER BY value) + (count(*) OVER (PARTITION BY role, variable, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY role, variable ORDER BY net) + (count(*) OVER (PARTITION BY role, variable, net) - 1) / 2.0 AS b FROM u) SELECT role, variable, count(*) AS n, CASE WHEN count(DISTINCT value) > 1 THEN round(corr(a, b), 9) END AS spearman FROM r GROUP BY 1, 2")
@@ -172,12 +216,19 @@ def _(spark, d):
     return B.identity_audit(v, summary, ["match_id"], {"n": F.count(F.lit(1)), "expected_net_value": F.sum("expected_net_value")}).select("name", "ok")
 
 
-@query("k7_greedy_pairs")
+_K7 = """WITH RECURSIVE g AS (SELECT s_suppkey, s_nationkey % 5 AS role, s_nationkey AS team, s_acctbal AS v FROM supplier), z AS (SELECT *, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS zv FROM g WINDOW w AS (PARTITION BY role)),
+p AS (SELECT l.role, l.s_suppkey AS a, r.s_suppkey AS b, abs(l.v - r.v) AS apart, row_number() OVER (ORDER BY abs(l.v - r.v) DESC, abs(l.zv - r.zv), l.s_suppkey, r.s_suppkey) AS rn FROM z l JOIN z r ON l.role = r.role AND l.s_suppkey < r.s_suppkey AND l.team <> r.team WHERE abs(l.v - r.v) <= 500),
+t(rn, roles, parties, n) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), 0 UNION ALL SELECT * FROM (SELECT p.rn, list_append(t.roles, p.role), t.parties || [p.a, p.b], t.n + 1 FROM t JOIN p ON p.rn > t.rn AND NOT list_contains(t.roles, p.role) AND NOT list_contains(t.parties, p.a) AND NOT list_contains(t.parties, p.b) WHERE t.n < 3 ORDER BY p.rn LIMIT 1))
+SELECT p.role, a AS left_s_suppkey, b AS right_s_suppkey, round(apart, 6) AS apart, CAST(n AS INT) AS selected_pair FROM t JOIN p USING (rn)"""
+
+
+@query("k7_greedy_pairs", _K7)
 def _(spark, d):
     g = table(spark, d, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("role"), F.col("s_nationkey").alias("team"), F.col("s_acctbal").alias("v"))
     p = R.pairs_within(g, "role", "team", ["s_suppkey"], ["v"]).where(F.abs(F.col("left_v") - F.col("right_v")) <= 500)
     apart = F.abs(F.col("left_v") - F.col("right_v"))
-    return R.greedy_pairs(p.withColumn("apart", apart), 3, "role", ["left_s_suppkey", "right_s_suppkey"], [F.desc("apart"), F.col("profile_distance"), F.col("left_s_suppkey"), F.col("right_s_suppkey")])
+    got = R.greedy_pairs(p.withColumn("apart", apart), 3, "role", ["left_s_suppkey", "right_s_suppkey"], [F.desc("apart"), F.col("profile_distance"), F.col("left_s_suppkey"), F.col("right_s_suppkey")])
+    return rounded(got.select("role", "left_s_suppkey", "right_s_suppkey", "apart", "selected_pair"), 6)
 
 
 @query("w3_f12_eligible_ranks", f"WITH {_PLAYERS} SELECT specification, player, CASE WHEN n_passes >= 60 THEN rank() OVER (PARTITION BY specification ORDER BY CASE WHEN n_passes >= 60 THEN net END DESC NULLS LAST) END AS rank FROM pl")

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veldt.operators import checks
-from veldt.operators.relational import small
+from veldt.operators.relational import checks_rows, small
+
+REPORT_ROWS = 10_000  # audits and reports of more rows are an error
 
 #: Texts that count as missing in delimited input.
 MISSING = ("", "NA", "N/A", "NaN", "nan", "None", "null", "NULL", "<NA>", "#N/A", "n/a", "-nan", "-NaN", "1.#IND", "1.#QNAN", "#NA", "#N/A N/A", "-1.#IND", "-1.#QNAN")
 
+# The flags and columns of a pass event.
 FLAGS = ("under_pressure", "pass_cross", "pass_switch", "pass_through_ball", "pass_backheel", "pass_outswinging", "pass_inswinging", "pass_straight", "pass_cut_back", "pass_shot_assist", "pass_goal_assist", "pass_aerial_won", "pass_deflected", "pass_miscommunication", "pass_recovery")
 PASS_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("id", "match_id", "competition_id", "season_id")]
@@ -96,6 +99,13 @@ def passes(events: DataFrame, matches: DataFrame, match: str = "match_id", kind:
     return fill_columns(own, {f.name: f.dataType.simpleString() for f in PASS_SCHEMA})
 
 
+def match_metadata(matches: DataFrame, competition: int, season: int, competition_name: str = "", season_name: str = "") -> DataFrame:
+    """Matches with their competition's ids and names; ``competition`` and ``season`` default to the names."""
+    out = matches.withColumns({"competition_id": F.lit(competition).cast("bigint"), "season_id": F.lit(season).cast("bigint"), "competition_name": F.lit(competition_name), "season_name": F.lit(season_name)})
+    missing = {c: F.col(f"{c}_name") for c in ("competition", "season") if c not in matches.columns}
+    return out.withColumns(missing) if missing else out
+
+
 def manifest(df: DataFrame, keys: list[str], required: list[str], repeated: str = "error") -> DataFrame:
     """A small table with required columns; repeated keys are an error, or the first stays."""
     checks.require_columns(df, *keys, *required)
@@ -156,24 +166,28 @@ def require_rows(df: DataFrame, expected: int) -> DataFrame:
 
 
 def audit_json(df: DataFrame, name: str) -> str:
-    """A small audit table as JSON text."""
-    rows = [r.asDict(recursive=True) for r in df.limit(10_000).collect()]
+    """A small audit table as JSON text; more rows than ``REPORT_ROWS`` are an error."""
+    rows = [r.asDict(recursive=True) for r in checks_rows(df, REPORT_ROWS).collect()]
     return json.dumps({name: rows}, default=str, ensure_ascii=False, indent=2)
 
 
-def save_model(model, path: str, spark: SparkSession) -> None:
-    """A frozen linear model as one row of a table."""
-    spark.createDataFrame([(model.intercept, dict(model.weights), list(model.platt))], "intercept double, weights map<string,double>, platt array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+def save_model(model, path: str, spark: SparkSession, categories: dict[str, list[str]] | None = None, scale: dict[str, tuple[float, float]] | None = None) -> None:
+    """A frozen linear model as one row of a table: coefficients, calibration line, category values and scaler."""
+    row = (model.intercept, dict(model.weights), list(model.platt), dict(categories or {}), {k: list(v) for k, v in (scale or {}).items()})
+    spark.createDataFrame([row], "intercept double, weights map<string,double>, platt array<double>, categories map<string,array<string>>, scale map<string,array<double>>").coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def load_model(path: str, spark: SparkSession, features: dict[str, Column]):
-    from veldt.operators.models import Linear
+    """The saved model; ``features`` are its numeric columns as they are before scaling."""
+    from veldt.operators.models import Linear, one_hot, scaled
 
     row = spark.read.parquet(path).first()
-    return Linear(row["intercept"], row["weights"], tuple(row["platt"]), features)
+    own = {n: c for n, c in features.items() if n not in row["scale"]}
+    own |= scaled({n: c for n, c in features.items() if n in row["scale"]}, row["scale"]) | one_hot(row["categories"])
+    return Linear(row["intercept"], row["weights"], tuple(row["platt"]), own)
 
 
 def report(df: DataFrame, template: str, columns: list[str], order: list[str]) -> str:
-    """Sentences of a small result table."""
+    """Sentences of a small result table; more rows than ``REPORT_ROWS`` are an error."""
     line = F.format_string(template, *columns)
-    return "\n".join(r[0] for r in df.orderBy(*order).limit(10_000).select(line).collect())
+    return "\n".join(r[0] for r in checks_rows(df, REPORT_ROWS).orderBy(*order).select(line).collect())
