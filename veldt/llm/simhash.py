@@ -29,11 +29,13 @@ from veldt.llm.common import fresh, in_tasks, materialize
 from veldt.llm.components import connected_components
 
 BITS = 64
-WIDE = 4  # words of a wide fingerprint
+WIDE = 8  # words of a wide fingerprint
 KEY_BITS = 12  # least width of the bit samples by which wide fingerprints meet
 MEETING = 256  # fingerprints that meet by chance in a sample, on average; wider samples keep it below that
 MISS = 0.002  # chance that two fingerprints at the similarity meet in no sample
-DENSE = 64  # candidates of larger groups go by a star first, then by the pairs that it left apart
+DENSE = 64  # larger groups that meet are not compared in one go
+FEW = 6  # in larger components the nearest candidates go first, then the pairs that these left apart
+NEAREST = 2
 FAN = 8  # children of a node of the index
 QUERIES = 512  # searches that walk the tree together
 #: A byte's bits, spread over eight byte-wide counters.
@@ -255,11 +257,11 @@ def similar_bits(similarity: float) -> int:
     """The most differing bits of wide fingerprints that are worth an exact look at a Jaccard similarity.
 
     Sets of equal size with similarity j have a cosine of 2 j / (1 + j), of other sizes a larger
-    one, and a bit differs with the probability of their angle over pi. The margin is five standard
-    deviations.
+    one, and a bit differs with the probability of their angle over pi. The margin is three standard
+    deviations: of pairs just at the similarity one in 700 is not looked at.
     """
     p, n = _differ(similarity), BITS * WIDE
-    return round(n * p + 5 * math.sqrt(n * p * (1 - p)))
+    return round(n * p + 3 * math.sqrt(n * p * (1 - p)))
 
 
 def _differ(similarity: float) -> float:
@@ -311,10 +313,9 @@ def _near(codes: np.ndarray, rows: np.ndarray, others: np.ndarray, most: int) ->
 
 
 def _candidates_in_group(codes: np.ndarray, most: int, roots: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Places (a, b) of near fingerprints of one meeting group, and whether they are a star.
+    """Places (a, b) of near fingerprints of one meeting group, and whether they stand for a dense component.
 
-    Without ``roots`` dense components give a star around the code next to their majority of bits
-    in place of their pairs. With ``roots`` the pairs of different roots come out.
+    Without ``roots`` dense components give each code's nearest ones in place of all pairs. With ``roots`` the pairs of different roots come out.
     """
     n = len(codes)
     if roots is not None:
@@ -326,30 +327,42 @@ def _candidates_in_group(codes: np.ndarray, most: int, roots: np.ndarray | None)
             yield a[keep], b[keep], False
         return
     if n <= DENSE:
-        parts = [np.arange(n)]
+        a, b = _near(codes, np.arange(n), np.arange(n), most)
+        a, b = a[a < b], b[a < b]
+        if len(a) < FEW:  # too few for a component of more
+            yield a, b, False
+            return
+        found = _settle(np.arange(n), a, b)
     else:
         found = _near_in_group(codes, most)
-        order = np.argsort(found, kind="stable")
-        parts = [x for x in np.split(order, np.flatnonzero(np.diff(found[order])) + 1) if len(x) > 1]
-    for part in parts:
-        if len(part) <= DENSE:
+    order = np.argsort(found, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(found[order])) + 1):
+        if len(part) <= FEW:
             a, b = _near(codes, part, part, most)
             yield a[a < b], b[a < b], False
         else:
-            bits = np.unpackbits(np.ascontiguousarray(codes[part]).view(np.uint8).reshape(len(part), -1), axis=1)
-            middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(part)).view(np.uint64)
-            hub = part[np.bitwise_count(codes[part] ^ middle).sum(axis=1, dtype=np.int64).argmin()]
-            leaf = part[part != hub]
-            yield np.full(len(leaf), hub), leaf, True
+            yield from _nearest(codes, part, most)
+
+
+def _nearest(codes: np.ndarray, part: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Places (a, b) of each member of ``part`` and those next to it, ``NEAREST`` of them."""
+    step = max(1, (1 << 18) // len(part))
+    for at in range(0, len(part), step):
+        own = part[at : at + step]
+        apart = np.bitwise_count(codes[own, None] ^ codes[part]).sum(axis=2, dtype=np.int64)
+        apart[np.arange(len(own)), np.arange(at, at + len(own))] = BITS * WIDE + 1
+        near = np.argpartition(apart, NEAREST, axis=1)[:, :NEAREST]
+        good = np.take_along_axis(apart, near, axis=1) <= most
+        yield np.repeat(own, NEAREST)[good.ravel()], part[near.ravel()][good.ravel()], True
 
 
 def similar_candidates(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Candidate links (a, b, star) of wide fingerprints; every pair that is no star comes out once.
+    """Candidate links (a, b, star) of wide fingerprints; ``star`` marks the nearest of dense components, other pairs come out once.
 
     ``wide`` has distinct rows (node: bigint, bits: binary) and may have roots (root: bigint). Two
     fingerprints meet if all bits of one of the samples agree, and are candidates if they differ in ``similar_bits`` or fewer. A pair belongs to the first sample in
-    which it meets. Dense components of a meeting group give a star only; with roots, the pairs of
-    different roots come out, however dense.
+    which it meets. In dense components of a meeting group each code gives its nearest ones only, as
+    many rows as codes; with roots, the pairs of different roots come out, however dense.
     """
     most, rooted = similar_bits(similarity), "root" in wide.columns
     places = sample_places(wide.count(), similarity)
@@ -383,15 +396,15 @@ def similar_candidates(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
     def pairs(key: np.ndarray, node: np.ndarray, codes: np.ndarray, roots: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(starts, len(key)))
-        few = np.repeat(np.where(size <= 16, starts + size, 0), size)  # small groups: all pairs at once, by their distance
+        few = np.repeat(np.where(size <= FEW, starts + size, 0), size)  # small groups: all pairs at once, by their distance
         at = np.arange(len(key))
-        for step in range(1, 16):
+        for step in range(1, FEW):
             i = at[at + step < few]
             if not len(i):
                 break
             i = i[np.bitwise_count(codes[i] ^ codes[i + step]).sum(axis=1, dtype=np.int64) <= most]
             yield rows(key, node, codes, i if roots is None else i[roots[i] != roots[i + step]], step, False)
-        for s, n in zip(starts[size > 16], size[size > 16]):
+        for s, n in zip(starts[size > FEW], size[size > FEW]):
             for a, b, star in _candidates_in_group(codes[s : s + n], most, None if roots is None else roots[s : s + n]):
                 if len(a):
                     yield rows(key, node, codes, s + a, b - a, star)
@@ -403,7 +416,8 @@ def similar_candidates(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
             keys, table = _sample_keys(codes[known], places), key[i] >> width
             first = np.concatenate([(keys[x] == keys[y]).argmax(axis=1) for x, y in zip(*(np.array_split(back[k * len(i) : (k + 1) * len(i)], len(i) // 100_000 + 1) for k in (0, 1)))])
             i, j = i[first == table], j[first == table]
-        return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(np.full(len(i), star))], ["a", "b", "star"])
+        low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(np.full(len(i), star))], ["a", "b", "star"])
 
     more = ", root bigint" if rooted else ""
     dealt = wide.select("node", "bits", *(["root"] if rooted else [])).transform(in_tasks, deal, f"key bigint, node bigint, bits binary{more}")
@@ -432,9 +446,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def similar_links(wide: DataFrame, sets_of, similarity: float = 0.8) -> DataFrame:
     """Links (a, b) of nodes whose shingle sets have the similarity; they connect all candidates that do.
 
-    ``sets_of`` turns nodes (node: bigint) to their sets, as ``confirmed`` reads them. Stars of dense
-    groups are confirmed first; the candidates that these leave in different components follow pair
-    by pair, so a chain of similar sets is found whole.
+    ``sets_of`` turns nodes (node: bigint) to their sets, as ``confirmed`` reads them. The nearest
+    candidates of dense groups are confirmed first; the candidates that these leave in different
+    components follow pair by pair, so a chain of similar sets is found whole.
     """
     found = materialize(similar_candidates(wide, similarity), "candidates")
     pairs = found.select("a", "b").distinct()
