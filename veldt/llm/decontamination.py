@@ -122,14 +122,16 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str
     rest = out.columns
     at = rest.index(text_col)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    for k in range(parts):
+    part = F.pmod(F.xxhash64("prefix"), F.lit(parts))
+    full = sorted(r[0] for r in rows.select(part).distinct().collect())  # a number a block; empty blocks need no pass
+    for k in full or [0]:
         block: dict[bytes, list] = {}
-        for r in rows.where(F.pmod(F.xxhash64("prefix"), F.lit(parts)) == k).toLocalIterator():
+        for r in rows.where(part == k).toLocalIterator():
             held = bytes(r["window"])
             block.setdefault(bytes(r["prefix"]), []).append((r["place"], held.count(b" ") + 1, held, tuple(r["items"])))
         index = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], index=index, first=k == 0) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index=index, first=k == (full or [0])[0]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 marks = []
                 before = [None] * batch.num_rows if first else batch.column(len(rest)).to_pylist()
