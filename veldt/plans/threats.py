@@ -10,7 +10,6 @@ from veldt.operators import models
 from veldt.operators import relational as R
 from veldt.operators import windows as W
 from veldt.plans.frames import PASSES, passes, rounded, table
-from veldt.plans.measuring import _L, _long
 from veldt.plans.registry import query
 
 FOLDS, CALIBRATION, SEED, STEPS = 5, 0.25, 20260723, 10
@@ -144,18 +143,6 @@ def _(spark, d):
     return rounded(got.withColumn("place", F.row_number().over(Window.orderBy("log_loss", "brier", "configuration"))))
 
 
-def _newton(steps: int) -> str:
-    out = [_L + ", t AS (SELECT model, ln(p / (1 - p)) AS x, CAST(y AS DOUBLE) AS y, sum(w) AS w FROM l GROUP BY 1, 2, 3), s0 AS (SELECT DISTINCT model, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b FROM t)"]
-    for i in range(steps):
-        out.append(f"z{i} AS (SELECT t.model, a, b, x, w, y, 1 / (1 + exp(-(a + b * x))) AS m FROM t JOIN s{i} USING (model)), g{i} AS (SELECT model, any_value(a) AS a, any_value(b) AS b, sum(w * (y - m)) AS g0, sum(w * (y - m) * x) AS g1, sum(w * m * (1 - m)) AS h00, sum(w * m * (1 - m) * x) AS h01, sum(w * m * (1 - m) * x * x) AS h11 FROM z{i} GROUP BY 1), s{i + 1} AS (SELECT model, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM g{i})")
-    return ", ".join(out) + f" SELECT model, round(a, 6) AS intercept, round(b, 6) AS slope FROM s{steps}"
-
-
-@query("m14_m15_calibration_lines", _newton(10))
-def _(spark, d):
-    return rounded(M.calibration_line(_long(spark, d), ["model"]), 6)
-
-
 @query("m6_m7_calibrated_folds", f"WITH {PASSES}, m AS (SELECT DISTINCT match_id, team FROM pv), h AS (SELECT *, (row_number() OVER (PARTITION BY team ORDER BY sha256('20260723|' || match_id)) - 1) % 3 AS own FROM m), f AS (SELECT h.*, CAST(t.f AS INT) AS outer_fold FROM h, range(3) t(f)), c AS (SELECT *, row_number() OVER (PARTITION BY outer_fold, team ORDER BY sha256('20260723|calibration|' || outer_fold || '|' || match_id)) AS rn, count(*) OVER (PARTITION BY outer_fold, team) AS n FROM f WHERE own <> outer_fold), r AS (SELECT outer_fold, match_id, CASE WHEN n >= 2 AND rn <= least(n - 1, greatest(1, round_even(n * 0.125, 0))) THEN 'calibration' ELSE 'training' END AS role FROM c UNION ALL SELECT outer_fold, match_id, 'holdout' FROM f WHERE own = outer_fold) SELECT outer_fold, count(*) FILTER (role = 'training') AS n_training, count(*) FILTER (role = 'calibration') AS n_calibration, count(*) FILTER (role = 'holdout') AS n_holdout, round(avg(won) FILTER (role = 'training'), 4) AS raw_mean, round(avg(won) FILTER (role = 'calibration'), 4) AS calibrated_mean FROM r JOIN pv USING (match_id) GROUP BY 1")
 def _(spark, d):
     """Fits and Platt lines of every fold, seen by what they must repeat: the labels' means of their own rows."""
