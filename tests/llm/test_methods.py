@@ -235,6 +235,33 @@ def test_dense_groups_keep_their_chains(spark):
     assert set(got.values()) == {0} and len(got) == 300
 
 
+def test_a_large_group_of_edited_copies_equals_brute_force(spark):
+    # Scattered changes: some copies are similar, most only to the text that they come from, and many to none.
+    rng = random.Random(38)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(400):
+        words = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            words[rng.randrange(150)] = f"n{k}x{rng.randrange(10**6)}" if k % 3 else f"s{rng.randrange(5)}"
+        texts.append(" ".join(words))
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    roots = list(range(400))
+    for i in range(400):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (simhash.simhash(texts[i]) ^ simhash.simhash(texts[j])).bit_count() <= 2:
+                a, b = roots[i], roots[j]
+                roots = [min(a, b) if r in (a, b) else r for r in roots]
+    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).collect()}
+    assert 20 < len(set(roots)) < 390 and [got[i] for i in range(400)] == roots
+
+
+def test_shared_hashes_count_what_other_sets_have(spark):
+    sets = [(1, [1, 2, 3]), (2, [3, 4]), (3, []), (4, [3, 2**64 - 1]), (5, [2**64 - 1])]
+    rows = spark.createDataFrame([(n, bytearray(np.array(h, np.uint64).tobytes())) for n, h in sets], "node bigint, held binary")
+    assert {tuple(r) for r in simhash.shared_hashes(rows).collect()} == {(1, 3, 1), (2, 2, 1), (3, 0, 0), (4, 2, 2), (5, 1, 1)}
+
+
 def test_repeated_lines_do_not_decide_similarity(spark):
     line = " ".join(f"line{i}" for i in range(20))
     a, b = (" ".join(f"{c}{i}" for i in range(300)) for c in "ab")

@@ -359,12 +359,13 @@ def _nearest(codes: np.ndarray, part: np.ndarray, most: int) -> Iterator[tuple[n
 def similar_candidates(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Candidate links (a, b, star) of wide fingerprints; ``star`` marks the nearest of dense components, other pairs come out once.
 
-    ``wide`` has distinct rows (node: bigint, bits: binary) and may have roots (root: bigint). Two
+    ``wide`` has distinct rows (node: bigint, bits: binary) and may have the columns (root, size, shared: bigint) of ``shared_hashes``. Two
     fingerprints meet if all bits of one of the samples agree, and are candidates if they differ in ``similar_bits`` or fewer. A pair belongs to the first sample in
     which it meets. In dense components of a meeting group each code gives its nearest ones only, as
-    many rows as codes; with roots, the pairs of different roots come out, however dense.
+    many rows as codes; with roots, the pairs of different roots come out, however dense, unless they share too few hashes to be similar.
     """
     most, rooted = similar_bits(similarity), "root" in wide.columns
+    extra = ["root", "size", "shared"] if rooted else []
     places = sample_places(wide.count(), similarity)
     samples, width = places.shape
 
@@ -383,7 +384,7 @@ def similar_candidates(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
             if not batch.num_rows:
                 continue
             now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE)]
-            now += [batch.column(3).to_numpy()] if rooted else []
+            now += [batch.column(3 + k).to_numpy() for k in range(len(extra))]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             open_at = np.flatnonzero(held[0] != held[0][-1])
             cut = open_at[-1] + 1 if len(open_at) else 0
@@ -393,7 +394,14 @@ def similar_candidates(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
         if held is not None and len(held[0]):
             yield from pairs(*held)
 
-    def pairs(key: np.ndarray, node: np.ndarray, codes: np.ndarray, roots: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    def pairs(key: np.ndarray, node: np.ndarray, codes: np.ndarray, roots: np.ndarray | None = None, size_of: np.ndarray | None = None, shared: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        def open_pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Which pairs have different roots, and enough hashes that others have too: these alone can be in both sets."""
+            if roots is None:
+                return np.ones(len(i), bool)
+            common = np.minimum(shared[i], shared[j])
+            return (roots[i] != roots[j]) & (common / (size_of[i] + size_of[j] - common) >= similarity)
+
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(starts, len(key)))
         few = np.repeat(np.where(size <= FEW, starts + size, 0), size)  # small groups: all pairs at once, by their distance
@@ -403,11 +411,12 @@ def similar_candidates(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
             if not len(i):
                 break
             i = i[np.bitwise_count(codes[i] ^ codes[i + step]).sum(axis=1, dtype=np.int64) <= most]
-            yield rows(key, node, codes, i if roots is None else i[roots[i] != roots[i + step]], step, False)
+            yield rows(key, node, codes, i[open_pairs(i, i + step)], step, False)
         for s, n in zip(starts[size > FEW], size[size > FEW]):
             for a, b, star in _candidates_in_group(codes[s : s + n], most, None if roots is None else roots[s : s + n]):
-                if len(a):
-                    yield rows(key, node, codes, s + a, b - a, star)
+                keep = open_pairs(s + a, s + b)
+                if keep.any():
+                    yield rows(key, node, codes, s + a[keep], (b - a)[keep], star)
 
     def rows(key: np.ndarray, node: np.ndarray, codes: np.ndarray, i: np.ndarray, step: np.ndarray | int, star: bool) -> pa.RecordBatch:
         j = i + step
@@ -419,8 +428,8 @@ def similar_candidates(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
         low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
         return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(np.full(len(i), star))], ["a", "b", "star"])
 
-    more = ", root bigint" if rooted else ""
-    dealt = wide.select("node", "bits", *(["root"] if rooted else [])).transform(in_tasks, deal, f"key bigint, node bigint, bits binary{more}")
+    more = "".join(f", {c} bigint" for c in extra)
+    dealt = wide.select("node", "bits", *extra).transform(in_tasks, deal, f"key bigint, node bigint, bits binary{more}")
     return dealt.repartition("key").sortWithinPartitions("key").transform(in_tasks, link, "a bigint, b bigint, star boolean")
 
 
@@ -443,12 +452,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "held_a", "held_b").transform(in_tasks, run, "a bigint, b bigint")
 
 
+def shared_hashes(sets: DataFrame) -> DataFrame:
+    """(node, size, shared): the hashes of each set (node, held), and how many of them another of the sets has too.
+
+    Hashes are counted with partial sums, so one that is in very many sets is a row from each task.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, held in zip(batch.column(0), batch.column(1)):
+                hashes = np.frombuffer(held.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(hashes), node.as_py(), np.int64))], ["hash", "node"])
+
+    single = sets.select("node", "held").transform(in_tasks, each, "hash bigint, node bigint").groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    single = single.groupBy("node").agg(F.count(F.lit(1)).alias("single"))
+    size = F.shiftright(F.octet_length("held"), 3).cast("bigint")
+    return sets.select("node", size.alias("size")).join(single, "node", "left").select("node", "size", (F.col("size") - F.coalesce("single", F.lit(0))).alias("shared"))
+
+
 def similar_links(wide: DataFrame, sets_of, similarity: float = 0.8) -> DataFrame:
     """Links (a, b) of nodes whose shingle sets have the similarity; they connect all candidates that do.
 
     ``sets_of`` turns nodes (node: bigint) to their sets, as ``confirmed`` reads them. The nearest
     candidates of dense groups are confirmed first; the candidates that these leave in different
-    components follow pair by pair, so a chain of similar sets is found whole.
+    components follow pair by pair, so a chain of similar sets is found whole. A hash that only one
+    set of a dense group has is in no intersection: sets with too many of these have no similar one,
+    and pairs with too many are none, exactly, so the edited copies of one text are not compared with each other all over.
     """
     found = materialize(similar_candidates(wide, similarity), "candidates")
     pairs = found.select("a", "b").distinct()
@@ -458,7 +487,9 @@ def similar_links(wide: DataFrame, sets_of, similarity: float = 0.8) -> DataFram
     if dense.isEmpty():
         return sure
     dense = dense.select(F.col("a").alias("node")).union(dense.select("b")).distinct()
-    apart = wide.join(dense, "node").join(connected_components(sure), "node", "left").select("node", "bits", F.coalesce("root", "node").alias("root"))
+    counted = materialize(shared_hashes(sets.join(dense, "node", "left_semi")), "shared-hashes")
+    counted = counted.where((F.col("size") > 0) & (F.col("shared") / F.col("size") >= similarity))
+    apart = wide.join(counted, "node").join(connected_components(sure), "node", "left").select("node", "bits", F.coalesce("root", "node").alias("root"), "size", "shared")
     rest = materialize(similar_candidates(apart, similarity), "candidates")
     return sure.union(materialize(confirmed(rest.select("a", "b"), sets, similarity), "links"))
 
