@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -67,40 +68,52 @@ class ByteBpe:
         return ("\n" + text.replace("\n", " \n\n \n")).split(" ")
 
     def _learn(self, new: list[str]) -> None:
+        if not self.simple:
+            return self._learn_alone(new)
+        lines, words = [k for k in new if k[0] == "\n"], [k for k in new if k[0] != "\n"]
+        self._learn_together(lines, 1, lambda keys: "".join(keys)[1:])
+        self._learn_together(words, 0, lambda keys: " " + "\n ".join(keys))
+
+    def _learn_together(self, keys: list[str], skip: int, text_of: Callable[[list[str]], str]) -> None:
+        """Learn parts in texts that hold each in a line of its own; ``text_of`` writes such a text.
+
+        Parts with white space after their first ``skip`` characters, or with special tokens, go alone.
+        """
         odd = self.odd.search
-        alone = [k for k in new if odd(k, k[0] == "\n")] if self.simple else new
-        plain = [k for k in new if not odd(k, k[0] == "\n")] if self.simple else []
-        for at in range(0, len(plain), _TOGETHER):
-            keys = plain[at : at + _TOGETHER]
-            parts = [k[1:] if k[0] == "\n" else " " + k for k in keys]
-            got = self._encode("\n".join(parts))
+        for at in range(0, len(keys), _TOGETHER):
+            group = keys[at : at + _TOGETHER]
+            if odd("".join([k[skip:] for k in group]) if skip else "".join(group)):
+                self._learn_alone([k for k in group if odd(k, skip)])
+                group = [k for k in group if not odd(k, skip)]
+            if not group:
+                continue
+            (got,) = self.tokenizer.encode_batch_fast([text_of(group)], add_special_tokens=False)
             ids = np.array(got.ids, np.uint32)
-            ends = np.flatnonzero(ids == _END)
-            if len(ends) != len(keys) - 1:
+            ends = np.flatnonzero(ids == _END) * 4
+            if len(ends) != len(group) - 1:
                 raise RuntimeError("a part was not encoded on its own")
-            first, last = [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)]
-            raw = ids.tobytes()
-            self.memo.update(zip(keys, [raw[4 * s : 4 * e] for s, e in zip(first, last)]))
-            self.held += ENTRY * len(keys) + sum(map(len, keys)) + len(raw)
-        for key in alone:
+            raw, ends = ids.tobytes(), ends.tolist()
+            self.memo.update(zip(group, [raw[s:e] for s, e in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)])]))
+            self.held += ENTRY * len(group) + sum(map(len, group)) + len(raw)
+
+    def _learn_alone(self, keys: list[str]) -> None:
+        for key in keys:
             self.memo[key] = np.array(self._encode(_part(key)).ids, np.uint32).tobytes()
             self.held += ENTRY + 4 * len(key) + len(self.memo[key])
 
-    def _lookup(self, texts: list[str]) -> list[list[str]]:
-        cut = [self.keys(x) for x in texts]
-        new = set().union(*cut).difference(self.memo)
-        if new:
-            if self.held > MEMO_BYTES:
-                self.memo.clear()
-                self.held = 0
-                new = set().union(*cut)
-            self._learn(list(new))
-        return cut
-
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        cut, get = self._lookup(texts), self.memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, keys)), np.uint32) for keys in cut]
+        if self.held > MEMO_BYTES:
+            self.memo.clear()
+            self.held = 0
+        cut = [self.keys(x) for x in texts]
+        found = [list(map(self.memo.get, keys)) for keys in cut]
+        gaps = [[i for i, x in enumerate(got) if x is None] for got in found]
+        self._learn(list({keys[i] for keys, at in zip(cut, gaps) for i in at}))
+        for keys, got, at in zip(cut, found, gaps):
+            for i in at:
+                got[i] = self.memo[keys[i]]
+        return [np.frombuffer(b"".join(got), np.uint32) for got in found]
 
     def spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(ids, first character, end character) of each text's tokens.
