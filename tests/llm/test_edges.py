@@ -184,3 +184,15 @@ def test_sharding(docs, empty):
         assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sum(r["shard"] == k for r in rows)))
     assert {r["id"]: r["size"] for r in rows}[2] == 1
     assert sharding.shard(empty, 3).count() == 0
+
+
+def test_odd_column_names_stay(spark):
+    words = "a b c d e f g h i j k l m n"
+    docs = spark.createDataFrame([(1, words), (2, None)], "doc_id bigint, text string")
+    docs = docs.withColumn("odd ` name", F.struct(F.lit(1).alias("a b"), F.lit("x").alias("c`d"))).withColumn("a.b:c", F.array(F.lit(1)))
+    items = spark.createDataFrame([("x", words[2:] + " o"), ("y", words[:25])], "item_id string, text string")
+    coded = pieces.encode_decode(docs).collect()
+    assert coded[0]["decoded"] == words and coded[0]["odd ` name"]["a b"] == 1 and coded[1]["a.b:c"] == [1]
+    marked = {r["doc_id"]: r for r in decontamination.mark(docs, items).collect()}
+    assert marked[1]["contamination"]["items"] == ["y"] and marked[1]["odd ` name"]["c`d"] == "x"
+    assert [r["doc_id"] for r in decontamination.drop_contaminated(docs, items).collect()] == [2]

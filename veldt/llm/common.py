@@ -58,9 +58,14 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
 
 
 def in_tasks(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``mapInArrow`` of a function of this package, which is sent to the workers first; for ``DataFrame.transform``."""
+    """``mapInArrow`` of a function of this package, which is sent to the workers first; for ``DataFrame.transform``.
+
+    ``mapInArrow`` looks columns up by name, so tables with names that are no plain ones go with
+    numbered names; functions take such columns by place.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    plain = len(set(df.columns)) == len(df.columns) and not any(x in c for c in df.columns for x in "`.")
+    return (df if plain else df.toDF(*(f"c{i}" for i in range(len(df.columns))))).mapInArrow(function, schema)
 
 
 def _delete(spark: SparkSession, paths: list[str]) -> None:

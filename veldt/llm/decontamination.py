@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veldt.llm.common import fresh, in_tasks, materialize
 
@@ -121,7 +122,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str
     out = docs.drop(name)
     rest = out.columns
     at = rest.index(text_col)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    kinds = T.StructType([*out.schema.fields, T.StructField(name, T.DataType.fromDDL(MARK))])
     part = F.pmod(F.xxhash64("prefix"), F.lit(parts))
     full = sorted(r[0] for r in rows.select(part).distinct().collect())  # a number a block; empty blocks need no pass
     for k in full or [0]:
@@ -144,7 +145,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str
                     marks.append({"n_words": len(words), "spans": _spans(hit), "items": sorted(names)})
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(marks, _MARK)], [*rest, name])
 
-        out = out.transform(in_tasks, run, f"{kinds}, `{name}` {MARK}")
+        out = out.transform(in_tasks, run, kinds)
     return out
 
 

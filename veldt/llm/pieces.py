@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veldt.llm.common import in_tasks
 
@@ -305,17 +306,18 @@ def encode_decode(docs: DataFrame, model: str | None = None, text_col: str = "te
     path = model or default_path()
     rest = [c for c in docs.columns if c not in (ids, decoded)]
     at = rest.index(text_col)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in rest)).schema)
+    own = docs.select(*("`" + c.replace("`", "``") + "`" for c in rest))
+    kinds = T.StructType([*own.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        bpe = codec(path)
         for batch in batches:
             texts = [x or "" for x in batch.column(at).to_pylist()]
             for s, e in batches_of(texts):
-                got = own.encode(texts[s:e])
+                got = bpe.encode(texts[s:e])
                 cuts = pa.array(np.cumsum([0, *(len(x[0]) for x in got)]), pa.int32())
                 lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([x[0] for x in got])))
                 part = batch.slice(s, e - s)
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array([x[1] for x in got], pa.string())], [*rest, ids, decoded])
 
-    return docs.select(*(f"`{c}`" for c in rest)).transform(in_tasks, run, f"{kinds}, `{ids}` array<int>, `{decoded}` string")
+    return own.transform(in_tasks, run, kinds)
