@@ -111,8 +111,8 @@ class PieceBpe:
     def _symbol(self, text: str) -> int | None:
         return self.ids.get(text)
 
-    def _merge(self, words: list[str]) -> list[np.ndarray]:
-        """Symbols of each word after all merges; a character that is no piece is -1 - its code point."""
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols of all words in a row, how many each has) after all merges; a character that is no piece is -1 - its code point."""
         sizes = np.array([len(w) for w in words])
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         chars, back = np.unique(points, return_inverse=True)
@@ -121,8 +121,12 @@ class PieceBpe:
         long = sizes[word] >= LONG
         parts = [self._rounds(flat[~long], word[~long]), self._rounds_by_reach(flat[long], word[long])]
         flat, word = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(word, kind="stable")
-        return np.split(flat[order], np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
+        return flat[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+
+    def _merge(self, words: list[str]) -> list[np.ndarray]:
+        """Symbols of each word after all merges."""
+        flat, sizes = self.merged(words)
+        return np.split(flat, np.cumsum(sizes)[:-1])
 
     def _looked_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, made piece) of each pair of neighbours."""
