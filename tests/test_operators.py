@@ -45,10 +45,10 @@ def test_allocation_adds_up(spark, n):
 
 
 def test_folds_and_picks(spark):
-    df = spark.range(7).withColumn("s", F.lit("a"))
-    assert [r[0] for r in df.select(W.round_robin(["s"], "id", 5)).collect()] == [0, 1, 2, 3, 4, 0, 1]
+    df = W.positions(spark.range(7).withColumn("s", F.lit("a")), ["s"], ["id"])
+    assert [r[0] for r in df.orderBy("id").select(W.round_robin(5)).collect()] == [0, 1, 2, 3, 4, 0, 1]
     for n, want in ((20, 2), (2, 1), (1, 0)):
-        got = spark.range(n).withColumn("s", F.lit("a")).select(W.calibration_pick(["s"], "id", 0.125).alias("c"))
+        got = W.positions(spark.range(n).withColumn("s", F.lit("a")), ["s"], ["id"]).select(W.calibration_pick(0.125).alias("c"))
         assert got.where("c").count() == want
     roles = models.fold_roles(spark.range(40).select(F.col("id").alias("m"), (F.col("id") % 2).alias("s")), "m", ["s"], 4)
     assert C.one_role_per_fold(roles, "outer_fold", "m", "role", "holdout").first()[:] == (0, 0)
@@ -242,3 +242,103 @@ def test_golden_team_identities():
     baseline = -0.9528630592451951
     for net, centred in ((-0.9770, -0.0241), (-1.2479, -0.2950), (-0.6185, 0.3344)):
         assert abs(net - baseline - centred) < 1e-4
+
+
+def test_positions_in_large_and_null_groups(spark):
+    rows = [(None if i % 7 == 0 else "ab"[i % 7 == 1], f"{(i * 7919) % 3001:04d}", i) for i in range(3001)]
+    got = W.positions(frame(spark, rows, "g string, o string, i int").repartition(6), ["g"], ["o"])
+    groups = {}
+    for g, o, i in rows:
+        groups.setdefault(g, []).append((o, i))
+    want = {i: (k, len(own)) for own in groups.values() for k, (_, i) in enumerate(sorted(own), 1)}
+    assert {r["i"]: (r["__place"], r["__size"]) for r in got.collect()} == want
+    assert W.positions(frame(spark, [], "g string, o string"), ["g"], ["o"]).count() == 0
+    assert sorted(r["__place"] for r in W.positions(spark.range(9), [], ["id"]).collect()) == list(range(1, 10))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "__range" in plan and plan.count("Scan ExistingRDD") >= 1
+
+
+def test_null_groups_are_groups(spark):
+    rows = [(g, float(i % 5), float((i * 3) % 7), i % 2, 0.1 + 0.05 * (i % 9), 1.0 + i % 3) for g in (None, "a") for i in range(24)]
+    df = frame(spark, rows, "g string, x double, z double, y int, p double, w double")
+    alone = {g: df.where(F.col("g").eqNullSafe(F.lit(g))).drop("g") for g in (None, "a")}
+    for f in (
+        lambda d, by: M.auc(d, by), lambda d, by: M.average_precision(d, by), lambda d, by: M.all_metrics(d, by), lambda d, by: A.describe(d, "x", by),
+        lambda d, by: A.weighted_median(d, "x", "w", by), lambda d, by: A.spearman(d, "x", "z", by), lambda d, by: W.exact_quantiles(d, "x", [0.3], by), lambda d, by: M.calibration_line(d, by),
+    ):
+        got = {r["g"]: r.asDict() for r in f(df, ["g"]).collect()}
+        assert set(got) == {None, "a"}
+        for g, own in alone.items():
+            (want,) = f(own, []).collect()
+            for k, v in want.asDict().items():
+                assert got[g][k] == pytest.approx(v)
+
+
+def test_lines_of_separated_labels_are_finite(spark):
+    rows = [("apart", 0.1, 0), ("apart", 0.3, 0), ("apart", 0.6, 1), ("apart", 0.9, 1), ("turned", 0.2, 1), ("turned", 0.4, 0), ("one", 0.2, 1), ("one", 0.7, 1), ("fine", 0.2, 0), ("fine", 0.4, 1), ("fine", 0.6, 0), ("fine", 0.9, 1)]
+    df = frame(spark, rows, "g string, p double, y int").withColumn("w", F.lit(1.0))
+    got = {r["g"]: r for r in M.calibration_line(df, ["g"]).collect()}
+    assert set(got) == {"apart", "turned", "one", "fine"}
+    assert got["apart"]["slope"] > 1 and got["turned"]["slope"] < 0 and got["one"]["intercept"] > 1
+    for g, own in got.items():  # the gradient of what is fitted is zero
+        z = 0.0 if g == "fine" else M.RIDGE * sum(r[0] == g for r in rows)
+        x = [(math.log(p / (1 - p)), y) for k, p, y in rows if k == g]
+        rest = [(a, y - 1 / (1 + math.exp(-own["intercept"] - own["slope"] * a))) for a, y in x]
+        assert abs(sum(r for _, r in rest) - z * own["intercept"]) < 1e-6 and abs(sum(a * r for a, r in rest) - z * own["slope"]) < 1e-6
+
+
+def test_caliper_pairs_are_those_of_all_pairs(spark):
+    random.seed(8)
+    rows = [(i, random.choice(["r", "s", None]), f"t{i % 4}", random.choice([None, float("nan"), 0.0, 0.3, round(random.gauss(0, 1), 1)]), random.choice([0.0, -1.0, 0.1, 1.0, 1.1, 2.5, 1e6])) for i in range(120)]
+    df = frame(spark, rows, "id int, role string, team string, a double, b double").repartition(4)
+    for absolute, relative in (({"a": 0.3}, {}), ({"a": 0.0}, {"b": 0.1}), ({}, {"b": 0.5}), ({"a": 0.1, "b": 0.1}, {"b": 2.0})):
+        def near(x, y):
+            if any(v is None or v != v for c in (*absolute, *relative) for v in (x[3 if c == "a" else 4], y[3 if c == "a" else 4])):
+                return False
+            value = {"a": (x[3], y[3]), "b": (x[4], y[4])}
+            return all(abs(value[c][0] - value[c][1]) <= k for c, k in absolute.items()) and all(sum(value[c]) > 0 and abs(value[c][0] - value[c][1]) / (sum(value[c]) / 2) <= k for c, k in relative.items())
+
+        want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] == y[1] is not None and x[2] != y[2] and near(x, y)}
+        got = R.caliper_pairs(df, "role", "team", ["id"], ["b"], absolute, relative)
+        assert sorted((r["left_id"], r["right_id"]) for r in got.collect()) == sorted(want)
+    with pytest.raises(C.IntegrityError):
+        R.pairs_within(df, "role", "team", ["id"], ["b"], most=100)
+
+
+def test_greedy_rounds_take_what_the_scan_takes(spark):
+    random.seed(9)
+    for n in (1, 30, 400):
+        rows = [(i, random.choice([None, *range(9)]), f"p{random.randint(0, 25)}", f"p{random.randint(0, 25)}", random.randint(0, 30)) for i in range(n)]
+        used, want = set(), []
+        for r in sorted(rows, key=lambda r: (-r[4], r[0])):
+            keys = {("once", r[1]), ("party", r[2]), ("party", r[3])}
+            if not keys & used:
+                used |= keys
+                want.append(r[0])
+        pairs = frame(spark, rows, "id int, role int, l string, r string, d int").repartition(3)
+        for most in (2, 100):
+            got = R.greedy_pairs(pairs, most, "role", ["l", "r"], [F.desc("d"), F.col("id")])
+            assert [r["id"] for r in got.orderBy("selected_pair").collect()] == want[:most]
+
+
+def test_bootstrap_of_ordered_metrics_equals_copied_rows(spark, monkeypatch):
+    random.seed(6)
+    rows = [(random.choice([None, *range(12)]), m, random.randint(0, 1), random.choice([0.2, 0.5, round(random.random(), 2)])) for _ in range(150) for m in ("full", "other")]
+    rows += [(99, "full", 1, 0.5)] * 300  # a hot score and cluster
+    df = frame(spark, rows, "match int, model string, y int, p double").repartition(3)
+    monkeypatch.setattr(resample, "CHUNK", 7)
+    got = {(r["replicate"], r["model"]): r for r in resample.metric_replicates(df, "match", "model", 23, 5, block=10).collect()}
+    weight = {}
+    for r in resample.bootstrap_weights(df, "match", 23, 5).collect():
+        weight.setdefault(r["replicate"], {})[r["match"]] = r["weight"]
+    for (k, model), r in got.items():
+        own = [(y, p, weight[k].get(m, 0)) for m, o, y, p in rows if o == model and weight[k].get(m, 0)]
+        up, down = sum(w for y, _, w in own if y), sum(w for y, _, w in own if not y)
+        if up and down:
+            area = sum(v * w * (1.0 if q < p else 0.5 if q == p else 0.0) for y, p, v in own if y for z, q, w in own if not z)
+            assert r["auc"] == pytest.approx(area / up / down)
+        steps = sum(w * sum(v for z, q, v in own if not z and q <= p) / sum(v for _, q, v in own if q <= p) for y, p, w in own if not y)
+        assert r["average_precision"] == (pytest.approx(steps / down) if down else None)
+        assert r["log_loss"] == pytest.approx(-sum(w * math.log(p if y else 1 - p) for y, p, w in own) / (up + down))
+        assert r["brier"] == pytest.approx(sum(w * (p - y) ** 2 for y, p, w in own) / (up + down))
+    assert set(got) == {(k, m) for k in range(23) for m in ("full", "other") if any(weight[k].get(a, 0) for a, o, *_ in rows if o == m)}

@@ -8,8 +8,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from veldt.operators import checks
-from veldt.sources import tables
-from veldt.streaming import counters
+from veldt.sources import files, matches, tables
+from veldt.streaming import counters, ingest
 
 
 def test_formats(spark, tmp_path):
@@ -81,17 +81,107 @@ def test_retries():
         tables.with_retries(lambda: (_ for _ in ()).throw(OSError("no")), most=2, sleep=waits.append)
 
 
-def test_inventory_and_hashes(spark, tmp_path):
+def test_inventory_tells_kinds_and_matches(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub/events_12.json").write_text('[{"id": 1}]')
-    (tmp_path / "sub/events_13.json").write_text('{"events": []}')
+    (tmp_path / "sub/events_13.json").write_text('\ufeff {"events": []}')
+    with gzip.open(tmp_path / "sub/12.json.gz", "wt") as f:
+        json.dump([{"a": 3}], f)
+    (tmp_path / "sub/14.json.gz").write_bytes(b"\x1f\x8bbroken")
     (tmp_path / "t.csv").write_text("a,b\n1,2\n")
-    rows = {(r["extension"], r["kind"]): r for r in tables.inventory(spark, str(tmp_path)).collect()}
-    assert rows["json", "json list"]["matches"] == 1 and rows["csv", "table"]["files"] == 1 and ("json", "json events") in rows
+    (tmp_path / "15.json").write_text("")
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "p"))
+    with open(tmp_path / "large_16.csv", "wb") as f:
+        f.write(b"a,b\n")
+        f.truncate(3 << 30)  # more than a file's content may have in a row
+    got = {r["path"].rsplit("/", 1)[1]: r for r in files.inventory(spark, str(tmp_path)).collect()}
+    want = {"events_12.json": ("json list", "12"), "events_13.json": ("json events", "13"), "12.json.gz": ("json list", "12"), "14.json.gz": ("unreadable", "14"), "t.csv": ("table", None), "15.json": ("empty", "15"), "large_16.csv": ("table", "16")}
+    assert {k: (got[k]["kind"], got[k]["match_id"]) for k in want} == want
+    assert got["large_16.csv"]["bytes"] == 3 << 30 and got["12.json.gz"]["extension"] == ".json.gz" and got["14.json.gz"]["error"]
+    assert [r["kind"] for n, r in got.items() if n.endswith(".parquet")] == ["parquet"]
+    rows = {(r["extension"], r["kind"]): r for r in files.summary(files.inventory(spark, str(tmp_path / "sub"))).collect()}
+    assert rows[".json", "json list"]["matches"] == 1 and rows[".json.gz", "unreadable"]["files"] == 1
+    expected = spark.createDataFrame([(12,), (13,), (14,), (99,), (None,)], "match_id int")
+    state = {r["match_id"]: (r["state"], r["files"]) for r in files.diagnosis(files.inventory(spark, str(tmp_path / "sub")), expected).collect()}
+    assert state == {"12": ("repeated", 2), "13": ("ok", 1), "14": ("unreadable", 1), "99": ("missing", 0)}
+
+
+def test_manifests_tell_what_changed(spark, tmp_path, monkeypatch):
     import hashlib
-
-    got = {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in tables.hashes(spark, str(tmp_path)).collect()}
-    assert got["t.csv"] == hashlib.sha256(b"a,b\n1,2\n").hexdigest()
+    import subprocess
+
+    monkeypatch.setattr(files, "CHUNK", 1000)
+    root = tmp_path / "data"
+    (root / "a b").mkdir(parents=True)
+    for name, content in (("a b/x.bin", bytes(range(256)) * 50), ("y", b""), ("z.txt", b"text"), ("w", b"w")):
+        (root / name).write_bytes(content)
+    found = {r["path"]: r for r in files.relative(files.hashes(spark, str(root)), str(root)).collect()}
+    said = dict(reversed(line.split("  ", 1)) for line in subprocess.run("find . -type f -printf '%P\\n' | xargs -d '\\n' sha256sum", shell=True, cwd=root, capture_output=True, text=True).stdout.splitlines())
+    assert {k: r["sha256"] for k, r in found.items()} == said and found["y"]["sha256"] == hashlib.sha256().hexdigest()
+    files.write_manifest(files.relative(files.hashes(spark, str(root)), str(root)), str(tmp_path / "manifest"))
+    (root / "z.txt").write_bytes(b"Text")
+    (root / "w").rename(root / "v")
+    now = files.relative(files.hashes(spark, str(root)), str(root))
+    state = {r["path"]: r["state"] for r in files.verify(spark.read.parquet(str(tmp_path / "manifest")), now).collect()}
+    assert state == {"z.txt": "changed", "w": "lost", "v": "new"}
+
+
+def test_staged_matches_are_read_selectively(spark, tmp_path):
+    rows = [("1", 1, "Pass", [1.0, 2.0]), ("1", 2, "Shot", None), ("2", 3, "Pass", [0.5]), (None, 4, "Pass", None)]
+    events = spark.createDataFrame(rows, "match_id string, id int, type string, location array<double>")
+    assert matches.stage(events, str(tmp_path / "in/a"), packed=True) == 2
+    (tmp_path / "in/b").mkdir()
+    (tmp_path / "in/b/match_77.json").write_text('{"events": [{"id": 9, "type": "Pass", "more": {"x": 1}}]}')
+    (tmp_path / "in/b/match_78.json").write_text('[{"id": ')
+    (tmp_path / "in/b/readme.txt").write_text("not an event file")
+    schema = "match_id string, id int, type string, location array<double>, more string"
+    with pytest.raises(PySparkException):
+        matches.read(spark, str(tmp_path / "in"), schema).collect()  # a broken file is an error of the read
+    status = {r["match_id"]: (r["status"], r["n_events"]) for r in matches.read(spark, str(tmp_path / "in"), report=True).collect()}
+    assert status == {"1": ("success", 2), "2": ("success", 1), "77": ("success", 1), "78": ("failed", 0)}
+    (tmp_path / "in/b/match_78.json").unlink()
+    df = matches.read(spark, str(tmp_path / "in"), schema)
+    assert {tuple(r) for r in df.select("match_id", "id", F.size("location"), "more").collect()} == {("1", 1, 2, None), ("1", 2, None, None), ("2", 3, 1, None), ("77", 9, None, '{"x": 1}')}
+    root = str(tmp_path / "in")
+    wanted, other = matches.read(spark, root, schema, {"type": "Pass"}), matches.read(spark, root, schema, {"type": "Shot"})
+    assert sorted(r["id"] for r in wanted.where("id > 1").collect()) == [3, 9] and [r["id"] for r in other.collect()] == [2]
+    assert wanted.join(other.select("match_id"), "match_id").count() == 1 and df.count() == 4
+    one = matches.read(spark, root, schema, {"match_id": "2"})
+    assert one.rdd.getNumPartitions() == 1 and df.rdd.getNumPartitions() == 3 and one.count() == 1
+    assert matches.read(spark, root, schema, {"match_id": "5"}).count() == 0
+
+
+def test_ingest_resumes_after_a_failure(spark, tmp_path):
+    def batch(n, matches, value=1.0):
+        spark.createDataFrame([(m, i, value) for m in matches for i in range(3)], "match_id int, i int, v double").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+
+    def run(after=None):
+        stream = ingest.staged(spark, str(tmp_path / "in"), "match_id int, i int, v double", most=1)
+        ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "state"), "match_id", after).awaitTermination()
+
+    def stored():
+        return sorted((r["match_id"], r["i"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    seen = []
+
+    def fails(number):
+        seen.append(number)
+        if number == 1:
+            raise RuntimeError("killed after the batch was written, before it was noted")
+
+    for n in range(3):
+        batch(n, [2 * n, 2 * n + 1])
+    with pytest.raises(Exception, match="killed"):
+        run(fails)
+    assert seen == [0, 1] and len(stored()) == 12
+    again = []
+    run(again.append)
+    assert again == [1, 2] and stored() == [(m, i, 1.0) for m in range(6) for i in range(3)]
+    run(again.append)
+    assert again == [1, 2]  # nothing new, nothing done
+    batch(3, [4], 2.0)
+    run()
+    assert stored() == [(m, i, 2.0 if m == 4 else 1.0) for m in range(6) for i in range(3)]
 
 
 def test_reports(spark):

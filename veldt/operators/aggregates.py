@@ -67,11 +67,15 @@ def shares(df: DataFrame, by: list[str], conditions: dict[str, Column]) -> DataF
 
 def describe(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """n, mean, median, sample deviation, quartiles, 95th percentile, extremes; exact."""
-    c, none = F.col(value), F.lit(0).alias("__none")
-    sums = df.groupBy(none, *by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("min"), F.max(c).alias("max"))
-    found = windows.exact_quantiles(df, value, [0.5, 0.25, 0.75, 0.95], list(by), "__q").select(none, "*")
+    c, by = F.col(value), list(by)
+    cells = windows.once(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))  # a group of nulls alone has a row too
+    found = windows.exact_quantiles(cells, value, [0.5, 0.25, 0.75, 0.95], by, "__q", "__n")
+    n, mean = F.sum(F.when(c.isNotNull(), F.col("__n")).otherwise(0)), F.try_divide(F.sum(c * F.col("__n")), F.sum(F.when(c.isNotNull(), F.col("__n"))))
+    sums = cells.groupBy(*by).agg(n.alias("n"), mean.alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"))
+    apart = windows.matched(cells, sums.select(*by, "n", "mean"), by).groupBy(*by).agg(F.sqrt(F.try_divide(F.sum(F.pow(c - F.col("mean"), F.lit(2)) * F.col("__n")), F.first("n") - 1)).alias("sd"))
+    out = windows.matched(windows.matched(sums, apart, by), found, by, "left")
     q = {k: F.col("__q")[i].alias(k) for i, k in enumerate(("median", "p25", "p75", "p95"))}
-    return sums.join(found, ["__none", *by], "left").select(*by, "n", "mean", q["median"], "sd", q["p25"], q["p75"], q["p95"], "min", "max")
+    return out.select(*by, F.coalesce("n", F.lit(0)).alias("n"), "mean", q["median"], "sd", q["p25"], q["p75"], q["p95"], "min", "max")
 
 
 def ordered_text(value: str, order: list[str], separator: str) -> Column:
@@ -89,19 +93,33 @@ def weighted_median(df: DataFrame, value: str, weight: str, by: list[str] = ())
 
     Rows with missing values or weights, and with no positive weight, are left out.
     """
+    by = list(by)
     ok = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.col(weight) > 0))
-    cells = ok.groupBy(*by, value).agg(F.sum(weight).alias("__w"))
-    whole = cells.groupBy(*by).agg(F.sum("__w").alias("__all")).withColumn("__none", F.lit(0))
-    run = windows.running_sums(cells, list(by), value, ["__w"]).withColumn("__none", F.lit(0)).join(whole, ["__none", *by])
+    cells = windows.once(ok.groupBy(*by, value).agg(F.sum(weight).alias("__w")))
+    whole = cells.groupBy(*by).agg(F.sum("__w").alias("__all"))
+    run = windows.matched(windows.running_sums(cells, by, value, ["__w"]), whole, by)
     return run.where(F.col("__w__run") >= F.col("__all") / 2).groupBy(*by).agg(F.min(value).alias("weighted_median"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
-    """Rank correlation; null with fewer than three rows or a constant column."""
+    """Rank correlation; null with fewer than three rows or a constant column.
+
+    Both columns are ranked together, from one table of how often each pair of values occurs.
+    """
+    by, n = list(by), F.col("__n")
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = windows.ranks(windows.ranks(ok.select(*by, x, y), x, list(by), "__rx"), y, list(by), "__ry")
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(x).alias("__dx"), F.count_distinct(y).alias("__dy"), F.try_divide(F.covar_pop("__rx", "__ry"), F.stddev_pop("__rx") * F.stddev_pop("__ry")).alias("__r"))
-    return out.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("__dx") > 1) & (F.col("__dy") > 1), F.col("__r")).alias("spearman"))
+    cells = windows.once(ok.groupBy(*by, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count(F.lit(1)).alias("__n")))
+    both = F.array(*(F.struct(F.lit(side).alias("side"), F.col(f"__{side}").cast("double").alias("value")) for side in "xy"))
+    long = cells.select(*by, "__n", F.inline(both)).groupBy(*by, "side", "value").agg(F.sum("__n").alias("__n"))
+    place = windows.once(windows.running_sums(long, [*by, "side"], "value", ["__n"]).select(*by, "side", "value", (F.col("__n__run") - (n - 1) / 2).alias("rank")))
+    ranked = cells
+    for side in "xy":
+        own = place.where(F.col("side") == side).select(*by, F.col("value").alias(f"__{side}v"), F.col("rank").alias(f"__r{side}"))
+        ranked = windows.matched(ranked.withColumn(f"__{side}v", F.col(f"__{side}").cast("double")), own, [*by, f"__{side}v"])
+    rx, ry = F.col("__rx"), F.col("__ry")
+    sums = ranked.groupBy(*by).agg(F.sum(n).alias("n"), F.count_distinct("__x").alias("__dx"), F.count_distinct("__y").alias("__dy"), *(F.sum(n * c).alias(k) for k, c in (("sx", rx), ("sy", ry), ("sxx", rx * rx), ("syy", ry * ry), ("sxy", rx * ry))))
+    top, below = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")), F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")))
+    return sums.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("__dx") > 1) & (F.col("__dy") > 1), F.try_divide(top, below)).alias("spearman"))
 
 
 def constant_per(df: DataFrame, group: list[str], column: str) -> DataFrame:

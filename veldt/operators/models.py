@@ -89,10 +89,11 @@ def tune(train: DataFrame, held: DataFrame, label: str, features: Mapping[str, C
 def fold_roles(matches: DataFrame, match: str, stratum: list[str], k: int, calibration: float = 0.125, seed: int = 20260723) -> DataFrame:
     """(outer_fold, match, role): one role of every match in every fold."""
     own = matches.select(match, *stratum).distinct()
-    dealt = own.withColumn("__h", stable_hash(seed, F.col(match))).withColumn("__fold", windows.round_robin(stratum, "__h", k))
+    dealt = windows.positions(own.withColumn("__h", stable_hash(seed, F.col(match))), stratum, ["__h"])
+    dealt = dealt.select(match, *stratum, windows.round_robin(k).alias("__fold"))
     folds = dealt.crossJoin(F.broadcast(matches.sparkSession.range(k).select(F.col("id").cast("int").alias("outer_fold"))))
     rest = folds.where("outer_fold <> __fold").withColumn("__c", stable_hash(seed, F.concat(F.lit("calibration|"), F.col("outer_fold").cast("string")), F.col(match)))
-    rest = rest.withColumn("role", F.when(windows.calibration_pick(["outer_fold", *stratum], "__c", calibration), "calibration").otherwise("training"))
+    rest = windows.positions(rest, ["outer_fold", *stratum], ["__c"]).withColumn("role", F.when(windows.calibration_pick(calibration), "calibration").otherwise("training"))
     return rest.select("outer_fold", match, "role").unionByName(folds.where("outer_fold = __fold").select("outer_fold", match, F.lit("holdout").alias("role")))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import math
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veldt.operators import checks, windows
+from veldt.session import checkpointed
 
 SMALL_BYTES = 64 << 20  # a side is broadcast only if it is measured to be smaller
 
@@ -94,21 +96,85 @@ def checks_rows(df: DataFrame, most: int) -> DataFrame:
     return df
 
 
-def pairs_within(df: DataFrame, group: str, apart: str, order: list[str], zscored: list[str]) -> DataFrame:
+def pairs_within(df: DataFrame, group: str, apart: str, order: list[str], zscored: list[str], most: int = 50_000_000) -> DataFrame:
     """Unordered pairs of a group's rows that differ in ``apart``, with their profile distance.
 
-    Columns of the two sides begin with ``left_`` and ``right_``. Each variable is standardised in
-    its group by the population deviation; a constant one counts 0. The pairs of a group grow with
-    its square, so groups are limited to ``checks``-sized tables such as player summaries.
+    Columns of the two sides begin with ``left_`` and ``right_``; the left row is the earlier in
+    ``order``, which is total in a group. Each variable is standardised in its group by the population
+    deviation; a constant one counts 0. All pairs of a group are made, so more than ``most`` in all
+    groups are an error: use ``caliper_pairs`` where calipers bound them.
     """
-    w = Window.partitionBy(group)
-    z = df.select("*", F.row_number().over(w.orderBy(*order)).alias("__rn"), *(zscore(c, w).alias(f"__z_{c}") for c in zscored))
-    a = z.select(F.col(group), *(F.col(c).alias(f"left_{c}") for c in z.columns if c != group))
-    b = z.select(F.col(group), *(F.col(c).alias(f"right_{c}") for c in z.columns if c != group))
-    out = a.join(b, group).where((F.col("left___rn") < F.col("right___rn")) & (F.col(f"left_{apart}") != F.col(f"right_{apart}")))
+    (n,) = df.groupBy(group).agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("n")).agg(F.sum("n")).first()
+    if (n or 0) > most:
+        raise checks.IntegrityError(f"{n:.0f} pairs, more than {most}")
+    return _paired(*_sides(df, group, zscored), [group], group, apart, order, zscored)
+
+
+def _sides(df: DataFrame, group: str, zscored: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with standardised variables, named for the left and the right side; moments are one row a group."""
+    moments = df.groupBy(group).agg(*(f(c).alias(f"__{k}_{c}") for c in zscored for k, f in (("m", F.avg), ("s", F.stddev_pop))))
+    z = df.join(moments, group).select(*df.columns, *(F.when(F.col(f"__s_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).otherwise(0.0).alias(f"__z_{c}") for c in zscored))
+    return tuple(z.select(F.col(group), *(F.col(c).alias(f"{side}_{c}") for c in z.columns if c != group)) for side in ("left", "right"))
+
+
+def _paired(left: DataFrame, right: DataFrame, on: list[str], group: str, apart: str, order: list[str], zscored: list[str]) -> DataFrame:
+    first = F.struct(*(f"left_{c}" for c in order)) < F.struct(*(f"right_{c}" for c in order))
+    out = left.join(right, on).where(first & (F.col(f"left_{apart}") != F.col(f"right_{apart}")))
     square = reduce(lambda x, y: x + y, (F.pow(F.col(f"left___z_{c}") - F.col(f"right___z_{c}"), F.lit(2)) for c in zscored))
-    hidden = [c for c in out.columns if "___" in c]
-    return out.withColumn("profile_distance", F.sqrt(square)).drop(*hidden)
+    return out.withColumn("profile_distance", F.sqrt(square)).drop(*(c for c in out.columns if "___" in c or c.startswith("__")))
+
+
+def caliper_pairs(df: DataFrame, group: str, apart: str, order: list[str], zscored: list[str], absolute: Mapping[str, float], relative: Mapping[str, float] | None = None) -> DataFrame:
+    """The pairs of ``pairs_within`` whose variables are no further apart than their calipers.
+
+    ``absolute`` bounds the difference of a variable, ``relative`` the difference over the mean of the two
+    values, which must have a positive mean. Rows are laid on a grid of the calipers, and only rows of the same
+    or neighbouring cells meet, so the pairs that are made grow with those that qualify and not with the
+    square of a group. Moments are those of the whole group. A null or NaN variable qualifies with
+    nothing, nor does a row without a group.
+    """
+    relative = relative or {}
+    if not absolute and not relative:
+        raise ValueError("a caliper is needed")
+    given = [*absolute, *relative]
+    left, right = _sides(df, group, zscored)
+    known = {side: reduce(lambda a, b: a & b, (F.col(f"{side}_{c}").isNotNull() & ~F.isnan(F.col(f"{side}_{c}").cast("double")) for c in given)) for side in ("left", "right")}
+    cells = [_cell(c, k, False) for c, k in absolute.items()] + [_cell(c, k, True) for c, k in relative.items() if k < 2]
+    names = [f"__cell{i}" for i in range(len(cells))]
+    left = left.where(known["left"]).withColumns({n: cell("left") for n, cell in zip(names, cells)})
+    right = right.where(known["right"])
+    for n, cell in zip(names, cells):  # a row of the right side lies in its own cell and in those beside it
+        at = cell("right")
+        right = right.withColumn(n, F.explode(F.array(at - 1, at, at + 1)))
+    out = _paired(left, right, [group, *names], group, apart, order, zscored)
+    for c, k in absolute.items():
+        out = out.where(F.abs(F.col(f"left_{c}") - F.col(f"right_{c}")) <= k)
+    for c, k in relative.items():
+        mean = (F.col(f"left_{c}") + F.col(f"right_{c}")) * 0.5
+        out = out.where((mean > 0) & (F.abs(F.col(f"left_{c}") - F.col(f"right_{c}")) / mean <= k))
+    return out
+
+
+#: Cells are wider than their caliper by this share, so that rounding can not put two rows at its end two cells apart.
+_WIDER = 1 + 1e-6
+
+
+def _cell(column: str, caliper: float, relative: bool) -> Callable[[str], Column]:
+    """Number of the cell of a side's value; cells of a relative caliper are even in the logarithm.
+
+    Values of 0 or less have no cell: they are 2 apart relatively at least, or have no positive mean.
+    """
+    if caliper < 0:
+        raise ValueError("a caliper is 0 or more")
+
+    def at(side: str) -> Column:
+        value = F.col(f"{side}_{column}").cast("double")
+        if not relative:
+            return F.floor(value / (caliper * _WIDER)) if caliper else F.xxhash64(value + 0.0)
+        width = math.log((2 + caliper) / (2 - caliper)) * _WIDER or 1e-9
+        return F.when(value > 0, F.floor(F.log(value) / width))
+
+    return at
 
 
 def zscore(column: str, window) -> Column:
@@ -120,21 +186,25 @@ def zscore(column: str, window) -> Column:
 def greedy_pairs(pairs: DataFrame, most: int, once: str, parties: Iterable[str], order: list[Column]) -> DataFrame:
     """Take pairs in order, each if its ``once`` value and its parties are all unused, ``most`` at most (K7).
 
-    The order must be total. Only the best pair of each ``once`` value and party combination can
-    ever be taken, so candidates stream to the driver in order and reading stops with the last.
+    The order must be total. A pair that comes first among all that share its ``once`` value or one of its
+    parties is taken by the scan in order, whatever else it takes: so a round takes all such pairs at
+    once, removes what they exclude, and the rounds together take exactly what the scan takes. A null
+    ``once`` value or party is a value like others.
     """
-    used: set = set()
-    chosen = []
-    names = list(parties)
-    for row in pairs.orderBy(*order).toLocalIterator():
-        keys = {(once, row[once])} | {("party", row[p]) for p in names}
-        if not keys & used:
-            used |= keys
-            chosen.append(row)
-            if len(chosen) == most:
-                break
-    out = pairs.sparkSession.createDataFrame(chosen, pairs.schema)
-    return out.withColumn("selected_pair", F.row_number().over(Window.orderBy(*order)))
+    names, kept = list(parties), pairs.columns
+    entry = [F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")) for kind, c in (("once", once), *(("party", p) for p in names))]
+    left = checkpointed(pairs.withColumn("__pair", F.monotonically_increasing_id()).withColumn("__keys", F.array_distinct(F.array(*entry))))
+    chosen = left.limit(0)
+    while not left.isEmpty():
+        each = left.withColumn("__key", F.explode("__keys"))
+        first = each.withColumn("__rn", F.row_number().over(Window.partitionBy("__key").orderBy(*order))).where("__rn = 1")
+        best = checkpointed(first.groupBy("__pair").agg(F.count(F.lit(1)).alias("__n"), F.first("__keys").alias("__own")).where(F.col("__n") == F.size("__own")).select("__pair", "__own"))
+        chosen = checkpointed(chosen.unionByName(left.join(best, "__pair", "left_semi")))
+        used = best.select(F.explode("__own").alias("__key")).distinct()
+        gone = each.join(used, "__key", "left_semi").select("__pair").distinct()
+        left = checkpointed(left.join(gone, "__pair", "left_anti"))
+    numbered = chosen.orderBy(*order).limit(most).withColumn("selected_pair", F.row_number().over(Window.orderBy(*order)))
+    return numbered.select(*kept, "selected_pair")
 
 
 def top_k(df: DataFrame, k: int, group: list[str], order: list[Column]) -> DataFrame:

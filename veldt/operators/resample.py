@@ -1,17 +1,28 @@
 """Cluster bootstrap, grouped permutation and grouped splits, driven by hashes.
 
 Draw j of replicate r takes the cluster whose place, by sorted key, is a hash of (seed, r, j)
-modulo the number of clusters: sampling with replacement that any engine repeats exactly. Only the
-clusters' sufficient statistics are resampled, never their rows; the weights table has replicates
-times clusters rows at most.
+modulo the number of clusters: sampling with replacement that any engine repeats exactly. Ratios
+resample the clusters' sums. Metrics of ordered scores keep for each cluster an array of its weights,
+and add up arrays along the scores. Rows are never copied for each replicate; the weights table has
+replicates times clusters rows at most.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldt.functions.scalars import CLIP, clip_p
 from veldt.operators import metrics, windows
+from veldt.session import ship
+
+CHUNK = 2048  # cells that meet their weights at once
 
 
 def draw(seed: int, replicate: Column, j: Column, clusters: Column) -> Column:
@@ -52,7 +63,7 @@ def ratio_intervals(stats: DataFrame, key: str, ratios: dict[str, tuple[str, str
     point = stats.groupBy(*by).agg(*(F.try_divide(k * F.sum(a), F.sum(b)).alias(name) for name, (a, b, k) in ratios.items()))
     reps = ratio_replicates(stats, key, ratios, replicates, seed, by)
     bounds = reps.groupBy(*by).agg(*(F.percentile(n, q).alias(f"{n}_{side}") for n in ratios for side, q in (("low", edge), ("high", 1 - edge))))
-    return point.join(bounds, list(by)) if by else point.crossJoin(bounds)
+    return windows.matched(point, bounds, list(by))
 
 
 def contrast_intervals(stats: DataFrame, key: str, category: str, a: str, b: str, value: str, n: str, replicates: int = 1000, seed: int = 20260723, scale: float = 100.0) -> DataFrame:
@@ -69,20 +80,180 @@ def contrast_intervals(stats: DataFrame, key: str, category: str, a: str, b: str
     return point.crossJoin(bounds).withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
 
 
-def weighted_rows(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """Rows by replicate with their cluster's weight ``w``, for metrics of rows.
+def weight_arrays(clusters: DataFrame, key: str, replicates: int, seed: int, block: int) -> DataFrame:
+    """(key, block, at, weight): each cluster's draws in each block of ``block`` replicates, those that draw it alone."""
+    drawn = bootstrap_weights(clusters, key, replicates, seed)
+    entry = F.struct((F.col("replicate") % block).cast("int").alias("at"), F.col("weight").cast("int").alias("weight"))
+    own = drawn.groupBy(key, F.floor(F.col("replicate") / block).cast("int").alias("block")).agg(F.collect_list(entry).alias("__e"))
+    return own.select(key, "block", F.transform("__e", lambda e: e["at"]).alias("at"), F.transform("__e", lambda e: e["weight"]).alias("weight"))
+
+
+class _Weights:
+    """The replicate weights of the clusters of one task, a row each."""
+
+    def __init__(self, size: int):
+        self.size, self.place, self.rows, self.matrix = size, {}, [], None
+
+    def add(self, key, at, weight) -> None:
+        row = np.zeros(self.size)
+        row[at] = weight
+        self.place[key] = len(self.rows)
+        self.rows.append(row)
+        self.matrix = None
+
+    def of(self, keys: list) -> np.ndarray:
+        if self.matrix is None:
+            self.matrix = np.stack([*self.rows, np.zeros(self.size)])
+        return self.matrix[[self.place.get(k, -1) for k in keys]]
+
 
-    Rows are first summed to distinct (key, model, y, p), which is all that the metrics see.
+class _Scores:
+    """Areas and precision sums of all replicates over rows in the order of their scores, a chunk at a time.
+
+    Rows of one score may come in several chunks; ``below`` and ``whole`` are the failures and the
+    weights before the score at hand.
+    """
+
+    def __init__(self, below: np.ndarray, whole: np.ndarray):
+        self.below, self.whole = below.copy(), whole.copy()
+        self.area, self.steps = np.zeros(len(below)), np.zeros(len(below))
+        self.now, self.up, self.down = None, np.zeros(len(below)), np.zeros(len(below))
+
+    def add(self, p: np.ndarray, up: np.ndarray, down: np.ndarray) -> None:
+        start = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        up, down = np.add.reduceat(up, start), np.add.reduceat(down, start)
+        if self.now is not None and self.now == p[0]:
+            up[0] += self.up
+            down[0] += self.down
+        elif self.now is not None:
+            self._close(self.up[None], self.down[None])
+        self._close(up[:-1], down[:-1])
+        self.now, self.up, self.down = p[start[-1]], up[-1], down[-1]
+
+    def _close(self, up: np.ndarray, down: np.ndarray) -> None:
+        fell, all_ = np.cumsum(down, 0) + self.below, np.cumsum(up + down, 0) + self.whole
+        self.area += (up * (fell - down / 2)).sum(0)
+        self.steps += (down * fell / np.where(all_ > 0, all_, 1)).sum(0)
+        if len(up):
+            self.below, self.whole = fell[-1], all_[-1]
+
+    def end(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.now is not None:
+            self._close(self.up[None], self.down[None])
+        return self.area, self.steps
+
+
+def _in_ranges(of_task, size: int):
+    """A function for ``mapInArrow`` over rows of tasks (model, range, block), one after another.
+
+    A task's rows are of three kinds, in this order: what lies before its range, its clusters' weights,
+    and its cells by score. ``of_task(before, chunks)`` gives its arrays by name.
     """
-    return df.join(bootstrap_weights(df, key, replicates, seed), key).withColumn("w", F.col("w") * F.col("weight").cast("double")).drop("weight")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (model, rng, block), rows in groupby(_runs(batches), key=lambda r: r[0]):
+            before = (np.zeros(size), np.zeros(size))
+            weights, done = _Weights(size), None
+            for _, kind, part in rows:
+                if kind == 0:
+                    before = tuple(np.array(part.column(c)[0].as_py(), float) for c in ("below", "whole"))
+                elif kind == 1:
+                    for key, at, weight in zip(*(part.column(c).to_pylist() for c in ("key", "at", "weight"))):
+                        weights.add(key, at, weight)
+                elif weights.rows:
+                    for s in range(0, part.num_rows, CHUNK):
+                        own = part.slice(s, CHUNK)
+                        w = weights.of(own.column("key").to_pylist()) * own.column("n").to_numpy()[:, None]
+                        up = own.column("y").to_numpy() == 1
+                        done = of_task(done, before, own.column("p").to_numpy(zero_copy_only=False), w * up[:, None], w * ~up[:, None])
+            if done is not None:
+                a, b = done.end() if isinstance(done, _Scores) else done
+                yield pa.RecordBatch.from_arrays([pa.array([model], pa.string()), pa.array([rng], pa.int32()), pa.array([block], pa.int32()), pa.array([a.tolist()], pa.list_(pa.float64())), pa.array([b.tolist()], pa.list_(pa.float64()))], ["model", "range", "block", "a", "b"])
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, pa.RecordBatch]]:
+    """(task, kind, rows) of the runs of each batch that have the same task and kind."""
+    for batch in batches:
+        heads = list(zip(*(batch.column(c).to_pylist() for c in ("model", "range", "block", "kind"))))
+        at = 0
+        for head, own in groupby(heads):
+            n = sum(1 for _ in own)
+            yield head[:3], head[3], batch.slice(at, n)
+            at += n
 
 
-def metric_replicates(long: DataFrame, key: str, models: str = "model", replicates: int = 200, seed: int = 20260723) -> DataFrame:
-    """(replicate, model, auc, average_precision, log_loss, brier) under common draws."""
-    cells = long.groupBy(key, models, "y", "p").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    rows = weighted_rows(cells, key, replicates, seed)
-    by = ["replicate", models]
-    return metrics.losses(rows, by).join(metrics.auc(rows, by), by).join(metrics.average_precision(rows, by), by)
+def _totals(done, before, p, up, down):
+    a, b = (np.zeros(up.shape[1]), np.zeros(up.shape[1])) if done is None else done
+    return a + up.sum(0), b + down.sum(0)
+
+
+def _scored(done, before, p, up, down):
+    done = _Scores(*before) if done is None else done
+    done.add(p, up, down)
+    return done
+
+
+def _field(entries: str, name: str) -> Column:
+    return F.transform(entries, lambda e: e[name])
+
+
+_TASK = "model string, range int, block int, a array<double>, b array<double>"
+
+
+def _ordered(cells: DataFrame, weights: DataFrame, before: DataFrame | None, of_task, size: int, blocks: int) -> DataFrame:
+    """(model, range, block, a, b): arrays of ``of_task`` over the cells of each range with every block's weights."""
+    kinds = {"key": cells.schema["key"].dataType, "p": "double", "y": "int", "n": "double", "at": "array<int>", "weight": "array<int>", "below": "array<double>", "whole": "array<double>"}
+
+    def kind(df: DataFrame, k: int) -> DataFrame:
+        return df.select("model", "range", "block", F.lit(k).alias("kind"), *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
+
+    held = cells.select("model", "range", "key").distinct().join(weights, "key")
+    parts = [kind(held, 1), kind(cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), 2)]
+    if before is not None:
+        parts.append(kind(before, 0))
+    dealt = reduce(DataFrame.unionByName, parts).repartition("model", "range", "block").sortWithinPartitions("model", "range", "block", "kind", "p")
+    ship(cells.sparkSession)
+    return dealt.mapInArrow(_in_ranges(of_task, size), _TASK)
+
+
+def metric_replicates(long: DataFrame, key: str, models: str = "model", replicates: int = 1000, seed: int = 20260723, block: int = 250) -> DataFrame:
+    """(replicate, model, auc, average_precision, log_loss, brier) under common draws.
+
+    Rows are summed to cells of distinct (cluster, model, label, score), and a cell is never written once for each
+    replicate: tasks hold the cells of one range of scores, and of each cluster an array of its weights
+    in a block of replicates. Losses resample the clusters' own sums. Areas and precisions are running sums of
+    arrays along the scores, from what lies in the ranges before; equal scores lie in one range.
+    Rows without a cluster, label or score take no part; a replicate with one class alone has no area.
+    """
+    named = long.where(F.col(key).isNotNull() & F.col("y").isNotNull() & F.col("p").isNotNull()).select(F.col(key).alias("key"), F.col(models).cast("string").alias("model"), F.col("y").cast("int").alias("y"), F.col("p").cast("double").alias("p"))
+    blocks = -(-replicates // block)
+    cells = windows.once(named.groupBy("key", "model", "y", "p").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    weights = windows.once(weight_arrays(cells, "key", replicates, seed, block))
+    steps = F.array(*(F.lit(i / windows.RANGES) for i in range(1, windows.RANGES)))
+    edges = cells.groupBy("model").agg(F.array_distinct(F.percentile_approx("p", steps, 1000)).alias("__edges"))
+    cut = windows.matched(cells, edges, ["model"]).withColumn("range", F.size(F.filter("__edges", lambda e: e < F.col("p")))).drop("__edges")
+    sums = cut.groupBy("model", "range", "key", "y").agg(F.sum("n").alias("n")).withColumn("p", F.lit(0.0))
+    totals = windows.once(_ordered(sums, weights, None, _totals, block, blocks))
+    flat = totals.select("model", "range", "block", F.posexplode(F.arrays_zip("a", "b")).alias("at", "x"))
+    ahead = Window.partitionBy("model", "block", "at").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    flat = flat.select("model", "range", "block", "at", F.coalesce(F.sum("x.b").over(ahead), F.lit(0.0)).alias("below"), F.coalesce(F.sum(F.col("x.a") + F.col("x.b")).over(ahead), F.lit(0.0)).alias("whole"))
+    entry = F.array_sort(F.collect_list(F.struct("at", "below", "whole")))
+    before = flat.groupBy("model", "range", "block").agg(entry.alias("e")).select("model", "range", "block", *(_field("e", c).alias(c) for c in ("below", "whole")))
+    got = _ordered(cut, weights, before, _scored, block, blocks)
+    both = totals.join(got.select("model", "range", "block", F.col("a").alias("area"), F.col("b").alias("steps")), ["model", "range", "block"])
+    each = both.select("model", (F.col("block") * block).alias("first"), F.posexplode(F.arrays_zip("a", "b", "area", "steps")).alias("at", "x")).withColumn("replicate", (F.col("first") + F.col("at")).cast("bigint"))
+    ordered = each.where(F.col("replicate") < replicates).groupBy("replicate", "model").agg(*(F.sum(f"x.{c}").alias(c) for c in ("a", "b", "area", "steps")))
+    ordered = ordered.where(F.col("a") + F.col("b") > 0).select("replicate", "model", F.try_divide("area", F.col("a") * F.col("b")).alias("auc"), F.try_divide("steps", "b").alias("average_precision"))
+    return ordered.join(_loss_replicates(cells, key, replicates, seed), ["replicate", "model"]).withColumnRenamed("model", models)
+
+
+def _loss_replicates(cells: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
+    """(replicate, model, log_loss, brier) from each cluster's sums."""
+    q, y, n = clip_p(F.col("p"), CLIP), F.col("y"), F.col("n")
+    stats = cells.groupBy("key", "model").agg(F.sum(n).alias("n"), F.sum(-n * (y * F.log(q) + (1 - y) * F.log(1 - q))).alias("log"), F.sum(n * F.pow(q - y, F.lit(2))).alias("square"))
+    return ratio_replicates(stats, "key", {"log_loss": ("log", "n", 1.0), "brier": ("square", "n", 1.0)}, replicates, seed, ["model"])
 
 
 def paired_differences(reps: DataFrame, full: str, models: str = "model") -> DataFrame:

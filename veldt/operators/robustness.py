@@ -26,7 +26,7 @@ def compare_players(table: DataFrame, tag: str, reference: str, keys: list[str],
 
     Null where fewer than three players are common.
     """
-    both = relational.compare_slices(table, tag, reference, keys, [decision, execution])
+    both = windows.once(relational.compare_slices(table, tag, reference, keys, [decision, execution]))
     w = Window.partitionBy(tag)
     d, e = F.col(decision), F.col(execution)
     rd, re = F.col(f"{decision}_reference"), F.col(f"{execution}_reference")
@@ -40,7 +40,7 @@ def compare_players(table: DataFrame, tag: str, reference: str, keys: list[str],
         (F.count_if((F.col("__e") <= top) & (F.col("__er") <= top)) / F.least(F.lit(top), F.first("__n"))).alias("execution_top_overlap"),
     )
     for name, c in (("decision_spearman", decision), ("execution_spearman", execution)):
-        base = base.join(aggregates.spearman(both, c, f"{c}_reference", [tag]).select(tag, F.col("spearman").alias(name)), tag)
+        base = windows.matched(base, aggregates.spearman(both, c, f"{c}_reference", [tag]).select(tag, F.col("spearman").alias(name)), [tag])
     few = F.col("common_players") < 3
     return base.select(tag, "common_players", *(F.when(~few, F.col(c)).alias(c) for c in base.columns if c not in (tag, "common_players")))
 
@@ -86,7 +86,7 @@ def correlations(table: DataFrame, group: str, variables: list[str], target: str
 def identity_audit(rows: DataFrame, summary: DataFrame, by: list[str], pairs: dict[str, Column], tolerance: float = 1e-10) -> DataFrame:
     """(name, max_abs_difference, ok): a summary against the same figures from its rows."""
     again = rows.groupBy(*by).agg(*(c.alias(f"__{k}") for k, c in pairs.items()))
-    both = summary.join(again, by)
+    both = windows.matched(summary, again, by)
     sums = both.agg(*(aggregates.largest_difference(F.col(k), F.col(f"__{k}")).alias(k) for k in pairs))
     return sums.unpivot([], list(pairs), "name", "max_abs_difference").withColumn("ok", F.col("max_abs_difference") <= tolerance)
 

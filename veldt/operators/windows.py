@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veldt.session import checkpointed
+
 
 def forward_label(event: Column, group: list[str], order: list[str], horizon: int) -> Column:
     """Whether the event happens in the row or the next ``horizon`` - 1 rows of its group."""
@@ -22,31 +26,71 @@ def stage(group: list[str], order: list[str]) -> Column:
 RANGES = 64  # ranges of values that running sums are cut into
 
 
+def matched(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``; null keys meet null keys. Without keys ``right`` is one row."""
+    if not by:
+        return left.join(F.broadcast(right), F.lit(True), how)
+    there = right.withColumnsRenamed({c: f"__of_{c}" for c in by})
+    met = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by))
+    return left.join(there, met, how).drop(*(f"__of_{c}" for c in by))
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df`` made once, for plans that read it several times."""
+    return df if getattr(df, "is_cut", False) else checkpointed(df)
+
+
 def running_sums(df: DataFrame, by: list[str], order: str, sums: list[str]) -> DataFrame:
     """``df`` with the sums of each column over the rows up to each row's value of ``order``, as ``<column>__run``.
 
-    Values are distinct in a group. A group is cut at approximate quantiles into ranges, each range
-    is summed by itself, and what lies before it, a row for each range, is added: no task orders a
-    whole group. The cuts only decide where the work is done, so the sums are exact.
+    Values are distinct in a group; null is a group like others. ``df`` is made once. A group is cut at
+    approximate quantiles into ranges, each range is summed by itself, and what lies before it, a
+    row for each range, is added: no task orders a whole group. The cuts only decide where the work
+    is done, so the sums are exact.
     """
-    keys = [f"`{c}`" for c in by]
+    df, by = once(df), list(by)
     steps = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
-    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, steps, 1000)).alias("__edges"))
-    cut = df.withColumn("__none", F.lit(0)).join(edges.withColumn("__none", F.lit(0)), ["__none", *by]).drop("__none")
-    cut = cut.withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col(order)))).drop("__edges")
-    totals = cut.groupBy(*keys, "__range").agg(*(F.sum(c).alias(f"__{c}") for c in sums))
-    ahead = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "__range", *(F.coalesce(F.sum(f"__{c}").over(ahead), F.lit(0)).alias(f"__{c}") for c in sums))
-    inside = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    own = cut.select("*", *(F.sum(c).over(inside).alias(f"{c}__run") for c in sums)).join(totals, [*by, "__range"])
+    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(order, steps, 1000)).alias("__edges"))
+    cut = matched(df, edges, by).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col(order)))).drop("__edges")
+    totals = cut.groupBy(*by, "__range").agg(*(F.sum(c).alias(f"__{c}") for c in sums))
+    ahead = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "__range", *(F.coalesce(F.sum(f"__{c}").over(ahead), F.lit(0)).alias(f"__{c}") for c in sums))
+    inside = Window.partitionBy(*by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = matched(cut.select("*", *(F.sum(c).over(inside).alias(f"{c}__run") for c in sums)), totals, [*by, "__range"])
     return own.select(*df.columns, *((F.col(f"{c}__run") + F.col(f"__{c}")).alias(f"{c}__run") for c in sums))
 
 
-def exact_quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] = (), name: str = "quantiles") -> DataFrame:
-    """(by, array of quantiles): interpolated between the two values around each rank, from counts of distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    whole = counts.groupBy(*by).agg(F.sum("__n").alias("__all")).withColumn("__none", F.lit(0))
-    run = running_sums(counts, list(by), value, ["__n"]).withColumn("__none", F.lit(0)).join(whole, ["__none", *by])
+def positions(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``__place``, each row's place from 1 in the order of its group, and ``__size``, the group's rows.
+
+    The order is total and of any types; null is a group like others. Rows are dealt by ranges of (group,
+    order), so a large group lies in many ranges, each is numbered by itself, and the rows before
+    it, a count for each range and group, are added.
+    """
+    by = list(by)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = checkpointed(df.repartitionByRange(parts, *by, *order).withColumn("__range", F.spark_partition_id()))
+    counts = cut.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__in"))
+    whole = Window.partitionBy(*by)
+    counts = counts.select(*by, "__range", (F.sum("__in").over(whole.orderBy("__range")) - F.col("__in")).alias("__ahead"), F.sum("__in").over(whole).alias("__size"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order))
+    out = matched(cut.withColumn("__rn", inside), counts, [*by, "__range"])
+    return out.select(*df.columns, (F.col("__rn") + F.col("__ahead")).alias("__place"), "__size")
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] = (), name: str = "quantiles", counted: str | None = None) -> DataFrame:
+    """(by, array of quantiles): interpolated between the two values around each rank, from counts of distinct values.
+
+    ``counted`` names the column with the counts of a table that is already one of distinct values.
+    """
+    by, known = list(by), df.where(F.col(value).isNotNull())
+    if counted:
+        counts = known.select(*by, value, F.col(counted).alias("__n"))
+        counts.is_cut = getattr(df, "is_cut", False)
+    else:
+        counts = once(known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))
+    whole = counts.groupBy(*by).agg(F.sum("__n").alias("__all"))
+    run = matched(running_sums(counts, by, value, ["__n"]), whole, by)
     at = [(F.col("__all") - 1) * F.lit(float(q)) for q in shares]
 
     def held(rank: Column) -> Column:
@@ -59,9 +103,10 @@ def exact_quantiles(df: DataFrame, value: str, shares: list[float], by: list[str
 
 def ranks(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """``df`` with the average rank of ``value`` in its group, from counts of distinct values; null has none."""
+    by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
     place = running_sums(counts, by, value, ["__n"]).select(*by, value, (F.col("__n__run") - (F.col("__n") - 1) / 2).alias(name))
-    return df.join(place, [*by, value], "left")
+    return matched(df, place, [*by, value], "left")
 
 
 def min_rank(value: str, group: list[str]) -> Column:
@@ -77,10 +122,9 @@ def average_rank(value: str, group: list[str] = (), descending: bool = False) ->
     return F.when(c.isNotNull(), F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*group, value)) - 1) / 2)
 
 
-def ordinal_band(order: list, q: int, group: list[str] = ()) -> Column:
-    """Equal-frequency band of the row's place in a total order."""
-    w = Window.partitionBy(*group)
-    share = F.row_number().over(w.orderBy(*order)) / F.count(F.lit(1)).over(w)
+def ordinal_band(q: int, place: str = "__place", size: str = "__size") -> Column:
+    """Equal-frequency band of a row's place in a total order (W5), of rows with ``positions``."""
+    share = F.col(place) / F.col(size)
     return F.greatest(F.lit(0), F.least(F.lit(q - 1), F.floor((share - 1e-12) * q))).cast("int")
 
 
@@ -102,27 +146,24 @@ def allocation(n: Column, shares: dict[str, float]) -> Column:
 
 def stratified_split(df: DataFrame, stratum: list[str], key: str, shares: dict[str, float], name: str = "split") -> DataFrame:
     """Rows of each stratum, in the order of ``key``, cut at the allocated counts."""
-    w = Window.partitionBy(*stratum)
-    out = df.withColumn("__rn", F.row_number().over(w.orderBy(key))).withColumn("__n", F.count(F.lit(1)).over(w))
-    counts = allocation(F.col("__n"), shares)
+    counts = allocation(F.col("__size"), shares)
     total, case = F.lit(0).cast("bigint"), None
     for s in list(shares)[:-1]:
         total = total + counts[s]
-        case = F.when(F.col("__rn") <= total, s) if case is None else case.when(F.col("__rn") <= total, s)
-    return out.withColumn(name, case.otherwise(list(shares)[-1])).drop("__rn", "__n")
+        case = F.when(F.col("__place") <= total, s) if case is None else case.when(F.col("__place") <= total, s)
+    return positions(df, stratum, [key]).withColumn(name, case.otherwise(list(shares)[-1])).drop("__place", "__size")
 
 
-def round_robin(stratum: list[str], key: str, k: int) -> Column:
-    """Fold of a row: its place in its stratum, in the order of ``key``, modulo k."""
-    return ((F.row_number().over(Window.partitionBy(*stratum).orderBy(key)) - 1) % k).cast("int")
+def round_robin(k: int, place: str = "__place") -> Column:
+    """Fold of a row: its place in its stratum modulo k (W7), of rows with ``positions``."""
+    return ((F.col(place) - 1) % k).cast("int")
 
 
-def calibration_pick(stratum: list[str], key: str, fraction: float) -> Column:
-    """The first round(n f) rows of a stratum, 1 at least and n - 1 at most, none if n < 2."""
-    w = Window.partitionBy(*stratum)
-    n = F.count(F.lit(1)).over(w)
+def calibration_pick(fraction: float, place: str = "__place", size: str = "__size") -> Column:
+    """The first round(n f) rows of a stratum, 1 at least and n - 1 at most, none if n < 2 (W8), of rows with ``positions``."""
+    n = F.col(size)
     take = F.when(n >= 2, F.least(n - 1, F.greatest(F.lit(1), F.bround(n * fraction)))).otherwise(0)
-    return F.row_number().over(w.orderBy(key)) <= take
+    return F.col(place) <= take
 
 
 def dominant(df: DataFrame, keys: list[str], category: str, minimum_share: float | None = None, mixed: str = "Mixed role") -> DataFrame:

@@ -128,17 +128,18 @@ def _(spark, d):
     return g.select("player", S.quadrant(F.col("d"), F.col("e"), 0.001, 0.3, S.PROFILE_WORDS).alias("quadrant"))
 
 
-_GROUP = "CASE WHEN match_id % 3 = 0 THEN 'male' WHEN match_id % 3 = 1 THEN 'female' ELSE 'unknown' END"
-_SUB = _L.replace("WITH ", "WITH ", 1) + f""", g AS (SELECT *, {_GROUP} AS subgroup FROM l), s AS (SELECT model, subgroup, sum(-w * (y * ln(p) + (1 - y) * ln(1 - p))) / sum(w) AS log_loss, sum(w * (p - y) * (p - y)) / sum(w) AS brier, avg(CASE WHEN (p < 0.5) = (y = 0) THEN 1.0 ELSE 0 END) AS accuracy FROM g GROUP BY 1, 2),
-t AS (SELECT model, subgroup, p, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS a, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS b, sum(w) AS w FROM g GROUP BY 1, 2, 3), u AS (SELECT *, sum(b) OVER k - b AS below, sum(b) OVER k / sum(w) OVER k AS prec FROM t WINDOW k AS (PARTITION BY model, subgroup ORDER BY p)),
-r AS (SELECT model, subgroup, sum(a * (below + b / 2)) / (sum(a) * sum(b)) AS auc, sum(prec * b) / sum(b) AS average_precision FROM u GROUP BY 1, 2),
-e AS (SELECT model, subgroup, sum(gap) / sum(w) AS ece FROM (SELECT model, subgroup, greatest(0, least(19, ceil(round(p * 20, 9)) - 1)) AS bin, sum(w) AS w, abs(sum(w * p) - sum(w * y)) AS gap FROM g GROUP BY 1, 2, 3) GROUP BY 1, 2)
-SELECT model, subgroup, round(log_loss, 9) AS log_loss, round(brier, 9) AS brier, round(accuracy, 9) AS accuracy, round(auc, 9) AS auc, round(average_precision, 9) AS average_precision, round(ece, 9) AS ece FROM s JOIN r USING (model, subgroup) JOIN e USING (model, subgroup)"""
+_GROUP = "CASE WHEN match_id % 3 = 0 THEN 'male' WHEN match_id % 3 = 1 THEN 'female' END"
+_SAME = "x.scope = {0}.scope AND x.model = {0}.model AND x.subgroup IS NOT DISTINCT FROM {0}.subgroup"
+_SUB = _L + f""", g AS (SELECT *, 'subgroup' AS scope, {_GROUP} AS subgroup FROM l UNION ALL SELECT *, 'overall', NULL FROM l), x AS (SELECT scope, model, subgroup, sum(-w * (y * ln(p) + (1 - y) * ln(1 - p))) / sum(w) AS log_loss, sum(w * (p - y) * (p - y)) / sum(w) AS brier, avg(CASE WHEN (p < 0.5) = (y = 0) THEN 1.0 ELSE 0 END) AS accuracy FROM g GROUP BY 1, 2, 3),
+t AS (SELECT scope, model, subgroup, p, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS a, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS b, sum(w) AS w FROM g GROUP BY 1, 2, 3, 4), u AS (SELECT *, sum(b) OVER k - b AS below, sum(b) OVER k / sum(w) OVER k AS prec FROM t WINDOW k AS (PARTITION BY scope, model, subgroup ORDER BY p)),
+r AS (SELECT scope, model, subgroup, sum(a * (below + b / 2)) / (sum(a) * sum(b)) AS auc, sum(prec * b) / sum(b) AS average_precision FROM u GROUP BY 1, 2, 3),
+e AS (SELECT scope, model, subgroup, sum(gap) / sum(w) AS ece FROM (SELECT scope, model, subgroup, greatest(0, least(19, ceil(round(p * 20, 9)) - 1)) AS bin, sum(w) AS w, abs(sum(w * p) - sum(w * y)) AS gap FROM g GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)
+SELECT x.scope, x.model, x.subgroup, round(log_loss, 9) AS log_loss, round(brier, 9) AS brier, round(accuracy, 9) AS accuracy, round(auc, 9) AS auc, round(average_precision, 9) AS average_precision, round(ece, 9) AS ece FROM x JOIN r ON {_SAME.format('r')} JOIN e ON {_SAME.format('e')}"""
 
 
 @query("m19_metrics_by_subgroup", _SUB)
 def _(spark, d):
+    """All models over all rows and in every subgroup, those without one included, from one scan."""
     m = F.col("match_id") % 3
-    rows = _long(spark, d).withColumn("subgroup", F.coalesce(F.when(m == 0, "male").when(m == 1, "female"), F.lit("unknown")))
-    got = M.all_metrics(rows, ["model", "subgroup"])
-    return rounded(got.select("model", "subgroup", "log_loss", "brier", "accuracy", "auc", "average_precision", "ece"))
+    got = M.metric_table(_long(spark, d).withColumn("subgroup", F.when(m == 0, "male").when(m == 1, "female")))
+    return rounded(got.select("scope", "model", "subgroup", "log_loss", "brier", "accuracy", "auc", "average_precision", "ece"))

@@ -63,6 +63,17 @@ def _(spark, d):
     return rounded(p.select("role", F.col("left_s_suppkey").alias("left_key"), F.col("right_s_suppkey").alias("right_key"), "profile_distance", (F.abs(F.col("left_v") - F.col("right_v")) <= 500).alias("qualifies")), 5)
 
 
+@query("j10_calipered_pairs", """WITH g AS (SELECT c_custkey, c_nationkey % 5 AS role, c_nationkey AS team, c_acctbal AS v, CAST(c_custkey % 97 AS DOUBLE) AS u, 1.0::DOUBLE + c_custkey % 50 AS n FROM customer),
+z AS (SELECT *, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS zv, (u - avg(u) OVER w) / stddev_pop(u) OVER w AS zu, (n - avg(n) OVER w) / stddev_pop(n) OVER w AS zn FROM g WINDOW w AS (PARTITION BY role))
+SELECT l.role, l.c_custkey AS left_key, r.c_custkey AS right_key, round(sqrt((l.zv - r.zv) * (l.zv - r.zv) + (l.zu - r.zu) * (l.zu - r.zu) + (l.zn - r.zn) * (l.zn - r.zn)), 6) AS profile_distance, round(l.v - r.v, 6) AS difference
+FROM z l JOIN z r ON l.role = r.role AND l.c_custkey < r.c_custkey AND l.team <> r.team WHERE abs(l.v - r.v) <= 200 AND abs(l.u - r.u) <= 3 AND abs(l.n - r.n) / ((l.n + r.n) * 0.5) <= 0.2""")
+def _(spark, d):
+    key = F.col("c_custkey")
+    g = table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") % 5).alias("role"), F.col("c_nationkey").alias("team"), F.col("c_acctbal").alias("v"), (key % 97).cast("double").alias("u"), (1.0 + key % 50).alias("n"))
+    p = R.caliper_pairs(g, "role", "team", ["c_custkey"], ["v", "u", "n"], {"v": 200, "u": 3}, {"n": 0.2})
+    return rounded(p.select("role", F.col("left_c_custkey").alias("left_key"), F.col("right_c_custkey").alias("right_key"), "profile_distance", (F.col("left_v") - F.col("right_v")).alias("difference")), 6)
+
+
 @query("j11_u5_same_keys", "SELECT 0::BIGINT AS only_left, CAST(count(*) AS BIGINT) AS only_right FROM events WHERE event_id % 10 = 0")
 def _(spark, d):
     e = events(spark, d).select("event_id")

@@ -27,7 +27,8 @@ def _(spark, d):
 
 @query("w5_ordinal_bands", "SELECT o_orderkey, CAST(greatest(0, least(7, floor((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) / (count(*) OVER (PARTITION BY o_orderpriority))::DOUBLE - 1e-12) * 8))) AS INT) AS band FROM orders")
 def _(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", W.ordinal_band(["o_orderdate", "o_orderkey"], 8, ["o_orderpriority"]).alias("band"))
+    o = W.positions(table(spark, d, "orders"), ["o_orderpriority"], ["o_orderdate", "o_orderkey"])
+    return o.select("o_orderkey", W.ordinal_band(8).alias("band"))
 
 
 _SPLIT = """WITH h AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('20260723|' || o_orderkey)) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
@@ -46,7 +47,7 @@ def _(spark, d):
 @query("w7_w8_folds_and_calibration", "WITH h AS (SELECT o_orderkey, row_number() OVER w AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY sha256('20260723|' || o_orderkey))) SELECT o_orderkey, CAST((rn - 1) % 5 AS INT) AS fold, CASE WHEN n >= 2 THEN rn <= least(n - 1, greatest(1, round_even(n * 0.125, 0))) ELSE FALSE END AS calibration FROM h")
 def _(spark, d):
     o = table(spark, d, "orders").withColumn("h", S.stable_hash(20260723, F.col("o_orderkey")))
-    return o.select("o_orderkey", W.round_robin(["o_orderpriority"], "h", 5).alias("fold"), W.calibration_pick(["o_orderpriority"], "h", 0.125).alias("calibration"))
+    return W.positions(o, ["o_orderpriority"], ["h"]).select("o_orderkey", W.round_robin(5).alias("fold"), W.calibration_pick(0.125).alias("calibration"))
 
 
 @query("w7_c7_fold_roles", "SELECT CAST(f AS INT) AS outer_fold, CASE WHEN f = own THEN 'holdout' ELSE 'other' END AS role, count(*) AS n FROM (SELECT (row_number() OVER (PARTITION BY p ORDER BY sha256('20260723|' || c)) - 1) % 5 AS own FROM (SELECT c_custkey AS c, c_nationkey AS p FROM customer)), range(5) t(f) GROUP BY ALL")

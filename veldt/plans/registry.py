@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("cleaning", "combining", "ordered", "measuring", "studies", "threats", "attributes")
+_MODULES = ("cleaning", "combining", "ordered", "measuring", "studies", "threats", "training", "storing", "attributes")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

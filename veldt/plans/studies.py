@@ -16,7 +16,7 @@ from veldt.plans.measuring import _long
 from veldt.plans.registry import query
 
 REPLICATES, SEED = 1000, 20260723
-PAIRED, REPEATS = 200, 30  # replicates of the model metrics, repeats of a permutation
+REPEATS = 30  # of a permutation
 _SUMS = "expected_success_value", "expected_failure_cost", "expected_net_value", "execution_residual"
 _RATIOS = {f"{c}_per_100": (c, "n", 100.0) for c in _SUMS}
 
@@ -74,7 +74,7 @@ ru AS (SELECT *, sum(b) OVER k - b AS below, sum(b) OVER k / sum(a + b) OVER k A
 me AS (SELECT {by}, sum(a * (below + b / 2)) / nullif(sum(a) * sum(b), 0) AS auc, sum(prec * b) / nullif(sum(b), 0) AS average_precision, sum(-(a * ln(p) + b * ln(1 - p))) / sum(a + b) AS log_loss, sum(a * (1 - p) * (1 - p) + b * p * p) / sum(a + b) AS brier FROM ru GROUP BY {by})"""
 
 
-_M24 = f"""WITH {PASSES}, l AS (SELECT 'main' AS model, match_id, won AS y, p FROM pv UNION ALL SELECT 'other', match_id, won, p_other FROM pv), {_weights('l', PAIRED)},
+_M24 = f"""WITH {PASSES}, l AS (SELECT 'main' AS model, match_id, won AS y, p FROM pv UNION ALL SELECT 'other', match_id, won, p_other FROM pv), {_weights('l')},
 ro AS (SELECT replicate, model, y, p, CAST(weight AS DOUBLE) AS w FROM l JOIN w USING (match_id)), {_metrics_sql('ro', 'replicate, model')},
 d AS (SELECT o.model AS comparator, unnest(['auc', 'average_precision', 'log_loss', 'brier']) AS metric, unnest([m.auc - o.auc, m.average_precision - o.average_precision, o.log_loss - m.log_loss, o.brier - m.brier]) AS v FROM me o JOIN me m USING (replicate) WHERE m.model = 'main' AND o.model <> 'main' AND m.auc IS NOT NULL AND o.auc IS NOT NULL)
 SELECT comparator, metric, count(*) AS replicates, round(avg(v), 9) AS mean, round(median(v), 9) AS median, round(stddev_samp(v), 9) AS sd, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, round(avg(CASE WHEN v > 0 THEN 1 ELSE 0 END), 9) AS share_positive FROM d GROUP BY 1, 2"""
@@ -82,7 +82,7 @@ SELECT comparator, metric, count(*) AS replicates, round(avg(v), 9) AS mean, rou
 
 @query("m24_paired_model_bootstrap", _M24)
 def _(spark, d):
-    reps = resample.metric_replicates(_long(spark, d), "match_id", "model", PAIRED, SEED)
+    reps = resample.metric_replicates(_long(spark, d), "match_id", "model", REPLICATES, SEED)
     long = R.long_form(resample.paired_differences(reps, "main"), ["replicate", "comparator"], list(_METRICS))
     return rounded(A.replicate_summary(long, "value", ["comparator", "metric"]))
 
@@ -130,16 +130,6 @@ def _(spark, d):
     return rounded(models.cross_fit(v, roles, "match_id", "won", _features, ["event_id", "match_id"], 5, iterations=20), 6)
 
 
-@query("m3_k6_tuning")
-def _(spark, d):
-    v = passes(spark, d)
-    held = resample.grouped_split(v, "match_id", 0.3, 7)
-    train, test = v.where(~held), v.where(held)
-    _, got = models.tune(train, test, "won", _features(train), [(1e-4, 0.0), (1e-2, 0.3)], (20,))
-    keep = ("alpha", "l1", "iterations", "log_loss", "brier", "auc", "average_precision")
-    return rounded(spark.createDataFrame([tuple(g[k] for k in keep) for g in got], "alpha double, l1 double, iterations int, log_loss double, brier double, auc double, average_precision double"), 6)
-
-
 @query("m9_grouped_split", "SELECT DISTINCT user_id, CAST(('0x' || substr(sha256('7|' || user_id), 1, 8)) AS BIGINT) < CAST(floor(0.3 * 4294967296) AS BIGINT) AS held FROM events")
 def _(spark, d):
     e = events(spark, d)
@@ -225,7 +215,7 @@ SELECT p.role, a AS left_s_suppkey, b AS right_s_suppkey, round(apart, 6) AS apa
 @query("k7_greedy_pairs", _K7)
 def _(spark, d):
     g = table(spark, d, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("role"), F.col("s_nationkey").alias("team"), F.col("s_acctbal").alias("v"))
-    p = R.pairs_within(g, "role", "team", ["s_suppkey"], ["v"]).where(F.abs(F.col("left_v") - F.col("right_v")) <= 500)
+    p = R.caliper_pairs(g, "role", "team", ["s_suppkey"], ["v"], {"v": 500})
     apart = F.abs(F.col("left_v") - F.col("right_v"))
     got = R.greedy_pairs(p.withColumn("apart", apart), 3, "role", ["left_s_suppkey", "right_s_suppkey"], [F.desc("apart"), F.col("profile_distance"), F.col("left_s_suppkey"), F.col("right_s_suppkey")])
     return rounded(got.select("role", "left_s_suppkey", "right_s_suppkey", "apart", "selected_pair"), 6)

@@ -93,41 +93,6 @@ def _(spark, d):
     return rounded(rows.select("event_id", "threat_start", "threat_end", "threat_opponent", v["expected_net_value"].alias("expected_net_value")))
 
 
-_SETS = {"full": ("p", "t_start", "t_end", "height"), "no_threat": ("p", "height"), "threat": ("t_start", "t_end")}
-
-
-@query("m5_joint_models", f"WITH {PASSES}, f(model, features) AS (VALUES ('full', 6), ('no_threat', 4), ('threat', 2)) SELECT model, features, (SELECT count(*) FROM pv) AS n, round((SELECT avg(won) FROM pv), 4) AS mean_p FROM f")
-def _(spark, d):
-    """Three models on one scan. A fit with a free intercept repeats the labels' mean, which shows that it converged."""
-    v = passes(spark, d)
-    base = {c: F.col(c) for c in ("p", "t_start", "t_end")}
-    hot = models.one_hot(models.freeze_categories(v, ["height"]))
-    sets = {m: {n: c for n, c in base.items() if n in own} | (hot if "height" in own else {}) for m, own in _SETS.items()}
-    fits = models.fit_models(v, "won", sets)
-    means = v.agg(F.count(F.lit(1)).alias("n"), *(F.avg(f.raw()).alias(m) for m, f in fits.items()))
-    rows = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(len(f.weights)).alias("features"), F.col("n"), F.round(F.col(m), 4).alias("mean_p")) for m, f in fits.items()))
-    return means.select(F.inline(rows))
-
-
-#: The configurations of the tuning study.
-GRID = [(a, b) for a in (1e-5, 3e-5, 1e-4) for b in (0.0, 0.15, 0.3)]
-
-
-@query("m3_tuning_grid")
-def _(spark, d):
-    """All configurations with two iteration counts on grouped training and tuning matches."""
-    from veldt.operators import resample
-    from veldt.plans.studies import _features
-
-    v = passes(spark, d)
-    held = resample.grouped_split(v, "match_id", 0.3, 7)
-    train, test = v.where(~held), v.where(held)
-    best, got = models.tune(train, test, "won", _features(train), GRID, (5, 10))
-    keep = ("alpha", "l1", "iterations", "log_loss", "brier", "auc", "average_precision")
-    rows = [(*(g[k] for k in keep), g["model"] is best) for g in got]
-    return rounded(spark.createDataFrame(rows, "alpha double, l1 double, iterations int, log_loss double, brier double, auc double, average_precision double, best boolean"), 6)
-
-
 _FROZEN = {"flat": (0.5, 0.0, 0.0), "start": (0.2, 6.0, 0.0), "both": (0.9, 6.0, -4.0)}
 
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 import json
 import random
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veldt.operators import checks
 from veldt.operators.relational import checks_rows, small
+from veldt.session import ship
+from veldt.sources.files import system_of
 
 REPORT_ROWS = 10_000  # audits and reports of more rows are an error
 
@@ -123,24 +126,6 @@ def with_retries(call: Callable[[], object], most: int = 5, base: float = 1.0, j
             sleep(base * 2 ** (n - 1) + random.uniform(0, jitter))
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(extension, kind, files, bytes, matches) of all files below a folder.
-
-    Kinds are told by the first bytes; a file name's digits are its match id.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    head = F.decode(F.substring("content", 1, 512), "UTF-8")
-    kind = F.when(F.ltrim(head).startswith("["), "json list").when(F.ltrim(head).startswith("{") & head.contains('"events"'), "json events").when(F.ltrim(head).startswith("{"), "json object").when(F.hex(F.substring("content", 1, 2)) == "1F8B", "gzip").when(head.startswith("PAR1"), "parquet").when(head.contains(","), "table").otherwise("other")
-    return files.select(F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1)).alias("extension"), kind.alias("kind"), "length", F.regexp_extract(name, "([0-9]+)", 1).alias("match_id")).groupBy("extension", "kind").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.count_distinct(F.when(F.col("match_id") != "", F.col("match_id"))).alias("matches"))
-
-
-def hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of all files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def write(df: DataFrame, path: str, overwrite: bool = False, append: bool = False, rows_per_file: int | None = None, order: list[str] | None = None) -> None:
     """Parquet, or CSV with a header, compressed if the path ends so; an existing target is an error.
 
@@ -158,6 +143,22 @@ def write(df: DataFrame, path: str, overwrite: bool = False, append: bool = Fals
         writer.parquet(path)
 
 
+def write_files(df: DataFrame, root: str, name: str, body: str) -> None:
+    """Write each row's text as a file of its own below a folder, from tasks; for tables that leave Spark as files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = system_of(root)
+        system.create_dir(top, recursive=True)
+        for batch in batches:
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with system.open_output_stream(f"{top}/{file}", compression=None) as f:
+                    f.write((text or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    ship(df.sparkSession)
+    df.select(name, body).mapInArrow(run, "n bigint").agg(F.sum("n")).first()
+
+
 def require_rows(df: DataFrame, expected: int) -> DataFrame:
     """An error unless there are exactly so many rows."""
     if (n := df.count()) != expected:
