@@ -159,10 +159,6 @@ def test_greedy_pairs(spark):
 def test_checks(spark):
     df = frame(spark, [(1, 0.5), (1, 2.0), (2, None)], "k int, p double")
     assert C.duplicates(df, "k").first()[:] == (1, 2)
-    with pytest.raises(C.IntegrityError):
-        C.joined(df, df, ["k"], validate="1:m")
-    with pytest.raises(C.IntegrityError):
-        C.joined(df.dropDuplicates(["k"]), df.where("k = 1").dropDuplicates(["k"]), ["k"], validate="1:1", complete=True)
     with pytest.raises(C.IntegrityError):
         C.require_columns(df, "k", "missing")
     assert C.missing(df, "p").first()[0] == 1 and C.violations(df, ok=F.col("p").between(0, 1)).first()[0] == 2
@@ -342,3 +338,28 @@ def test_bootstrap_of_ordered_metrics_equals_copied_rows(spark, monkeypatch):
         assert r["log_loss"] == pytest.approx(-sum(w * math.log(p if y else 1 - p) for y, p, w in own) / (up + down))
         assert r["brier"] == pytest.approx(sum(w * (p - y) ** 2 for y, p, w in own) / (up + down))
     assert set(got) == {(k, m) for k in range(23) for m in ("full", "other") if any(weight[k].get(a, 0) for a, o, *_ in rows if o == m)}
+
+
+def test_audited_joins_check_in_their_own_job(spark, tmp_path):
+    df = frame(spark, [(1, 0.5), (1, 2.0), (2, None), (None, 1.0)], "k int, p double").repartition(3)
+    one = frame(spark, [(1, "a"), (2, "b"), (7, "c")], "k int, v string")
+    context = spark.sparkContext
+    context.setJobGroup("audited", "audited joins")
+    good = C.joined(df.where("k IS NOT NULL"), one, ["k"], validate="m:1", complete=True)
+    assert list(context.statusTracker().getJobIdsForGroup("audited")) == []  # nothing has run yet
+    assert sorted((r["k"], r["v"]) for r in good.collect()) == [(1, "a"), (1, "a"), (2, "b")]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    for bad, message in (
+        (C.joined(df, one, ["k"], validate="1:1"), "repeated keys"),
+        (C.joined(one, df, ["k"], validate="m:1"), "repeated keys"),
+        (C.joined(one, df, ["k"], validate="1:m", complete=True), "without a partner"),
+        (C.joined(df, one, ["k"], "left", "m:1", True), "without a partner"),  # a null key has none
+    ):
+        with pytest.raises(PySparkException, match=message):
+            bad.select("v").collect()
+        with pytest.raises(PySparkException):
+            bad.write.parquet(str(tmp_path / "out"))
+        assert not list(tmp_path.glob("out/*.parquet"))
+    assert C.joined(one, df, ["k"], "left", "1:m").count() == 4
+    with pytest.raises(ValueError):
+        C.joined(one, df, ["k"], "right", "m:m", True)

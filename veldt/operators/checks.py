@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,15 +42,30 @@ def require_complete(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame
 
 
 def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", validate: str = "m:m", complete: bool = False) -> DataFrame:
-    """A join whose cardinality is declared: ``1:1``, ``1:m``, ``m:1`` or ``m:m``."""
+    """A join whose cardinality is declared: ``1:1``, ``1:m``, ``m:1`` or ``m:m``; ``complete``: every left row has a partner.
+
+    The join's own job counts the rows of each key and looks for partners, so there is no other pass over
+    either side; what does not hold is an error of that job, before anything is written. The counts are
+    made on the partitioning that the join needs.
+    """
     one_left, one_right = validate.split(":")
-    if one_left == "1":
-        require_unique(left, *keys)
-    if one_right == "1":
-        require_unique(right, *keys)
-    if complete:
-        require_complete(left, right, *keys)
-    return left.join(right, keys, how)
+    left, right = (_once_a_key(df, keys, side) if one == "1" else df for df, one, side in ((left, one_left, "left"), (right, one_right, "right")))
+    if not complete:
+        return left.join(right, keys, how)
+    if how not in ("inner", "left"):
+        raise ValueError("a complete join is inner or left")
+    out = left.join(right.withColumn("__met", F.lit(True)), keys, "left")
+    return out.where(_unless(F.col("__met").isNull(), f"rows without a partner by {keys}")).drop("__met")
+
+
+def _once_a_key(df: DataFrame, keys: list[str], side: str) -> DataFrame:
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return df.withColumn("__n", n).where(_unless(F.col("__n") > 1, f"repeated keys in {keys} on the {side}")).drop("__n")
+
+
+def _unless(bad: Column, message: str) -> Column:
+    """True, or an error of the task; ``rand`` keeps the optimizer from trying it on made-up rows."""
+    return F.when(bad & (F.rand(0) >= 0), F.raise_error(F.lit(message)).cast("boolean")).otherwise(True)
 
 
 def missing(df: DataFrame, *columns: str) -> DataFrame:

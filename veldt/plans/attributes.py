@@ -44,13 +44,6 @@ def _(spark, d):
     return R.by_rank(table(spark, d, "orders"), "o_orderstatus", ["P", "F"], F.col("o_orderkey")).select("o_orderkey", "o_orderstatus").limit(25)
 
 
-_WEIGHTS = {"a": 0.4, "b": -1.2, "c": 0.0, "d": 0.4, "e": 0.9}
-
-
-@query("k8_coefficients_by_size", f"SELECT name, weight, CAST(row_number() OVER (ORDER BY abs(weight) DESC, name) AS INT) AS place FROM (VALUES {', '.join(f'({k!r}, {v}::DOUBLE)' for k, v in _WEIGHTS.items())}) t(name, weight)")
-def _(spark, d):
-    rows = [(n, w, i) for i, (n, w) in enumerate(models.Linear(0.0, _WEIGHTS).importance(), 1)]
-    return spark.createDataFrame(rows, "name string, weight double, place int")
 
 
 @query("c9_audit_bundle", "SELECT count(DISTINCT event_id) = count(*) AS unique_ids, bool_and(value < 50) AS low_values, CASE WHEN count(DISTINCT event_id) < count(*) THEN 'FAIL' WHEN NOT bool_and(value < 50) THEN 'REVIEW_REQUIRED' ELSE 'PASS' END AS status FROM events")

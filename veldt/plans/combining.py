@@ -238,6 +238,9 @@ def _(spark, d):
     return C.missing(e, "v").withColumnRenamed("v", "nulls").crossJoin(C.violations(e, domain=F.col("value") < 50, enumerated=F.col("event_type").isin("view", "click")))
 
 
-@query("c8_totals", "SELECT 'n' AS name, 1000.0::DOUBLE AS expected, CAST(count(*) AS DOUBLE) AS found, count(*) = 1000 AS same FROM events UNION ALL SELECT 'types', 5.0, CAST(count(DISTINCT event_type) AS DOUBLE), count(DISTINCT event_type) = 5 FROM events")
+@query("c8_totals", "SELECT 'n' AS name, max(event_id) - min(event_id) + 1.0::DOUBLE AS expected, CAST(count(*) AS DOUBLE) AS found, count(*) = max(event_id) - min(event_id) + 1 AS same FROM events UNION ALL SELECT 'users', (SELECT CAST(count(DISTINCT user_id % 7) AS DOUBLE) FROM events), CAST(count(DISTINCT user_id) AS DOUBLE), count(DISTINCT user_id) = (SELECT count(DISTINCT user_id % 7) FROM events) FROM events")
 def _(spark, d):
-    return C.totals(events(spark, d), n=(F.count(F.lit(1)), 1000), types=(F.count_distinct("event_type"), 5))
+    """Counts against what the ids promise, which holds, and against a coarser count, which does not."""
+    e = events(spark, d)
+    n, users = e.agg(F.max("event_id") - F.min("event_id") + 1, F.count_distinct(F.col("user_id") % 7)).first()
+    return C.totals(e, n=(F.count(F.lit(1)), n), users=(F.count_distinct("user_id"), users))

@@ -199,11 +199,14 @@ def _(spark, d):
     return rounded(B.correlations(p, "role", ["ex", "n_passes"], "net"))
 
 
-@query("m32_identity_audit", "SELECT unnest(['n', 'expected_net_value']) AS name, TRUE AS ok")
+@query("m32_identity_audit", f"WITH {VALUES}, t AS (SELECT count(*) AS n, sum(expected_net_value) AS v FROM va) SELECT 'n' AS name, CAST(n AS DOUBLE) AS total, TRUE AS ok FROM t UNION ALL SELECT 'expected_net_value', round(v, 6), TRUE FROM t UNION ALL SELECT 'wrong', CAST(n AS DOUBLE), FALSE FROM t")
 def _(spark, d):
+    """A summary by match against its rows: two columns that hold, one that is wrong in each match, and their totals."""
     v = values(spark, d)
-    summary = A.match_statistics(v, ["match_id"], ["expected_net_value"])
-    return B.identity_audit(v, summary, ["match_id"], {"n": F.count(F.lit(1)), "expected_net_value": F.sum("expected_net_value")}).select("name", "ok")
+    summary = A.match_statistics(v, ["match_id"], ["expected_net_value"]).withColumn("wrong", F.col("n"))
+    found = B.identity_audit(v, summary, ["match_id"], {"n": F.count(F.lit(1)), "expected_net_value": F.sum("expected_net_value"), "wrong": F.count(F.lit(1)) + 1})
+    sums = summary.agg(*(F.sum(c).cast("double").alias(c) for c in ("n", "expected_net_value", "wrong"))).unpivot([], ["n", "expected_net_value", "wrong"], "name", "total")
+    return rounded(found.join(sums, "name").select("name", "total", "ok"), 6)
 
 
 _K7 = """WITH RECURSIVE g AS (SELECT s_suppkey, s_nationkey % 5 AS role, s_nationkey AS team, s_acctbal AS v FROM supplier), z AS (SELECT *, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS zv FROM g WINDOW w AS (PARTITION BY role)),

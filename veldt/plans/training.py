@@ -105,3 +105,16 @@ def _(spark, d):
     means = frozen.agg(*(F.avg(m.raw()).alias(k) for k, m in fits.items()))
     rows = [F.struct(F.lit(c.name).alias("model"), F.lit(c.epochs).alias("epochs"), F.lit(fits[c.name].intercept).alias("intercept"), *(F.lit(fits[c.name].weights.get(n, 0.0) + 0.0).alias(n) for n in _NAMES), F.col(c.name).alias("mean_p")) for c in got.candidates]
     return rounded(means.select(F.inline(F.array(*rows))))
+
+
+def _by_size_sql() -> str:
+    b = f"b{max(n for n, _, _ in JOINT.values())}"
+    each = " UNION ALL ".join(f"SELECT '{n}' AS name, v{i} / s{i} AS weight FROM {b}, st WHERE k = 'full'" for i, n in enumerate(_NAMES, 1))
+    return f"SELECT name, round(weight, 9) + 0.0::DOUBLE AS weight, CAST(row_number() OVER (ORDER BY abs(weight) DESC, name) AS INT) AS place FROM ({each})"
+
+
+@query("k8_coefficients_by_size", f"WITH {_passes_sql(_joint(), False)} {_by_size_sql()}")
+def _(spark, d):
+    """The full model's coefficients from the largest magnitude down."""
+    rows = [(n, w + 0.0, i) for i, (n, w) in enumerate(_trained(spark, d, _joint(), False).linear("full").importance(), 1)]
+    return rounded(spark.createDataFrame(rows, "name string, weight double, place int"))
