@@ -103,9 +103,15 @@ def test_what_is_remembered_is_bounded(monkeypatch):
     monkeypatch.setattr(alignment, "MEMO_BYTES", 20_000)
     texts = [" ".join(f"w{i * j}" for j in range(30)) for i in range(40)]
     alone = [alignment.Both.align(own, [t], False)[1][0] for t in texts]
-    assert own.held < 80_000 and len(own.index) < 200
+    assert own.held < 80_000 and len(own.index) < 200 and "w0" in own.index  # the part of all texts stays
     own._forget()
-    assert own.align(texts, False)[1] == alone
+    fresh = own.align(texts, False)
+    assert fresh[1] == alone
+    own._shrink()
+    own.align(["w0 w5 w7 w9"], False), own.align(["w0 w5"], False), own._shrink()
+    assert set(own.index) == {"w0", "w5"}
+    again = own.align(texts, False)
+    assert again[1] == alone and all((x == y).all() for x, y in zip(again[2:], fresh[2:])) and (again[0] == fresh[0]).all()
 
 
 def test_whole_query(spark, plain):

@@ -36,7 +36,7 @@ STRIPES = 256  # of A ids; a dense block of one is 50 MB with vocabularies of 50
 BANDS = 64  # tasks that score the links of the same documents
 SALTED = 10  # links of 2 to this power input partitions are counted and scored together
 SLICE = 2_000_000  # characters that are aligned together, one text at least
-MEMO_BYTES = 96 << 20  # what a worker remembers of parts, beside those of one slice
+MEMO_BYTES = 144 << 20  # what a worker remembers of parts, beside those of one slice
 TOGETHER = 256  # parts that go to the byte-level tokenizer in one text
 ENTRY = 400  # bytes of a remembered part, beside its characters, groups and pairs
 _CUTS = re.compile(r"(?<=\S)(?= )|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
@@ -139,8 +139,22 @@ class Both:
         self.whole = np.zeros(0, bool)  # both tokenizers give the part's bytes
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # each part's pairs
         self.pair, self.mult = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hits = np.zeros(0, np.int64)  # slices that had the part, less what is forgotten with time
         self.held = 0
 
+    def _shrink(self) -> None:
+        """Keep the parts that several slices had, the more frequent half of all parts at most."""
+        keep = np.argsort(-self.hits, kind="stable")[: len(self.hits) // 2]
+        keep = np.sort(keep[self.hits[keep] > 1])
+        keys = list(self.index)
+        self.index = {keys[i]: k for k, i in enumerate(keep.tolist())}
+        self.groups = [self.groups[i] for i in keep.tolist()]
+        size = self.size[keep]
+        place = np.repeat(self.first[keep] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        self.pair, self.mult, self.first, self.size = self.pair[place], self.mult[place], np.cumsum(size) - size, size
+        self.counts, self.whole, self.hits = self.counts[keep], self.whole[keep], self.hits[keep] // 2
+        self.held = ENTRY * len(keep) + sum(map(len, self.index)) + sum(map(len, self.groups)) + 16 * len(self.pair)
+
     def parts(self, text: str) -> list[str]:
         """Keys of the parts of a space and the text: what follows a leading space, or a line end and the part."""
         if not text:
@@ -192,6 +206,7 @@ class Both:
         self.counts = np.concatenate([self.counts, np.stack([size_a, size_b, n_groups, n_links], 1)])
         self.whole = np.append(self.whole, whole)
         self.first, self.size = np.append(self.first, first), np.append(self.size, size)
+        self.hits = np.append(self.hits, np.zeros(len(keys), np.int64))
         self.pair, self.mult = np.append(self.pair, pair), np.append(self.mult, mult)
         # A group's ids of A come before those of B; each is written with what follows it.
         item = np.zeros(len(flat_a) + len(flat_b), np.int64)
@@ -245,8 +260,8 @@ class Both:
         cut = [self.parts(x) for x in texts]
         new = set().union(*cut).difference(self.index)
         if new and self.held > MEMO_BYTES:
-            self._forget()
-            new = set().union(*cut)
+            self._shrink()
+            new = set().union(*cut).difference(self.index)
         if new:
             self._learn(list(new))
         at = [list(map(self.index.__getitem__, keys)) for keys in cut]
@@ -261,6 +276,7 @@ class Both:
         span = max(len(self.index), 1)
         held, times = np.unique(doc * span + part, return_counts=True)
         doc, part = held // span, held % span
+        self.hits[np.unique(part)] += 1
         size = self.size[part]
         place = np.repeat(self.first[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         pair, doc, mult = self.pair[place], np.repeat(doc, size), self.mult[place] * np.repeat(times, size)
