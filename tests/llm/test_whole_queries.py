@@ -4,14 +4,16 @@ import hashlib
 import re
 import struct
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 import xxhash
 from tokenizers import Tokenizer
 
 from tests.conftest import SF
-from veldt.llm import bytebpe, pseudonyms, quality, queries
+from veldt.llm import bytebpe, pieces, pseudonyms, quality, queries, sharding
 
 MASK = (1 << 62) - 1
 
@@ -21,6 +23,11 @@ def documents():
     return sorted((r["doc_id"], r["text"] or "") for r in rows)
 
 
+def given():
+    """(doc_id, text) as they are, nulls included."""
+    return [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pylist()]
+
+
 def plain_fingerprint(text):
     """(identity lanes, words, 64 likeness lanes)."""
     hashes = [xxhash.xxh64_intdigest(p.encode(), seed=42) for p in text.split("\n")]
@@ -121,3 +128,91 @@ def test_fingerprints_and_edits(spark):
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert r["fingerprint"] == plain_text(*own) and r["edited_fingerprint"] == plain_text(*other)
         assert abs(r["near_edited"] - plain_likeness(own, other)) < 1e-9 and abs(r["near_next"] - plain_likeness(own, following)) < 1e-9
+
+
+def test_op1_whole(spark):
+    words = re.compile(r"[^\x20\x09-\x0D]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    prints = {}
+    for i, t in given():
+        w = words.findall((t or "").translate(lower))
+        shingles = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] if w else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    at = {i: i for i in prints}
+
+    def root(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    own = sorted(prints)
+    for a in own:
+        for b in own:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = sorted((root(a), root(b)))
+                at[y] = x
+    want = {(i, f"{p:016x}", root(i)) for i, p in prints.items()}
+    got = queries.QUERIES["op1_simhash_near_dedup"](spark, SF).collect()
+    assert len(got) == len(want) and {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in got} == want
+
+
+def test_op5_whole(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=pieces.default_path())
+    want = set()
+    for i, t in given():
+        ids = model.encode(t or "") + [model.eos_id()]
+        want.add((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest()))
+    got = queries.QUERIES["op5_sentencepiece_codec"](spark, SF).collect()
+    assert len(got) == len(want) and {(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == want
+
+
+def test_op7_whole(spark):
+    model = Tokenizer.from_file(bytebpe.default_path())
+    got = {r["doc_id"]: r for r in queries.QUERIES["op7_token_counts"](spark, SF).collect()}
+    rows = given()
+    assert len(got) == len(rows)
+    for i, t in rows:
+        found = model.encode(t or "", add_special_tokens=False)
+        ends, at = [], 0
+        for line in (t or "").split("\n"):
+            at = min(at + len(line) + 1, len(t or ""))
+            ends.append(at)
+        count = [0] * len(ends)
+        for start, _ in found.offsets:
+            count[next(k for k, e in enumerate(ends) if start < e)] += 1
+        assert (got[i]["n_tokens"], got[i]["n_sections"], got[i]["n_outside"]) == (len(found.ids), len(ends) if t is not None else 0, 0)
+        assert got[i]["section_tokens"] == (count if t is not None else [])
+
+
+def shards_hold_the_law(rows, shards, bound):
+    """Slots without gaps, sizes near equal, equal texts together."""
+    sums, slots, where = Counter(), defaultdict(list), defaultdict(set)
+    for text, shard, slot, size in rows:
+        assert size == len((text or "").encode()) + 1 and 0 <= shard < shards
+        sums[shard] += size
+        slots[shard].append(slot)
+        where[text].add(shard)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(sums.values()) - min(sums[k] for k in range(shards)) <= bound * sum(sums.values()) / shards
+    assert all(len(v) == 1 for v in where.values())
+
+
+def test_op10_whole(spark):
+    texts = dict(given())
+    got = queries.QUERIES["op10_sharding"](spark, SF).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(texts.keys())
+    assert all(r["text_crc32"] == zlib.crc32((texts[r["doc_id"]] or "").encode()) and r["law"] == "bytes" and r["grown_shard"] is None for r in got)
+    shards_hold_the_law([(texts[r["doc_id"]], r["shard"], r["slot"], r["size"]) for r in got], 8, 0.01)
+
+
+@pytest.mark.parametrize("fine", [1, 16, 10**9])
+def test_op10_law_holds_whatever_is_bundled(spark, monkeypatch, fine):
+    monkeypatch.setattr(sharding, "FINE", fine)
+    rows = [(i, f"text {i % 2500} " + "y" * (i * 7919 % 300)) for i in range(3000)] + [(9000 + i, t) for i, t in enumerate([None, "", " a b ", "\t\n", "c"])]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 4).collect()
+    texts = dict(rows)
+    shards_hold_the_law([(texts[r["id"]], r["shard"], r["slot"], r["size"]) for r in got], 4, 0.01)
+    assert all(r["tokens"] == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r["id"]] or "")) for r in got)

@@ -115,7 +115,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
         F.col(id_col).alias("id"),
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.size(F.split(text, r"\s+")).cast("bigint").alias("tokens"),
+        F.size(F.array_remove(F.split(text, r"\s+"), "")).cast("bigint").alias("tokens"),
         F.coalesce(F.md5(F.encode(F.col(text_col), "UTF-8")), F.lit("null")).alias("key"),
         F.monotonically_increasing_id().alias("row"),  # tells repeated rows apart, and is fixed once it is written
     )
