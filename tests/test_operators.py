@@ -363,3 +363,23 @@ def test_audited_joins_check_in_their_own_job(spark, tmp_path):
     assert C.joined(one, df, ["k"], "left", "1:m").count() == 4
     with pytest.raises(ValueError):
         C.joined(one, df, ["k"], "right", "m:m", True)
+
+
+def test_quantiles_by_narrowing_equal_pandas(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    hot = np.where(rng.random(6000) < 0.4, 1.5, rng.normal(0, 1, 6000)).round(3)
+    data = pd.DataFrame({"g": [["a", "b", None][i % 3] for i in range(6000)] , "v": hot})
+    data = pd.concat([data, pd.DataFrame({"g": ["one", "two", "two"], "v": [7.0, 1.0, 2.0]})])
+    rows = [(g if isinstance(g, str) else None, float(v)) for g, v in data.itertuples(index=False)] + [("a", None), ("a", float("nan")), ("none", None)]
+    df = frame(spark, rows, "g string, v double").repartition(5)
+    shares = [0.0, 0.001, 0.25, 0.5, 0.61, 0.95, 1.0]
+    for accuracy in (10_000, 100, 40):  # whole groups, and intervals of 6 and of 15 percent of a group
+        monkeypatch.setattr(W, "ACCURACY", accuracy)
+        got = {r["g"]: r["q"] for r in W.exact_quantiles(df, "v", shares, ["g"], "q").collect()}
+        assert set(got) == {"a", "b", None, "one", "two"}
+        for g, q in got.items():
+            np.testing.assert_allclose(q, data[data.g.isna() if g is None else data.g == g].v.quantile(shares).to_numpy(), rtol=0, atol=1e-12)
+        np.testing.assert_allclose(W.exact_quantiles(df, "v", shares).first()[0], data.v.quantile(shares).to_numpy(), rtol=0, atol=1e-12)
+    whole = frame(spark, [(i,) for i in range(101)], "v bigint")
+    assert W.exact_quantiles(whole, "v", [0.5, 0.255]).first()[0] == [50.0, 25.5]
+    assert W.exact_quantiles(whole.where("false"), "v", [0.5]).count() == 0

@@ -68,14 +68,10 @@ def shares(df: DataFrame, by: list[str], conditions: dict[str, Column]) -> DataF
 def describe(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """n, mean, median, sample deviation, quartiles, 95th percentile, extremes; exact."""
     c, by = F.col(value), list(by)
-    cells = windows.once(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))  # a group of nulls alone has a row too
-    found = windows.exact_quantiles(cells, value, [0.5, 0.25, 0.75, 0.95], by, "__q", "__n")
-    n, mean = F.sum(F.when(c.isNotNull(), F.col("__n")).otherwise(0)), F.try_divide(F.sum(c * F.col("__n")), F.sum(F.when(c.isNotNull(), F.col("__n"))))
-    sums = cells.groupBy(*by).agg(n.alias("n"), mean.alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"))
-    apart = windows.matched(cells, sums.select(*by, "n", "mean"), by).groupBy(*by).agg(F.sqrt(F.try_divide(F.sum(F.pow(c - F.col("mean"), F.lit(2)) * F.col("__n")), F.first("n") - 1)).alias("sd"))
-    out = windows.matched(windows.matched(sums, apart, by), found, by, "left")
+    sums = df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("min"), F.max(c).alias("max"))
+    found = windows.exact_quantiles(df, value, [0.5, 0.25, 0.75, 0.95], by, "__q")
     q = {k: F.col("__q")[i].alias(k) for i, k in enumerate(("median", "p25", "p75", "p95"))}
-    return out.select(*by, F.coalesce("n", F.lit(0)).alias("n"), "mean", q["median"], "sd", q["p25"], q["p75"], q["p95"], "min", "max")
+    return windows.matched(sums, found, by, "left").select(*by, "n", "mean", q["median"], "sd", q["p25"], q["p75"], q["p95"], "min", "max")
 
 
 def ordered_text(value: str, order: list[str], separator: str) -> Column:

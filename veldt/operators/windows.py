@@ -78,27 +78,37 @@ def positions(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return out.select(*df.columns, (F.col("__rn") + F.col("__ahead")).alias("__place"), "__size")
 
 
-def exact_quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] = (), name: str = "quantiles", counted: str | None = None) -> DataFrame:
-    """(by, array of quantiles): interpolated between the two values around each rank, from counts of distinct values.
+ACCURACY = 10_000  # of the sketches that narrow quantiles down
 
-    ``counted`` names the column with the counts of a table that is already one of distinct values.
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] = (), name: str = "quantiles") -> DataFrame:
+    """(by, array of quantiles): interpolated between the two values around each rank; null and NaN are left out.
+
+    Two passes, whatever the number of shares and of distinct values. The first makes sketches that give, for
+    each share, an interval of values in which its ranks must lie; small groups have their whole range.
+    The second counts the rows below each interval and the values inside it, and the ranks are found among
+    these few. The sketches' error decides the length of the intervals, never the result.
     """
-    by, known = list(by), df.where(F.col(value).isNotNull())
-    if counted:
-        counts = known.select(*by, value, F.col(counted).alias("__n"))
-        counts.is_cut = getattr(df, "is_cut", False)
-    else:
-        counts = once(known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))
-    whole = counts.groupBy(*by).agg(F.sum("__n").alias("__all"))
-    run = matched(running_sums(counts, by, value, ["__n"]), whole, by)
-    at = [(F.col("__all") - 1) * F.lit(float(q)) for q in shares]
-
-    def held(rank: Column) -> Column:
-        return F.max(F.when((F.col("__n__run") - F.col("__n") <= rank) & (rank < F.col("__n__run")), F.col(value)))
-
-    out = run.groupBy(*by, "__all").agg(*(held(f(a)).alias(f"__{k}{i}") for i, a in enumerate(at) for k, f in (("low", F.floor), ("high", F.ceil))))
-    low, high = ([F.col(f"__{k}{i}") for i in range(len(at))] for k in ("low", "high"))
-    return out.select(*by, F.array(*(a + (b - a) * (p - F.floor(p)) for a, b, p in zip(low, high, at))).alias(name))
+    by, kinds = list(by), dict(df.dtypes)
+    known = df.where(F.col(value).isNotNull() & (~F.isnan(value) if kinds[value] in ("float", "double") else F.lit(True))).select(*by, F.col(value).alias("__v"))
+    beside = [[min(max(s + side * 3 / ACCURACY, 0.0), 1.0) for s in shares] for side in (-1, 1)]
+    at = F.percentile_approx("__v", F.array(*(F.lit(float(q)) for q in beside[0] + beside[1])), ACCURACY)
+    first = once(known.groupBy(*by).agg(F.count(F.lit(1)).alias("__all"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), at.alias("__at")))
+    few = F.col("__all") <= 4 * ACCURACY
+    ends = [F.struct(F.lit(i).alias("i"), F.when(few, F.col("__min")).otherwise(F.col("__at")[i]).alias("low"), F.when(few, F.col("__max")).otherwise(F.col("__at")[len(shares) + i]).alias("high")) for i in range(len(shares))]
+    placed = matched(known, first.select(*by, F.array(*ends).alias("__ends")), by).select(*by, "__v", F.explode("__ends").alias("e"))
+    placed = placed.where(F.col("__v") <= F.col("e.high")).groupBy(*by, F.col("e.i").alias("__i"), F.when(F.col("__v") >= F.col("e.low"), F.col("__v")).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    cells = once(placed)
+    below = cells.where("__v IS NULL").select(*by, "__i", F.col("__n").alias("__below"))
+    inside = cells.where("__v IS NOT NULL")
+    inside.is_cut = True
+    run = matched(matched(running_sums(inside, [*by, "__i"], "__v", ["__n"]), below, [*by, "__i"], "left"), first.select(*by, "__all"), by)
+    share = F.element_at(F.array(*(F.lit(float(q)) for q in shares)), F.col("__i") + 1)
+    rank, end = (F.col("__all") - 1) * share, F.coalesce("__below", F.lit(0)) + F.col("__n__run")
+    low, high = (F.max(F.when((end - F.col("__n") <= f(rank)) & (f(rank) < end), F.col("__v"))) for f in (F.floor, F.ceil))
+    found = run.groupBy(*by, "__i").agg(low.alias("low"), high.alias("high"), F.first(rank).alias("rank"))
+    found = found.select(*by, F.struct("__i", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("rank") - F.floor("rank"))).alias("q")).alias("x"))
+    return found.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["q"]).alias(name)).where(F.size(name) > 0)
 
 
 def ranks(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
