@@ -151,6 +151,16 @@ def test_staged_matches_are_read_selectively(spark, tmp_path):
     assert matches.read(spark, root, schema, {"match_id": "5"}).count() == 0
 
 
+def test_many_staged_matches_share_partitions(spark, tmp_path):
+    root = str(tmp_path / "in")
+    events = spark.range(60).selectExpr("cast(id % 20 as string) as match_id", "id", "if(id % 2 = 0, 'Pass', 'Shot') as type")
+    assert matches.stage(events, root) == 20
+    (tmp_path / "in/events_99.json").write_text("[1]")
+    status = matches.read(spark, root, report=True, slices=3)
+    assert status.rdd.getNumPartitions() == 3
+    assert {r["match_id"]: (r["status"], r["n_events"]) for r in status.collect()} == {str(i): ("success", 3) for i in range(20)} | {"99": ("failed", 0)}
+
+
 def test_ingest_resumes_after_a_failure(spark, tmp_path):
     def batch(n, matches, value=1.0):
         spark.createDataFrame([(m, i, value) for m in matches for i in range(3)], "match_id int, i int, v double").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))

@@ -2,8 +2,9 @@
 
     matches.read(spark, root, "match_id string, id string, type string", only={"type": "Pass"})
 
-A file holds a list of events, or an object with a list ``events``; it may be packed with gzip. Each file is a partition, so
-a task's memory is one match. ``match_id``, from the file's name, is added to each event. Events that
+A file holds a list of events, or an object with a list ``events``; it may be packed with gzip. A partition is a file, or where
+there are more than ``slices`` of them a run of files that are read one after another, so a task's memory is one match and
+``BATCH`` rows. ``match_id``, from the file's name, is added to each event. Events that
 differ from ``only`` are dropped before a row is made, and files of other matches are not opened.
 Columns that the schema doesn't name are not built. With the option ``report`` the source gives a row of
 status for each match instead.
@@ -29,14 +30,17 @@ from veldt.session import ship
 from veldt.sources.files import system_of
 
 STATUS = "match_id string, status string, message string, n_events bigint"
+SLICES = 512  # partitions at least, if there are as many files
+FILES = 2000  # of one partition at most
+BATCH = 4096  # rows that are given to Spark at once
 _MATCH = re.compile(r"([0-9]+)[^0-9/]*$")
 _NAME = re.compile(r"\.json(\.gz)?$")
 
 
-class MatchFile(InputPartition):
-    def __init__(self, path: str, match_id: str):
-        super().__init__(path)
-        self.path, self.match_id = path, match_id
+class MatchFiles(InputPartition):
+    def __init__(self, files: list[tuple[str, str]]):
+        super().__init__(files[0][0] if files else "")
+        self.files = files  # (path, match)
 
 
 class MatchEvents(DataSource):
@@ -53,12 +57,12 @@ class MatchEvents(DataSource):
         return self.options.get("report", "false").lower() == "true"
 
     def reader(self, schema: StructType) -> MatchReader:
-        return MatchReader(self.options["path"], schema, self._reports(), json.loads(self.options.get("only", "{}")))
+        return MatchReader(self.options["path"], schema, self._reports(), json.loads(self.options.get("only", "{}")), int(self.options.get("slices", SLICES)))
 
 
 class MatchReader(DataSourceReader):
-    def __init__(self, root: str, schema: StructType, reports: bool, only: dict[str, str]):
-        self.root, self.schema, self.reports, self.only = root, schema, reports, only
+    def __init__(self, root: str, schema: StructType, reports: bool, only: dict[str, str], slices: int):
+        self.root, self.schema, self.reports, self.only, self.slices = root, schema, reports, only, slices
 
     def partitions(self) -> Sequence[InputPartition]:
         from pyarrow import fs
@@ -70,21 +74,30 @@ class MatchReader(DataSourceReader):
             name = info.path.rsplit("/", 1)[-1]
             number = _MATCH.search(_NAME.sub("", name))
             if info.type == fs.FileType.File and _NAME.search(name) and number:
-                out.append(MatchFile(info.path, number.group(1)))
-        return [p for p in out if self.only.get("match_id", p.match_id) == p.match_id] or [MatchFile("", "")]
+                out.append((info.path, number.group(1)))
+        out = [x for x in out if self.only.get("match_id", x[1]) == x[1]]
+        n = min(len(out), max(self.slices, -(-len(out) // FILES)))
+        return [MatchFiles(out[len(out) * i // n : len(out) * (i + 1) // n]) for i in range(n)] or [MatchFiles([])]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        if not self.reports:
-            events = self._events(partition.path)
-            yield self._batch([e for e in events if all(_text(e.get(k)) == v for k, v in self.only.items() if k != "match_id")], partition.match_id)
-            return
+        held = []
+        for path, match_id in partition.files:
+            held += [self._status(path, match_id)] if self.reports else self._wanted(path, match_id)
+            if len(held) >= BATCH:
+                yield self._batch(held)
+                held = []
+        if held:
+            yield self._batch(held)
+
+    def _wanted(self, path: str, match_id: str) -> list[dict]:
+        events = [e for e in self._events(path) if all(_text(e.get(k)) == v for k, v in self.only.items() if k != "match_id")]
+        return [e | {"match_id": match_id} for e in events]
+
+    def _status(self, path: str, match_id: str) -> dict:
         try:
-            row = (partition.match_id, "success", None, len(self._events(partition.path)))
+            return {"match_id": match_id, "status": "success", "message": None, "n_events": len(self._events(path))}
         except Exception as e:  # a status is the purpose of this row
-            row = (partition.match_id, "failed", f"{type(e).__name__}: {e}"[:200], 0)
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.string(), pa.string(), pa.int64()))], [f.name for f in self.schema.fields])
+            return {"match_id": match_id, "status": "failed", "message": f"{type(e).__name__}: {e}"[:200], "n_events": 0}
 
     def _events(self, path: str) -> list[dict]:
         system = system_of(self.root)[0]
@@ -96,13 +109,12 @@ class MatchReader(DataSourceReader):
             raise ValueError(f"no list of events in {path}")
         return events
 
-    def _batch(self, events: list[dict], match_id: str) -> pa.RecordBatch:
+    def _batch(self, rows: list[dict]) -> pa.RecordBatch:
         from pyspark.sql.pandas.types import to_arrow_type
 
         columns = []
         for f in self.schema.fields:
-            kind = to_arrow_type(f.dataType)
-            values = [match_id] * len(events) if f.name == "match_id" else [e.get(f.name) for e in events]
+            kind, values = to_arrow_type(f.dataType), [r.get(f.name) for r in rows]
             columns.append(pa.array([_text(v) for v in values] if pa.types.is_string(kind) else values, kind))
         return pa.RecordBatch.from_arrays(columns, [f.name for f in self.schema.fields])
 
@@ -134,8 +146,8 @@ def stage(events: DataFrame, root: str, match: str = "match_id", packed: bool =
     return rows.mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
-def read(spark: SparkSession, root: str, schema: str = "", only: dict[str, str] | None = None, report: bool = False) -> DataFrame:
+def read(spark: SparkSession, root: str, schema: str = "", only: dict[str, str] | None = None, report: bool = False, slices: int = SLICES) -> DataFrame:
     """The staged events below ``root`` whose values, as text, are those of ``only``; or with ``report`` a row of status for each match."""
     spark.dataSource.register(MatchEvents)
-    reader = spark.read.format("match_events").option("only", json.dumps(only or {}))
+    reader = spark.read.format("match_events").option("only", json.dumps(only or {})).option("slices", slices)
     return (reader.option("report", "true") if report else reader.schema(schema)).load(root)
