@@ -161,6 +161,15 @@ def test_many_staged_matches_share_partitions(spark, tmp_path):
     assert {r["match_id"]: (r["status"], r["n_events"]) for r in status.collect()} == {str(i): ("success", 3) for i in range(20)} | {"99": ("failed", 0)}
 
 
+def test_selected_events_of_many_matches_share_partitions(spark, tmp_path):
+    root = str(tmp_path / "in")
+    events = spark.range(60).selectExpr("cast(id % 20 as string) as match_id", "id", "if(id % 2 = 0, 'Pass', 'Shot') as type")
+    assert matches.stage(events, root, packed=True) == 20
+    df = matches.read(spark, root, "match_id string, id bigint, type string", {"type": "Pass"}, slices=3)
+    assert df.rdd.getNumPartitions() == 3
+    assert sorted((r["match_id"], r["id"]) for r in df.collect()) == sorted((str(i % 20), i) for i in range(0, 60, 2))
+
+
 def test_ingest_resumes_after_a_failure(spark, tmp_path):
     def batch(n, matches, value=1.0):
         spark.createDataFrame([(m, i, value) for m in matches for i in range(3)], "match_id int, i int, v double").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
