@@ -301,6 +301,19 @@ def test_caliper_pairs_are_those_of_all_pairs(spark):
         R.pairs_within(df, "role", "team", ["id"], ["b"], most=100)
 
 
+def test_pairs_of_blocks_are_all_pairs(spark):
+    random.seed(10)
+    rows = [(i, random.choice(["r", "r", "s", None]), f"t{i % 4}", random.choice([0.0, 0.3, random.gauss(0, 1)])) for i in range(150)]
+    df = frame(spark, rows, "id int, role string, team string, a double").repartition(3)
+    want = sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] == y[1] is not None and x[2] != y[2])
+    whole = {(r["left_id"], r["right_id"]): r["profile_distance"] for r in R.pairs_within(df, "role", "team", ["id"], ["a"]).collect()}
+    got = R.pairs_within(df, "role", "team", ["id"], ["a"], block=7)
+    assert R.pairs_within.__defaults__[0] is None  # no bound of its own
+    assert got.columns == R.pairs_within(df, "role", "team", ["id"], ["a"]).columns
+    rows = {(r["left_id"], r["right_id"]): r["profile_distance"] for r in got.collect()}
+    assert sorted(rows) == sorted(whole) == want and all(rows[k] == pytest.approx(whole[k]) for k in want)
+
+
 def test_greedy_rounds_take_what_the_scan_takes(spark):
     random.seed(9)
     for n in (1, 30, 400):

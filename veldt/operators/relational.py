@@ -14,6 +14,7 @@ from veldt.operators import checks, windows
 from veldt.session import checkpointed
 
 SMALL_BYTES = 64 << 20  # a side is broadcast only if it is measured to be smaller
+PAIR_TASKS = 4000  # of a join of blocks, at most
 
 
 def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
@@ -96,18 +97,30 @@ def checks_rows(df: DataFrame, most: int) -> DataFrame:
     return df
 
 
-def pairs_within(df: DataFrame, group: str, apart: str, order: list[str], zscored: list[str], most: int = 50_000_000) -> DataFrame:
+def pairs_within(df: DataFrame, group: str, apart: str, order: list[str], zscored: list[str], most: int | None = None, block: int = 2000) -> DataFrame:
     """Unordered pairs of a group's rows that differ in ``apart``, with their profile distance.
 
     Columns of the two sides begin with ``left_`` and ``right_``; the left row is the earlier in
     ``order``, which is total in a group. Each variable is standardised in its group by the population
-    deviation; a constant one counts 0. All pairs of a group are made, so more than ``most`` in all
-    groups are an error: use ``caliper_pairs`` where calipers bound them.
+    deviation; a constant one counts 0. All pairs of a group are made, the square of its rows: use
+    ``caliper_pairs`` where calipers bound them, or have more than ``most`` in all groups be an error. A
+    large group is dealt into blocks of about ``block`` rows, and a task joins two blocks of it.
     """
-    (n,) = df.groupBy(group).agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("n")).agg(F.sum("n")).first()
-    if (n or 0) > most:
-        raise checks.IntegrityError(f"{n:.0f} pairs, more than {most}")
-    return _paired(*_sides(df, group, zscored), [group], group, apart, order, zscored)
+    count = F.count(F.lit(1))
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(count.alias("n"), (count * (count - 1) / 2).alias("pairs"))
+    groups, largest, pairs = sizes.agg(count, F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+    if most is not None and pairs > most:
+        raise checks.IntegrityError(f"{pairs:.0f} pairs, more than {most}")
+    left, right = _sides(df, group, zscored)
+    blocks = -(-largest // block)
+    if blocks <= 1:
+        return _paired(left, right, [group], group, apart, order, zscored)
+    own = {side: F.pmod(F.xxhash64(*(f"{side}_{c}" for c in order)), F.lit(blocks)) for side in ("left", "right")}
+    every, on = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), [group, "__i", "__j"]
+    parts = min(groups * blocks * blocks, PAIR_TASKS)
+    left = left.withColumn("__i", own["left"]).withColumn("__j", every).repartition(parts, *on)
+    right = right.withColumn("__j", own["right"]).withColumn("__i", every).repartition(parts, *on)
+    return _paired(left, right, on, group, apart, order, zscored)
 
 
 def _sides(df: DataFrame, group: str, zscored: list[str]) -> tuple[DataFrame, DataFrame]:
