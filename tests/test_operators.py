@@ -149,6 +149,36 @@ def test_permutation_moves_columns_together(spark):
     assert all(r["a"] // 10 % 3 == r["g"] for r in rows) and sorted(r["a"] for r in rows) == [10 * i for i in range(60)]
 
 
+def test_permutation_importance_deals_as_windows_do(spark):
+    random.seed(11)
+    rows = [(i, random.choice([None, 0, 1, 1, 1, *range(2, 9)]), i % 3 == 0, random.random(), random.random()) for i in range(400)]
+    df = frame(spark, [(a, b, int(c), d, e) for a, b, c, d, e in rows], "i int, m int, y int, a double, b double").repartition(5)
+
+    def score():
+        return 0.1 + 0.4 * (F.col("a") + F.col("b"))
+
+    base = M.all_metrics(df.select("y", score().alias("p"), F.lit(1.0).alias("w")), []).first()
+    for largest in (resample.LARGEST, 50, 0):
+        got = {(r[0], r[1]): r for r in resample.permutation_importance(df, score, "m", "i", {"one": ["a"], "both": ["a", "b"]}, 2, 3, largest=largest).collect()}
+        assert set(got) == {(g, r) for g in ("one", "both") for r in (0, 1)}
+        for (name, r), row in got.items():
+            moved = W.permuted(df.where("m is not null"), ["m"], "i", ["a"] if name == "one" else ["a", "b"], 3 + r)
+            want = M.all_metrics(moved.select("y", score().alias("p"), F.lit(1.0).alias("w")), []).first()
+            assert all(row[f"{n}_delta"] == pytest.approx(want[n] - base[n]) for n in ("log_loss", "brier", "auc", "average_precision"))
+
+
+def test_permuted_repeats_shuffle_no_row_twice(spark):
+    df = frame(spark, [(i, i % 3, i % 2, i / 100) for i in range(90)], "i int, m int, y int, a double")
+    seen = []
+    original, M.all_metrics = M.all_metrics, lambda rows, by: seen.append(rows) or original(rows, by)
+    try:
+        resample.permutation_importance(df, lambda: F.col("a"), "m", "i", {"one": ["a"]}, 3, 3)
+    finally:
+        M.all_metrics = original
+    plan = seen[-1]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("Exchange") == 1
+
+
 def test_greedy_pairs(spark):
     pairs = frame(spark, [("r1", "a", "b", 9.0), ("r1", "c", "d", 8.0), ("r2", "b", "e", 7.0), ("r3", "c", "f", 6.0)], "role string, l string, r string, d double")
     got = R.greedy_pairs(pairs, 3, "role", ["l", "r"], [F.desc("d"), F.col("l")]).collect()

@@ -9,6 +9,7 @@ replicates times clusters rows at most.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import groupby
@@ -17,12 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from veldt.functions.scalars import CLIP, clip_p
 from veldt.operators import metrics, windows
 from veldt.session import ship
 
 CHUNK = 2048  # cells that meet their weights at once
+LARGEST = 1_000_000  # rows of a cluster that a task holds
 
 
 def draw(seed: int, replicate: Column, j: Column, clusters: Column) -> Column:
@@ -268,22 +271,87 @@ def paired_differences(reps: DataFrame, full: str, models: str = "model") -> Dat
     return both.select("replicate", F.col(models).alias("comparator"), *up, *down)
 
 
-def permutation_importance(df: DataFrame, score, key: str, id_col: str, groups: dict[str, list[str]], repeats: int, seed: int, y: str = "y") -> DataFrame:
+def permutation_importance(df: DataFrame, score, key: str, id_col: str, groups: dict[str, list[str]], repeats: int, seed: int, y: str = "y", largest: int = LARGEST) -> DataFrame:
     """(feature_group, repeat, deltas) when a group's columns are dealt anew together inside a cluster.
 
-    ``score`` makes the probability Column of a frame's columns.
+    ``score`` makes the probability Column of a frame's columns. Rows meet once, by cluster, and a task deals all
+    repeats of its clusters one after another, so no row is shuffled once a repeat, and all groups share a
+    repeat's order. Clusters of more than ``largest`` rows are not held by a task: windows order them.
     """
     base = metrics.all_metrics(df.select(F.col(y).alias("y"), score().alias("p"), F.lit(1.0).alias("w")), [])
-    out = None
-    every = df.crossJoin(df.sparkSession.range(repeats).select(F.col("id").cast("int").alias("repeat")))
-    for name, columns in groups.items():  # one join for all repeats of a group
-        moved = windows.permuted(every, [key, "repeat"], id_col, columns, F.lit(seed) + F.col("repeat"))
-        rows = moved.select(F.lit(name).alias("feature_group"), "repeat", F.col(y).alias("y"), score().alias("p"), F.lit(1.0).alias("w"))
-        out = rows if out is None else out.unionByName(rows)
+    big = [r[0] for r in df.groupBy(key).count().where(F.col("count") > largest).select(key).collect()]
+    large = reduce(lambda a, b: a | b, (F.col(key).eqNullSafe(F.lit(k)) for k in big), F.lit(False))
+
+    def scored(rows: DataFrame, name: Column) -> DataFrame:
+        return rows.select(name.alias("feature_group"), "repeat", F.col(y).alias("y"), score().alias("p"), F.lit(1.0).alias("w"))
+
+    moved = df.where(~large & F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, id_col)
+    kinds = StructType([StructField("feature_group", IntegerType()), StructField("repeat", IntegerType()), *df.schema.fields])
+    ship(df.sparkSession)
+    out = scored(moved.mapInArrow(_dealt(key, id_col, groups, repeats, seed, [f.name for f in df.schema.fields]), kinds), F.col("feature_group"))
+    if big:
+        every = df.where(large).crossJoin(df.sparkSession.range(repeats).select(F.col("id").cast("int").alias("repeat")))
+        for g, columns in enumerate(groups.values()):
+            out = out.unionByName(scored(windows.permuted(every, [key, "repeat"], id_col, columns, F.lit(seed) + F.col("repeat")), F.lit(g)))
     got = metrics.all_metrics(out, ["feature_group", "repeat"])
     names = ("log_loss", "brier", "auc", "average_precision")
     base = base.select(*(F.col(n).alias(f"__{n}") for n in names))
-    return got.crossJoin(F.broadcast(base)).select("feature_group", "repeat", *((F.col(n) - F.col(f"__{n}")).alias(f"{n}_delta") for n in names))
+    return got.crossJoin(F.broadcast(base)).select(F.array(*map(F.lit, groups))[F.col("feature_group")].alias("feature_group"), "repeat", *((F.col(n) - F.col(f"__{n}")).alias(f"{n}_delta") for n in names))
+
+
+def _dealt(key: str, id_col: str, groups: dict[str, list[str]], repeats: int, seed: int, names: list[str]):
+    """A function for ``mapInArrow`` over rows by (key, id): each group's rows of each repeat, its columns dealt anew in each cluster.
+
+    The order is that of ``windows.permuted``: by the hash of (seed + repeat, id), then by id.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cluster in _whole_clusters(batches, key):
+            ids = [str(i).encode() for i in rows.column(id_col).to_pylist()]
+            n = len(ids)
+            for r in range(repeats):
+                head = hashlib.sha256(f"{seed + r}|".encode())
+                digests = []
+                for i in ids:
+                    h = head.copy()
+                    h.update(i)
+                    digests.append(h.digest())
+                words = np.frombuffer(b"".join(digests), ">u8").reshape(n, 4)
+                order = pa.array(np.lexsort((words[:, 3], words[:, 2], words[:, 1], words[:, 0], cluster)))
+                for g, columns in enumerate(groups.values()):
+                    own = [rows.column(c).take(order) if c in columns else rows.column(c) for c in names]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, x, np.int32)) for x in (g, r)), *own], ["feature_group", "repeat", *names])
+
+    return run
+
+
+def _whole_clusters(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of whole clusters, which come one after another, with each row's cluster as a number."""
+    held: list[pa.RecordBatch] = []
+
+    def numbered_rows(parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        code = rows.column(key).dictionary_encode().indices
+        return rows, code.to_numpy(zero_copy_only=False)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key)
+        last = len(keys) - 1  # first row of the last cluster
+        end = keys[last]
+        while last and keys[last - 1] == end:
+            last -= 1
+        if last:
+            yield numbered_rows([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        elif held and held[-1].column(key)[0] != end:
+            yield numbered_rows(held)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield numbered_rows(held)
 
 
 def hashed_share(seed: Column, key: Column) -> Column:

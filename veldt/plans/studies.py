@@ -101,7 +101,7 @@ SELECT m.feature_group, m.repeat, round(m.log_loss - n.log_loss, 6) AS log_loss_
 
 @query("m25_permutation_importance", _M25)
 def _(spark, d):
-    v = passes(spark, d)
+    v = passes(spark, d).select("event_id", "match_id", "won", "p", "t_start", "t_end")
 
     def score():
         return F.round(S.sigmoid(S.logit(F.col("p")) + 3 * (F.col("t_end") - F.col("t_start"))), 9)
