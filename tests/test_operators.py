@@ -383,6 +383,29 @@ def test_bootstrap_of_ordered_metrics_equals_copied_rows(spark, monkeypatch):
     assert set(got) == {(k, m) for k in range(23) for m in ("full", "other") if any(weight[k].get(a, 0) for a, o, *_ in rows if o == m)}
 
 
+def test_bootstrap_of_few_scores_equals_that_of_ranges(spark, monkeypatch):
+    random.seed(12)
+    rows = [(random.choice([None, *range(40)]), m, random.randint(0, 1), random.choice([0.2, 0.5, round(random.random(), 1)])) for _ in range(300) for m in ("full", "other")]
+    rows += [(99, "alone", 1, 0.5), (3, None, 1, 0.5)]
+    df = frame(spark, rows, "match int, kind string, y int, p double").repartition(3)
+    monkeypatch.setattr(resample, "CLUSTERS", 7)
+    names, used = ("auc", "average_precision", "log_loss", "brier"), []
+    monkeypatch.setattr(resample, "_ordered", lambda *a, own=resample._ordered: used.append(a) or own(*a))
+
+    def found():
+        got = resample.metric_replicates(df, "match", "kind", 15, 5, block=10)
+        assert got.columns == ["replicate", "kind", *names]
+        return {(r["replicate"], r["kind"]): [r[n] for n in names] for r in got.collect()}
+
+    few = found()
+    assert not used  # no cluster's weights are sent to every range of scores
+    monkeypatch.setattr(resample, "SCORES", 0)
+    many = found()
+    assert used and set(few) == set(many) and {k for _, k in few} == {"full", "other", "alone"}
+    for k, row in few.items():
+        assert row == [pytest.approx(x) if x is not None else None for x in many[k]]
+
+
 def test_audited_joins_check_in_their_own_job(spark, tmp_path):
     df = frame(spark, [(1, 0.5), (1, 2.0), (2, None), (None, 1.0)], "k int, p double").repartition(3)
     one = frame(spark, [(1, "a"), (2, "b"), (7, "c")], "k int, v string")

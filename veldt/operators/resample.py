@@ -25,6 +25,8 @@ from veldt.operators import metrics, windows
 from veldt.session import ship
 
 CHUNK = 2048  # cells that meet their weights at once
+SCORES = 4096  # distinct (model, label, score) whose weights in all replicates a task holds
+CLUSTERS = 256  # of one product
 LARGEST = 1_000_000  # rows of a cluster that a task holds
 
 
@@ -45,12 +47,18 @@ def numbered(clusters: DataFrame, key: str) -> DataFrame:
 
 def bootstrap_weights(clusters: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
     """(replicate, key, weight): how often each replicate draws a cluster."""
+    places, drawn = _draws(clusters, key, replicates, seed)
+    return drawn.join(places.select(key, "__at"), "__at").select("replicate", key, "weight")
+
+
+def _draws(clusters: DataFrame, key: str, replicates: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The clusters' places, and (replicate, __at, weight): how often each replicate draws a place."""
     places = numbered(clusters, key)
     m = clusters.select(key).distinct().where(F.col(key).isNotNull()).count()
     # One row a draw from the start, so that no row holds all draws of a replicate.
     draws = clusters.sparkSession.range(replicates * m).select(F.floor(F.col("id") / max(1, m)).alias("replicate"), (F.col("id") % max(1, m)).alias("j"))
     drawn = draws.select("replicate", draw(seed, F.col("replicate"), F.col("j"), F.lit(m)).alias("__at"))
-    return drawn.groupBy("replicate", "__at").agg(F.count(F.lit(1)).alias("weight")).join(places.select(key, "__at"), "__at").select("replicate", key, "weight")
+    return places, drawn.groupBy("replicate", "__at").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def ratio_replicates(stats: DataFrame, key: str, ratios: dict[str, tuple[str, str, float]], replicates: int, seed: int, by: list[str] = ()) -> DataFrame:
@@ -85,10 +93,10 @@ def contrast_intervals(stats: DataFrame, key: str, category: str, a: str, b: str
 
 def weight_arrays(clusters: DataFrame, key: str, replicates: int, seed: int, block: int) -> DataFrame:
     """(key, block, at, weight): each cluster's draws in each block of ``block`` replicates, those that draw it alone."""
-    drawn = bootstrap_weights(clusters, key, replicates, seed)
+    places, drawn = _draws(clusters, key, replicates, seed)
     entry = F.struct((F.col("replicate") % block).cast("int").alias("at"), F.col("weight").cast("int").alias("weight"))
-    own = drawn.groupBy(key, F.floor(F.col("replicate") / block).cast("int").alias("block")).agg(F.collect_list(entry).alias("__e"))
-    return own.select(key, "block", F.transform("__e", lambda e: e["at"]).alias("at"), F.transform("__e", lambda e: e["weight"]).alias("weight"))
+    own = drawn.groupBy("__at", F.floor(F.col("replicate") / block).cast("int").alias("block")).agg(F.collect_list(entry).alias("__e"))
+    return own.join(places.select(key, "__at"), "__at").select(key, "block", _field("__e", "at").alias("at"), _field("__e", "weight").alias("weight"))
 
 
 class _Weights:
@@ -225,7 +233,7 @@ def metric_replicates(long: DataFrame, key: str, models: str = "model", replicat
     """(replicate, model, auc, average_precision, log_loss, brier) under common draws.
 
     Rows are summed to cells of distinct (cluster, model, label, score), and a cell is never written once for each
-    replicate: tasks hold the cells of one range of scores, and of each cluster an array of its weights
+    replicate. Where there are few distinct scores, their weights in all replicates are a product of matrices. Else tasks hold the cells of one range of scores, and of each cluster an array of its weights
     in a block of replicates. Losses resample the clusters' own sums. Areas and precisions are running sums of
     arrays along the scores, from what lies in the ranges before; equal scores lie in one range.
     Rows without a cluster, label or score take no part; a replicate with one class alone has no area.
@@ -233,6 +241,9 @@ def metric_replicates(long: DataFrame, key: str, models: str = "model", replicat
     named = long.where(F.col(key).isNotNull() & F.col("y").isNotNull() & F.col("p").isNotNull()).select(F.col(key).alias("key"), F.col(models).cast("string").alias("model"), F.col("y").cast("int").alias("y"), F.col("p").cast("double").alias("p"))
     blocks = -(-replicates // block)
     cells = windows.once(named.groupBy("key", "model", "y", "p").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    scores = cells.select("model", "y", "p").where("model IS NOT NULL").distinct()
+    if scores.limit(SCORES + 1).count() <= SCORES:
+        return _few_scores(cells, scores, replicates, seed).withColumnRenamed("model", models)
     weights = windows.once(weight_arrays(cells, "key", replicates, seed, block))
     steps = F.array(*(F.lit(i / windows.RANGES) for i in range(1, windows.RANGES)))
     edges = cells.groupBy("model").agg(F.array_distinct(F.percentile_approx("p", steps, 1000)).alias("__edges"))
@@ -252,6 +263,41 @@ def metric_replicates(long: DataFrame, key: str, models: str = "model", replicat
     return ordered.join(_loss_replicates(cells, key, replicates, seed), ["replicate", "model"]).withColumnRenamed("model", models)
 
 
+def _few_scores(cells: DataFrame, scores: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(replicate, model, auc, average_precision, log_loss, brier): the weights of each score, summed over clusters as a product of matrices."""
+    spark, found = cells.sparkSession, [tuple(r) for r in scores.collect()]
+    place = F.broadcast(spark.createDataFrame([(i, *r) for i, r in enumerate(found)], "s int, model string, y int, p double"))
+    own = cells.join(place, ["model", "y", "p"]).groupBy("key").agg(F.collect_list(F.struct("s", "n")).alias("e")).select("key", _field("e", "s").alias("s"), _field("e", "n").alias("n"))
+    ship(spark)
+    sums = own.join(weight_arrays(cells, "key", replicates, seed, replicates), "key").select("s", "n", "at", "weight").mapInArrow(_product(len(found), replicates), "s int, w array<double>")
+    flat = sums.select("s", F.posexplode("w").alias("replicate", "w")).where("w > 0").groupBy("s", "replicate").agg(F.sum("w").alias("w"))
+    rows = flat.join(place, "s").select(F.col("replicate").cast("bigint").alias("replicate"), "model", "y", "p", "w")
+    return metrics.all_metrics(rows, ["replicate", "model"]).select("replicate", "model", "auc", "average_precision", "log_loss", "brier")
+
+
+def _product(scores: int, replicates: int):
+    """A function for ``mapInArrow`` over clusters (s, n, at, weight): of each score, its rows' weights in all replicates."""
+
+    def dense(part: pa.RecordBatch, places: str, values: str, width: int) -> np.ndarray:
+        out, column = np.zeros((part.num_rows, width)), part.column(places)
+        row = np.repeat(np.arange(part.num_rows), column.value_lengths().to_numpy(zero_copy_only=False))
+        out[row, column.flatten().to_numpy(zero_copy_only=False)] = part.column(values).flatten().to_numpy(zero_copy_only=False)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, CLUSTERS):
+                part = batch.slice(at, CLUSTERS)
+                own = dense(part, "s", "n", scores).T @ dense(part, "at", "weight", replicates)
+                total = own if total is None else np.add(total, own, out=total)
+        for s in range(0, scores if total is not None else 0, CLUSTERS):
+            rows = total[s : s + CLUSTERS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(s, s + len(rows), dtype=np.int32)), pa.array(list(rows), pa.list_(pa.float64()))], ["s", "w"])
+
+    return run
+
+
 def _loss_replicates(cells: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
     """(replicate, model, log_loss, brier) from each cluster's sums."""
     q, y, n = clip_p(F.col("p"), CLIP), F.col("y"), F.col("n")
