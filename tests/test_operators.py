@@ -360,6 +360,29 @@ def test_greedy_rounds_take_what_the_scan_takes(spark):
             assert [r["id"] for r in got.orderBy("selected_pair").collect()] == want[:most]
 
 
+def test_widest_pairs_by_bands_are_those_of_all_pairs(spark, monkeypatch):
+    random.seed(13)
+    rows = [(i, random.choice([None, *range(6)]), i % 4, random.choice([None, float("nan"), float("inf"), 0.0, round(random.uniform(-20, 20), 1), round(random.uniform(-20, 20), 1)])) for i in range(200)]
+    df = frame(spark, rows, "id int, role int, team int, v double").withColumn("same", F.lit(1.0)).repartition(3)
+    made, own = [], R._band
+    monkeypatch.setattr(R, "_band", lambda *a: made.append(a[-2:]) or own(*a))
+    known = [r for r in rows if r[1] is not None and r[3] is not None and abs(r[3]) < float("inf")]
+    for most, caliper in ((2, 5.0), (100, 5.0), (100, 1e-3)):
+        scan = sorted(((-abs(x[3] - y[3]), x[0], y[0], x[1]) for x in known for y in known if x[0] < y[0] and x[1] == y[1] and x[2] != y[2] and abs(x[3] - y[3]) <= caliper))
+        want, used = [], set()
+        for d, x, y, role in scan:
+            if not {("r", role), x, y} & used and len(want) < most:
+                used |= {("r", role), x, y}
+                want.append((role, x, y))
+        made.clear()
+        got = R.greedy_widest_pairs(df.where("abs(v) < double('infinity')"), "role", "team", ["id"], ["same"], "v", caliper, most, band=50)
+        picked = [(r["role"], r["left_id"], r["right_id"]) for r in got.orderBy("selected_pair").collect()]
+        assert [r["selected_pair"] for r in got.orderBy("selected_pair").collect()] == list(range(1, len(picked) + 1))
+        assert picked == want
+        if most == 2:
+            assert made[0][1] == 5.0 and made[0][0] > 4.0 and made[-1][0] > 0  # narrow bands, and not all of them
+
+
 def test_bootstrap_of_ordered_metrics_equals_copied_rows(spark, monkeypatch):
     random.seed(6)
     rows = [(random.choice([None, *range(12)]), m, random.randint(0, 1), random.choice([0.2, 0.5, round(random.random(), 2)])) for _ in range(150) for m in ("full", "other")]

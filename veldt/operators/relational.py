@@ -220,6 +220,59 @@ def greedy_pairs(pairs: DataFrame, most: int, once: str, parties: Iterable[str],
     return numbered.select(*kept, "selected_pair")
 
 
+def greedy_widest_pairs(df: DataFrame, group: str, apart: str, order: list[str], zscored: list[str], value: str, caliper: float, most: int, band: int = 2_000_000) -> DataFrame:
+    """``greedy_pairs`` of the ``caliper_pairs`` of one variable, each group and row once, the pairs furthest ``apart`` in it first (K7).
+
+    Ties go by profile distance, then by the keys of both rows. Pairs are made in bands from the caliper down: all of a
+    band come before those of the next, so no more bands are made than the scan takes pairs from. The first is as wide as
+    holds about ``band`` pairs of even values, each further one twice as wide as the one before.
+    """
+    parties, rank = [f"{side}_{c}" for side in ("left", "right") for c in order], [F.desc("apart"), F.col("profile_distance")]
+    rank += [F.col(c) for c in parties]
+    distance = F.abs(F.col(f"left_{value}") - F.col(f"right_{value}"))
+    (n,) = df.groupBy(group).agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("n")).agg(F.sum("n")).first()
+    if caliper <= 0 or (n or 0) <= band:
+        own = caliper_pairs(df, group, apart, order, zscored, {value: caliper}).withColumn("apart", distance)
+        return _greedy_once(own, most, group, order, rank)
+    left, right = (side.where(finite(f"{name}_{value}")) for name, side in zip(("left", "right"), _sides(df, group, zscored)))
+    high, width, taken, out = float(caliper), caliper * band / n, 0, None
+    while high > 0 and taken < most:
+        low = max(0.0, high - width)
+        inside = distance <= high
+        own = _band(left, right, group, apart, order, zscored, value, low, high).withColumn("apart", distance)
+        got = checkpointed(_greedy_once(own.where(inside & (distance > low) if low else inside), most - taken, group, order, rank))
+        found = got.count()
+        if found:
+            moved = got.withColumn("selected_pair", (F.col("selected_pair") + F.lit(taken)).cast("int"))
+            out, taken = moved if out is None else out.unionByName(moved), taken + found
+            used = union_all(*(got.select(*(F.col(f"{side}_{c}").alias(c) for c in order)) for side in ("left", "right")))
+            left, right = (_unused(side, name, got, used, group, order) for name, side in (("left", left), ("right", right)))
+        high, width = low, 2 * width
+    return got if out is None else out
+
+
+def _greedy_once(pairs: DataFrame, most: int, group: str, order: list[str], rank: list[Column]) -> DataFrame:
+    """``greedy_pairs`` whose parties are rows, named by all their keys together."""
+    names = {f"__{side}": F.to_json(F.array(*(F.col(f"{side}_{c}").cast("string") for c in order))) for side in ("left", "right")}
+    return greedy_pairs(pairs.withColumns(names), most, group, list(names), rank).drop(*names)
+
+
+def _unused(rows: DataFrame, side: str, chosen: DataFrame, used: DataFrame, group: str, order: list[str]) -> DataFrame:
+    rest = rows.join(F.broadcast(chosen.select(group).distinct()), group, "left_anti")
+    keys = used.select(*(F.col(c).alias(f"{side}_{c}") for c in order)).distinct()
+    return rest.join(F.broadcast(keys), [f"{side}_{c}" for c in order], "left_anti")
+
+
+def _band(left: DataFrame, right: DataFrame, group: str, apart: str, order: list[str], zscored: list[str], value: str, low: float, high: float) -> DataFrame:
+    """Pairs whose values are about ``low`` to ``high`` apart: rows of the left side lie in a cell, those of the right side in the cells that far above and below."""
+    width = (high - low) * _WIDER
+    v = F.col(f"right_{value}").cast("double")
+    starts = [F.floor(x / width) for x in (v + low, v - high)]
+    cells = F.array_distinct(F.array(*(s + i for s in starts for i in (-1, 0, 1, 2))))
+    left = left.withColumn("__cell", F.floor(F.col(f"left_{value}").cast("double") / width))
+    return _paired(left, right.withColumn("__cell", F.explode(cells)), [group, "__cell"], group, apart, order, zscored)
+
+
 def top_k(df: DataFrame, k: int, group: list[str], order: list[Column]) -> DataFrame:
     """The first ``k`` rows of each group (K5)."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__rn") <= k).drop("__rn")

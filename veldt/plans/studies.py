@@ -218,9 +218,7 @@ SELECT p.role, a AS left_s_suppkey, b AS right_s_suppkey, round(apart, 6) AS apa
 @query("k7_greedy_pairs", _K7)
 def _(spark, d):
     g = table(spark, d, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("role"), F.col("s_nationkey").alias("team"), F.col("s_acctbal").alias("v"))
-    p = R.caliper_pairs(g, "role", "team", ["s_suppkey"], ["v"], {"v": 500})
-    apart = F.abs(F.col("left_v") - F.col("right_v"))
-    got = R.greedy_pairs(p.withColumn("apart", apart), 3, "role", ["left_s_suppkey", "right_s_suppkey"], [F.desc("apart"), F.col("profile_distance"), F.col("left_s_suppkey"), F.col("right_s_suppkey")])
+    got = R.greedy_widest_pairs(g, "role", "team", ["s_suppkey"], ["v"], "v", 500, 3)
     return rounded(got.select("role", "left_s_suppkey", "right_s_suppkey", "apart", "selected_pair"), 6)
 
 
