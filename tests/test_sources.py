@@ -203,6 +203,28 @@ def test_ingest_resumes_after_a_failure(spark, tmp_path):
     assert stored() == [(m, i, 2.0 if m == 4 else 1.0) for m in range(6) for i in range(3)]
 
 
+def test_stored_batches_are_partitions_and_matches_are_replaced(spark, tmp_path):
+    def store(n, matches, value, state="state"):
+        spark.createDataFrame([(m, i, value) for m in matches for i in range(2)], "match_id int, i int, v double").coalesce(1).write.parquet(str(tmp_path / f"{state}-in/{n}"))
+        stream = ingest.staged(spark, str(tmp_path / f"{state}-in"), "match_id int, i int, v double")
+        ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / state), "match_id").awaitTermination()
+
+    def stored():
+        return sorted((r["match_id"] or 0, r["i"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    def folders():
+        return sum(1 for x in (tmp_path / "out").iterdir() if x.is_dir() and "=" in x.name)
+
+    store(0, range(1, 41), 1.0)
+    assert folders() == 1  # and not one a match
+    store(1, [7, 50, None], 2.0)
+    assert folders() == 2 and stored() == sorted((m, i, 2.0 if m in (0, 7, 50) else 1.0) for m in (*range(41), 50) for i in range(2))
+    store(2, [None, 7, 50], 3.0)  # all that the second batch held
+    assert folders() == 2 and stored() == sorted((m, i, 3.0 if m in (0, 7, 50) else 1.0) for m in (*range(41), 50) for i in range(2))
+    store(0, [60], 4.0, "other")  # the first batch of another query replaces no batch
+    assert len(stored()) == 2 * 43 and folders() == 3
+
+
 def test_reports(spark):
     df = spark.createDataFrame([("A", 1.5), ("B", 2.5)], "t string, v double")
     assert json.loads(tables.audit_json(df, "rows"))["rows"][1] == {"t": "B", "v": 2.5}
