@@ -124,6 +124,18 @@ def test_calibration_line(spark):
     assert M.calibration_line(df, ["m"]).count() == 9
 
 
+def test_calibration_line_holds_a_row_for_each_probability(spark, monkeypatch):
+    rows = [(m, 0.1 + 0.2 * (i % 4), int(i % 7 < 3 + i % 2), float(1 + i % 3)) for m in ("a", "b") for i in range(400)]
+    df, held, own = frame(spark, rows, "m string, p double, y int, w double"), [], M.windows.matched
+    monkeypatch.setattr(M.windows, "matched", lambda *a: held.append(a[0]) or own(*a))
+    got = {r["m"]: r for r in M.calibration_line(df, ["m"]).collect()}
+    assert held[0].count() == 2 * 4 * 2
+    for r in got.values():
+        rest = [(w, math.log(p / (1 - p)), y) for m, p, y, w in rows if m == r["m"]]
+        left = [(w * (y - 1 / (1 + math.exp(-r["intercept"] - r["slope"] * x))), x) for w, x, y in rest]
+        assert abs(sum(a for a, _ in left)) < 1e-6 and abs(sum(a * x for a, x in left)) < 1e-6
+
+
 def test_reliability_keeps_empty_bins(spark):
     df, *_ = scored(spark)
     assert M.reliability(df, [], 40).count() == 40 and M.reliability_wilson(df, [], 40).count() < 40

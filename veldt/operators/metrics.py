@@ -66,15 +66,15 @@ def _classified(tp: Column, fp: Column, fn: Column, tn: Column) -> list[Column]:
 def calibration_line(df: DataFrame, by: list[str], p: str = "p", y: str = "y", w: str = "w", steps: int = 60, tolerance: float = 1e-10) -> DataFrame:
     """(by, intercept, slope) of the logistic fit of y on logit(p), by Newton steps.
 
-    One aggregation of five sums a step for all groups; the groups' lines, a row each, are joined
-    back. A constant predictor has slope 0 and the prevalence's logit. Where the predictor separates the
+    Rows of one label and probability are summed once; then one aggregation of five sums a step for all
+    groups; the groups' lines, a row each, are joined back. A constant predictor has slope 0 and the prevalence's logit. Where the predictor separates the
     labels, or there is one label alone, no line is best: then, and only then, the fit has a ridge of
     ``RIDGE`` times the weight on both numbers, which gives a finite one. A line that has not settled
     after ``steps`` is an error.
     """
     base = df.select(*by, logit(F.col(p)).alias("__x"), F.col(y).cast("double").alias("__y"), F.col(w).cast("double").alias("__w")).where("__w > 0")
     keyed = by or ["__all"]
-    base = (base if by else base.withColumn("__all", F.lit(0))).persist()
+    base = (base if by else base.withColumn("__all", F.lit(0))).groupBy(*keyed, "__x", "__y").agg(F.sum("__w").alias("__w")).persist()
     ends = [f(F.when(F.col("__y") == k, F.col("__x"))).alias(f"__{n}{k}") for k in (0, 1) for n, f in (("low", F.min), ("high", F.max))]
     first = base.groupBy(*keyed).agg((F.min("__x") == F.max("__x")).alias("__flat"), (F.sum(F.col("__w") * F.col("__y")) / F.sum("__w")).alias("__mean"), F.sum("__w").alias("__total"), *ends)
     line = {tuple(r[k] for k in keyed): r for r in first.collect()}
