@@ -479,3 +479,19 @@ def test_fields_of_joined_records(spark):
     text, sections = tokencounts.joined_fields(["source", "text"])
     got = {r["id"]: {s["name"]: s["tokens"] for s in r["sections"]} for r in tokencounts.count(rows, text, sections).collect()}
     assert got[1] == {"source": 1.0, "text": 2.0} and got[2]["source"] == 0.0
+
+
+def test_pieces_take_few_texts_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from veldt.llm import pieces
+
+    texts = ["some words of a text " * 5000, None, "", "é b" * 40_000] * 40
+    bpe, seen = pieces.codec(pieces.default_path()), []
+    whole = pieces.PieceBpe.encode
+    monkeypatch.setattr(pieces.PieceBpe, "encode", lambda self, part: seen.append(sum(len(t.encode()) for t in part)) or whole(self, part))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    got = pa.Table.from_batches(pieces.encoded(bpe, batch, 1, ["id", "text", "ids", "decoded"])).to_pydict()
+    assert got["id"] == list(range(len(texts))) and got["decoded"] == [t or "" for t in texts]
+    assert sum(seen) > 6 << 20 and max(seen) <= 2 * pieces.SLICE
+    assert list(pieces.encoded(bpe, batch.slice(0, 0), 1, ["id", "text", "ids", "decoded"])) == []

@@ -23,21 +23,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veldt.llm.common import in_tasks
 
-from veldt.llm.bytebpe import batches_of
-
 DEFAULT = "piece_bpe_32k.model"
 MARK = "▁"
 MEMO_BYTES = 96 << 20  # what a worker remembers, beside the words of one batch
 ENTRY = 200  # bytes of a remembered word, beside its characters and ids
 LONG = 96  # characters from which a word's pairs merge by reach
 PASSES = 80  # times that the rounds by reach may go over a long word
-ROUND_SYMBOLS = 2_000_000  # symbols that merge together
+ROUND_SYMBOLS = 400_000  # symbols that merge together
+SLICE = 1 << 20  # bytes of the texts that are cut into words together
 _NO_RANK = np.iinfo(np.int64).max
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -314,14 +314,21 @@ def encode_decode(docs: DataFrame, model: str | None = None, text_col: str = "te
     kinds = T.StructType([*own.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(at).to_pylist()]
-            for s, e in batches_of(texts):
-                got = bpe.encode(texts[s:e])
-                cuts = pa.array(np.cumsum([0, *(len(x[0]) for x in got)]), pa.int32())
-                lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([x[0] for x in got])))
-                part = batch.slice(s, e - s)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array([x[1] for x in got], pa.string())], [*rest, ids, decoded])
+            yield from encoded(codec(path), batch, at, [*rest, ids, decoded])
+        pa.default_memory_pool().release_unused()
 
     return own.transform(in_tasks, run, kinds)
+
+
+def encoded(bpe: PieceBpe, batch: pa.RecordBatch, at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """``batch`` with the ids and decoded text of its column ``at``; its texts are Python's a slice of about ``SLICE`` bytes at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy()
+    slices = np.maximum.accumulate((np.cumsum(sizes) - sizes) // SLICE)  # a slice for each ``SLICE`` bytes before a text
+    cut = np.flatnonzero(np.append(True, slices[1:] != slices[:-1])).tolist() if len(sizes) else []
+    for s, e in zip(cut, [*cut[1:], len(sizes)]):
+        part = batch.slice(s, e - s)
+        got = bpe.encode([x or "" for x in part.column(at).to_pylist()])
+        cuts = pa.array(np.cumsum([0, *(len(x[0]) for x in got)]), pa.int32())
+        lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([x[0] for x in got])))
+        yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array([x[1] for x in got], pa.string())], names)
