@@ -100,3 +100,37 @@ def test_what_can_not_be_fitted_is_an_error(spark, data):
     for bad in ("null", "'NaN'", "'Infinity'"):
         with pytest.raises(Exception, match="not finite|null label"):
             training.train(training.prepare(df.withColumn("a", F.expr(f"CAST({bad} AS DOUBLE)")), "y", columns), columns, CANDIDATES)
+
+
+def test_cross_fitted_threat_meets_roles_once_and_scores_by_its_own_fold(spark, monkeypatch):
+    from veldt.operators import models
+
+    i = F.col("id")
+    rows = spark.range(1500).select("id", (i % 60).alias("m"), (i % 60 % 3).cast("int").alias("fold"), ((i * 7) % 97 / 96.0).alias("x"), ((i * 5) % 89 / 88.0).alias("y"), ((i * 3) % 83 / 82.0).alias("ex"), ((i * 11) % 79 / 78.0).alias("ey"), (i % 95 / 90.0).alias("time"), (1 + i % 2).alias("period"), (1 + i % 7).alias("stage"), ((i * i) % 11 < 3 + i % 3).cast("int").alias("hit"))
+    columns = {"x": F.col("x"), "y": F.col("y"), "end_x": F.col("ex"), "end_y": F.col("ey"), "time": F.col("time"), "period": F.col("period"), "stage": F.col("stage")}
+    calls, line = [], models.metrics.calibration_line
+    monkeypatch.setattr(models.metrics, "calibration_line", lambda *a, **k: calls.append(1) or line(*a, **k))
+    got = models.cross_fitted_threat(rows, "m", "fold", "hit", columns, ["id"], 3, 0.25, seed=5, iterations=8)
+    assert len(calls) == 1
+    got = {r["id"]: r for r in got.collect()}
+    assert len(got) == 1500
+    roles = models.threat_roles(rows, "m", "fold", 3, 0.25, 5).where("outer_fold = 1")
+    own, start = rows.join(roles, "m"), models.state_points(columns)["start"]
+    train = own.where("role = 'training'")
+    scale = models.scaler(train, start)
+    model = models.fit(train, "hit", models.scaled(start, scale), 1e-5, 0.0, 8).calibrated(own.where("role = 'calibration'"), "hit")
+    want = own.where("role = 'holdout'").select("id", *(c.alias(k) for k, c in models.threats(model, scale, columns).items())).collect()
+    assert len(want) == 500
+    for r in want:
+        assert got[r["id"]]["outer_fold"] == 1
+        for k in models.POINTS:
+            assert abs(got[r["id"]][f"threat_{k}"] - r[k]) < 1e-7
+
+
+def test_a_match_of_two_roles_in_a_fold_is_an_error(spark):
+    from veldt.operators import models
+
+    rows = spark.createDataFrame([(1,)], "m int")
+    roles = spark.createDataFrame([(0, 1, "training"), (0, 1, "holdout")], "outer_fold int, m int, role string")
+    with pytest.raises(Exception, match="two roles"):
+        models.dealt(rows, roles, "m", 1).collect()

@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt.functions.scalars import evaluation_points, labelled_category, logit, sigmoid, stable_hash, state_features
-from veldt.operators import metrics, resample, windows
+from veldt.operators import checks, metrics, resample, windows
 from veldt.operators.relational import finite, small, union_all
 
 
+FIT_ROWS = 200_000  # rows of a partition that fits read over and over
+
+
 def freeze_categories(train: DataFrame, columns: list[str]) -> dict[str, list[str]]:
     """Sorted values of each category column in the training rows."""
     seen = train.agg(*(F.array_sort(F.collect_set(labelled_category(F.col(c)))).alias(c) for c in columns)).first() if columns else {}
@@ -97,19 +100,80 @@ def fold_roles(matches: DataFrame, match: str, stratum: list[str], k: int, calib
     return rest.select("outer_fold", match, "role").unionByName(folds.where("outer_fold = __fold").select("outer_fold", match, F.lit("holdout").alias("role")))
 
 
+def dealt(rows: DataFrame, roles: DataFrame, match: str, k: int) -> DataFrame:
+    """``rows`` of matches with a role, and the first letter of their role in each fold in ``__roles`` (``-``: none).
+
+    A match with two roles in a fold is an error, as its rows would be scored by a model that saw them.
+    """
+    letters = []
+    for fold in range(k):
+        own = F.when(F.col("outer_fold") == fold, F.substring("role", 1, 1))
+        letters.append(F.when(F.min(own) != F.max(own), F.raise_error(F.lit("a match has two roles in a fold")).cast("string")).otherwise(F.coalesce(F.max(own), F.lit("-"))))
+    return rows.join(small(roles.groupBy(match).agg(F.concat(*letters).alias("__roles"))), match)
+
+
+def in_role(role: str, fold: int) -> Column:
+    """Whether a row of ``dealt`` has a role in a fold."""
+    return F.substring("__roles", fold + 1, 1) == role[0]
+
+
+def held_out(rows: DataFrame, k: int) -> DataFrame:
+    """Rows of ``dealt`` with the fold that holds them out, ``__fold``."""
+    folds = F.array(*(F.when(in_role("holdout", f), F.lit(f)) for f in range(k)))
+    return rows.withColumn("__fold", F.explode(F.array_compact(folds)))
+
+
+def fit_folds(scan: DataFrame, label: str, features: Callable[[int, DataFrame], Mapping[str, Column]], k: int, alpha: float, l1: float, iterations: int = 100) -> list[Linear]:
+    """A fit of each fold on its training rows in ``scan``, rows of ``dealt`` that should be persisted, and its Platt line.
+
+    The lines of all folds are fitted together, so that a Newton step is one aggregation however many folds there are.
+    """
+    fits, parallel = [], scan.sparkSession.sparkContext.defaultParallelism
+    scan = scan.coalesce(max(parallel, -(-scan.count() // FIT_ROWS)))
+    for f in range(k):
+        train = scan.where(in_role("training", f))
+        fits.append(fit(train, label, features(f, train), alpha, l1, iterations))
+    rows = union_all(*(scan.where(in_role("calibration", f)).select(F.lit(f).alias("fold"), m.margin().alias("z"), F.col(label).alias("y"), F.lit(1.0).alias("w")) for f, m in enumerate(fits))).withColumn("p", sigmoid(F.col("z")))
+    lines = {r["fold"]: (r["intercept"], r["slope"]) for r in metrics.calibration_line(rows, ["fold"]).collect()}
+    if len(lines) < k:
+        raise checks.IntegrityError(f"no calibration rows in folds {sorted(set(range(k)) - set(lines))}")
+    return [Linear(m.intercept, m.weights, lines[f], m.features) for f, m in enumerate(fits)]
+
+
 def cross_fit(rows: DataFrame, roles: DataFrame, match: str, label: str, features: Callable[[DataFrame], Mapping[str, Column]], keep: list[str], k: int, alpha: float = 3e-5, l1: float = 0.3, iterations: int = 100) -> DataFrame:
     """Out-of-fold calibrated probabilities ``p``: one row for every row, scored by a model that never saw its match (M7).
 
-    ``features`` makes the feature Columns of a fold from its training rows alone.
+    ``features`` makes the feature Columns of a fold from its training rows alone. The rows meet their
+    roles once and are kept for the fits of all folds; one more pass scores every row by its own fold.
     """
-    out = []
-    for fold in range(k):
-        own = rows.join(small(roles.where(F.col("outer_fold") == fold).select(match, "role")), match).persist()
-        train = own.where("role = 'training'")
-        model = fit(train, label, features(train), alpha, l1, iterations).calibrated(own.where("role = 'calibration'"), label)
-        own.unpersist()
-        out.append(own.where("role = 'holdout'").select(*keep, F.lit(fold).alias("outer_fold"), F.col(label).alias("y"), model.probability().alias("p")))
-    return union_all(*out)
+    own = dealt(rows, roles, match, k)
+    scan = own.persist()
+    try:
+        fits = fit_folds(scan, label, lambda _, train: features(train), k, alpha, l1, iterations)
+    finally:
+        scan.unpersist()
+    margin = F.lit(None).cast("double")
+    for f, model in enumerate(fits):
+        margin = F.when(F.col("__fold") == f, model.margin()).otherwise(margin)
+    got = with_probability(held_out(own, k), "__p", margin, _platt(fits))
+    return got.select(*keep, F.col("__fold").alias("outer_fold"), F.col(label).alias("y"), F.col("__p").alias("p"))
+
+
+def with_probability(rows: DataFrame, name: str, margin: Column, platt: tuple[Column, Column]) -> DataFrame:
+    """``rows`` with a calibrated probability; each step is a column of its own, as the formulas name their arguments several times."""
+    steps = {"__margin": margin, "__raw": sigmoid(F.col("__margin")), "__line": platt[0] + platt[1] * logit(F.col("__raw")), name: sigmoid(F.col("__line"))}
+    for n, c in steps.items():
+        rows = rows.withColumn(n, c)
+    return rows.drop("__margin", "__raw", "__line")
+
+
+def _by_fold(values) -> Column:
+    """The number of each row's ``__fold``."""
+    return F.array(*(F.lit(float(v)) for v in values))[F.col("__fold")]
+
+
+def _platt(fits: list[Linear]) -> tuple[Column, Column]:
+    return tuple(_by_fold(m.platt[i] for m in fits) for i in (0, 1))
 
 
 def fit_models(train: DataFrame, label: str, models: Mapping[str, Mapping[str, Column]], alpha: float = 3e-5, l1: float = 0.3) -> dict[str, Linear]:
@@ -164,23 +228,43 @@ def cross_fitted_threat(rows: DataFrame, match: str, fold: str, label: str, colu
     For each fold whole matches outside it are split into training and calibration. Features at the
     start are standardised on the training rows, a ridge logistic model is fitted on them, and a
     Platt line on the calibration rows. Rows without a start take no part, those without an end are
-    not scored.
+    not scored. The rows meet their roles once, and one more pass scores them all.
     """
-    given, out = (F.col(c) for c in ("__x", "__y2", "__ex", "__ey")), []
-    named = rows.select("*", *(columns[c].alias(n) for c, n in zip(("x", "y", "end_x", "end_y"), ("__x", "__y2", "__ex", "__ey"))))
-    own = dict(columns) | dict(zip(("x", "y", "end_x", "end_y"), given))
-    start, end = finite("__x", "__y2"), finite("__ex", "__ey")
-    roles = threat_roles(rows, match, fold, k, calibration, seed)
-    for f in range(k):
-        part = named.where(start).join(roles.where(F.col("outer_fold") == f), match).persist()
-        train = part.where("role = 'training'")
-        features = state_points(own)["start"]
-        scale = scaler(train, features)
-        model = fit(train, label, scaled(features, scale), alpha, 0.0, iterations).calibrated(part.where("role = 'calibration'"), label)
-        got = threats(model, scale, own)
-        out.append(part.where("role = 'holdout'").where(end).select(*keep, "outer_fold", F.col(label).alias("y"), *(got[p].alias(f"threat_{p}") for p in POINTS)))
-        part.unpersist()
-    return union_all(*out)
+    named = rows.select("*", *(c.alias(f"__{n}") for n, c in columns.items()))
+    own = {n: F.col(f"__{n}") for n in columns}
+    met = dealt(named.where(finite("__x", "__y")), threat_roles(rows, match, fold, k, calibration, seed), match, k)
+    start = state_points(own)["start"]
+    scan = met.select(label, *own.values(), "__roles").persist()
+    try:
+        scales = _scales(scan, start, k)
+        fits = fit_folds(scan, label, lambda f, _: scaled(start, scales[f]), k, alpha, 0.0, iterations)
+    finally:
+        scan.unpersist()
+    held = held_out(met.where(finite("__end_x", "__end_y")), k)
+    for point, place in state_points(own).items():
+        held = with_probability(held, f"__threat_{point}", _margin_of_fold(fits, scales, place), _platt(fits))
+    return held.select(*keep, F.col("__fold").alias("outer_fold"), F.col(label).alias("y"), *(F.col(f"__threat_{p}").alias(f"threat_{p}") for p in POINTS))
+
+
+def _scales(scan: DataFrame, features: Mapping[str, Column], k: int) -> list[dict[str, tuple[float, float]]]:
+    """``scaler`` of the training rows of every fold, in one pass."""
+    folds = F.array_compact(F.array(*(F.when(in_role("training", f), F.lit(f)) for f in range(k))))
+    rows = scan.select(F.explode(folds).alias("__fold"), *(c.alias(n) for n, c in features.items()))
+    stats = {r["__fold"]: r for r in rows.groupBy("__fold").agg(*(f(n).alias(f"{n}__{s}") for n in features for s, f in (("m", F.avg), ("s", F.stddev_pop)))).collect()}
+    if len(stats) < k:
+        raise checks.IntegrityError(f"no training rows in folds {sorted(set(range(k)) - set(stats))}")
+    return [{n: (float(stats[f][f"{n}__m"]), float(stats[f][f"{n}__s"] or 1.0)) for n in features} for f in range(k)]
+
+
+def _margin_of_fold(fits: list[Linear], scales: list[dict[str, tuple[float, float]]], features: Mapping[str, Column]) -> Column:
+    """``Linear.margin`` of the scaled features by the fit of each row's ``__fold``.
+
+    As a loop over an array: written out for several points and folds it is more code than the JVM compiles in one method.
+    """
+    used = sorted(n for n in features if any(m.weights[n] for m in fits))
+    own = F.array(*(F.array(*(F.struct(F.lit(m.weights[n]).alias("w"), F.lit(s[n][0]).alias("m"), F.lit(s[n][1]).alias("s")) for n in used)) for m, s in zip(fits, scales)))[F.col("__fold")]
+    terms = F.zip_with(F.array(*(features[n] for n in used)), own, lambda c, k: k["w"] * ((c - k["m"]) / k["s"]))
+    return F.aggregate(terms, _by_fold(m.intercept for m in fits), lambda total, t: total + t)
 
 
 def standardised(train: DataFrame, features: Mapping[str, Column]) -> dict[str, Column]:

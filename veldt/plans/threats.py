@@ -115,13 +115,10 @@ def _(spark, d):
 
     v = passes(spark, d)
     roles = models.fold_roles(v.select("match_id", "team"), "match_id", ["team"], 3)
+    own = models.dealt(v, roles, "match_id", 3).persist()
     out = []
-    for f in range(3):
-        own = v.join(roles.where(F.col("outer_fold") == f), "match_id").persist()
-        train = own.where("role = 'training'")
-        raw = models.fit(train, "won", _features(train), 1e-6, 0.0)
-        model = raw.calibrated(own.where("role = 'calibration'"), "won")
-        counts = [F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("training", "calibration", "holdout")]
-        means = [F.avg(F.when(F.col("role") == r, p)).alias(n) for r, p, n in (("training", model.raw(), "raw_mean"), ("calibration", model.probability(), "calibrated_mean"))]
-        out.append(own.groupBy("outer_fold").agg(*counts, *means))
+    for f, model in enumerate(models.fit_folds(own, "won", lambda _, train: _features(train), 3, 1e-6, 0.0)):
+        counts = [F.count_if(models.in_role(r, f)).alias(f"n_{r}") for r in ("training", "calibration", "holdout")]
+        means = [F.avg(F.when(models.in_role(r, f), p)).alias(n) for r, p, n in (("training", model.raw(), "raw_mean"), ("calibration", model.probability(), "calibrated_mean"))]
+        out.append(own.agg(*counts, *means).select(F.lit(f).alias("outer_fold"), "*"))
     return rounded(R.union_all(*out), 4)
